@@ -19,13 +19,20 @@ def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 8)
 
 
+def op6_broadcast_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.decontaminate import verdicts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return verdicts(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op7_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.exact_dedup import deduplicate
 
     return deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_pivots, op5_hypergeometric_shards, op7_digest_index)}
+QUERIES = {f.__name__: f for f in (op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index)}
 
 ORACLES = {
     "op7_digest_index": """
