@@ -32,7 +32,13 @@ def op7_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index)}
+def op9_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op9_configuration_packing)}
 
 ORACLES = {
     "op7_digest_index": """
