@@ -92,7 +92,6 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "doc_id
     ranges = max(1, -(-total // (shards * range_rows)))
     key = F.xxhash64("at", F.lit(seed + 1))
     sent = sent.select("doc_id", "size", "text_crc32", "at", "shard", key.alias("key"), F.pmod(F.shiftright(key, 24), F.lit(ranges)).alias("range"))
-    sent = materialize(sent, "sharded")
     before = sent.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
     before = before.withColumn("base", F.sum("n").over(W.partitionBy("shard").orderBy("range").rowsBetween(W.unboundedPreceding, -1)))
     again = W.partitionBy("shard", "range").orderBy("key", "at")
