@@ -33,7 +33,7 @@ SEED = 42
 PIVOTS = 16
 TABLE_ROWS = 4096
 LEVELS = 3
-#: Pairs that a table holds before they are reduced to a forest.
+#: Pairs that a table holds before they are reduced to a forest; edges in a file between rounds.
 EDGE_ROWS = 2_000_000
 
 
@@ -175,7 +175,6 @@ def near_links(nodes: DataFrame, max_distance: int = 3, n_pivots: int = PIVOTS,
             F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"),
             F.col("free").bitwiseAND(F.bitwise_not(F.col("mask"))).alias("free"),
         )
-        keyed = materialize(keyed, "simhash-tables")
         sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         last = level == levels - 1
         small = sizes if last else sizes.filter(F.col("n") <= table_rows)
@@ -184,7 +183,7 @@ def near_links(nodes: DataFrame, max_distance: int = 3, n_pivots: int = PIVOTS,
         found = out if found is None else found.unionByName(out)
         if last:
             break
-        large = materialize(sizes.filter(F.col("n") > table_rows).select("key"), "simhash-large")
+        large = sizes.filter(F.col("n") > table_rows).select("key")
         if large.isEmpty():
             break
         waiting = keyed.join(large, "key")
@@ -222,10 +221,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     e = materialize(e, "simhash-edges")
     before = mark(e)
+    files = lambda: max(1, before[0] // EDGE_ROWS)  # noqa: E731  few rows need few files
     for _ in range(most_rounds):
         if not before[0]:
             break
-        e = materialize(star(star(e, True), False), "simhash-edges")
+        e = materialize(star(star(e, True), False).coalesce(files()), "simhash-edges")
         now = mark(e)
         if now == before:
             break
@@ -238,8 +238,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, max_distance: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row of ``docs``."""
     prints = materialize(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash-prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    comps = materialize(components(near_links(nodes.select("fp"), max_distance)), "simhash-comps")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    comps = components(near_links(nodes.select("fp"), max_distance))
     rooted = nodes.join(comps, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
