@@ -32,13 +32,19 @@ def op7_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op8_url_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op9_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op9_configuration_packing)}
+QUERIES = {f.__name__: f for f in (op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op8_url_logistic, op9_configuration_packing)}
 
 ORACLES = {
     "op7_digest_index": """
