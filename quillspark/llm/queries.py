@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm._common import table
 
 
+def op1_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.secrets import scan_versions
+
+    return scan_versions(table(spark, sf_dir, "documents")).withColumnRenamed("path", "doc_id")
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.simhash import near_duplicates
 
@@ -44,7 +50,7 @@ def op9_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op8_url_logistic, op9_configuration_packing)}
+QUERIES = {f.__name__: f for f in (op1_blob_ledger, op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op8_url_logistic, op9_configuration_packing)}
 
 ORACLES = {
     "op7_digest_index": """
