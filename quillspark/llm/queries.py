@@ -13,6 +13,13 @@ def op1_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_versions(table(spark, sf_dir, "documents")).withColumnRenamed("path", "doc_id")
 
 
+def op3_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.simhash import near_duplicates
 
@@ -50,7 +57,7 @@ def op9_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_blob_ledger, op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op8_url_logistic, op9_configuration_packing)}
+QUERIES = {f.__name__: f for f in (op1_blob_ledger, op3_boosted_toxicity, op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op8_url_logistic, op9_configuration_packing)}
 
 ORACLES = {
     "op7_digest_index": """
