@@ -57,7 +57,13 @@ def op9_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_blob_ledger, op3_boosted_toxicity, op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op8_url_logistic, op9_configuration_packing)}
+def op10_column_wise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_blob_ledger, op3_boosted_toxicity, op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op8_url_logistic, op9_configuration_packing, op10_column_wise_suffixes)}
 
 ORACLES = {
     "op7_digest_index": """
