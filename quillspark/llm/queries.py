@@ -13,6 +13,12 @@ def op1_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_versions(table(spark, sf_dir, "documents")).withColumnRenamed("path", "doc_id")
 
 
+def op2_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.toxicity import fit, score
 
@@ -63,7 +69,7 @@ def op10_column_wise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_blob_ledger, op3_boosted_toxicity, op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op8_url_logistic, op9_configuration_packing, op10_column_wise_suffixes)}
+QUERIES = {f.__name__: f for f in (op1_blob_ledger, op2_lstm_crf_pii, op3_boosted_toxicity, op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op8_url_logistic, op9_configuration_packing, op10_column_wise_suffixes)}
 
 ORACLES = {
     "op7_digest_index": """
