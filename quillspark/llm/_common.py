@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on the executors' disks for the reads that follow; what a lost executor held is computed again.
+
+    For results that depend on their input alone and whose lineage is short: others are to be materialized.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Short Arrow batches, so that a batch of long texts fits in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

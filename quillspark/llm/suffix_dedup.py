@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import materialize, tune, whole_text
+from quillspark.llm._common import hold, materialize, tune, whole_text
 
 LENGTH = 400
 GRAM = 48
@@ -317,7 +317,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     tune(spark, 256)
     text, doc = whole_text(text_col), F.col(id_col).cast("long")
     slim = docs.select(F.coalesce(doc, F.lit(0)).alias("doc_id"), F.xxhash64(text, doc.isNull()).alias("th"), text.cast("binary").alias("text"), doc.isNull().alias("no_id"))
-    lines = materialize(slim.mapInArrow(_find_anchors(length, gram), KEY + ", no_id boolean, full_sha256 string, n_bytes long, places array<int>, grams array<long>"), "anchors")
+    lines = hold(slim.mapInArrow(_find_anchors(length, gram), KEY + ", no_id boolean, full_sha256 string, n_bytes long, places array<int>, grams array<long>"))
     each = lines.select("doc_id", "th", F.explode(F.arrays_zip("places", "grams")).alias("a")).select("doc_id", "th", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"))
     again = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     wanted = each.hint("merge").join(again.hint("merge"), "gram").groupBy("doc_id", "th").agg(F.collect_set(F.struct("place", "gram")).alias("a"))
@@ -326,9 +326,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     texts = texts.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "th").orderBy("th")))
     texts = materialize(texts.select("doc_id", "th", "text", "places", "grams", "nth"), "anchored")
 
-    contexts = materialize(texts.mapInArrow(_digest_contexts(length, gram), KEY + ", place int, gram long, w1 long, w2 long, size int"), "contexts")
+    contexts = hold(texts.mapInArrow(_digest_contexts(length, gram), KEY + ", place int, gram long, w1 long, w2 long, size int"))
     kinds = contexts.groupBy("gram", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("one"), F.max("size").alias("size"))
-    kinds = materialize(kinds, "kinds")
+    kinds = hold(kinds)
     differ = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("gram")
     compare = kinds.join(differ, "gram").filter(F.col("size") >= length)
     compare = compare.select("one.doc_id", "one.th", F.struct("gram", "w1", "w2", "one.place").alias("x")).groupBy("doc_id", "th").agg(F.collect_list("x").alias("wanted"))
@@ -337,7 +337,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     built = cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(_build(length, gram, collection), "gram long, w1 long, w2 long, start int, stop int")
     # The same context as often as twice is repeated as a whole; else what the construction has found counts.
     whole = kinds.filter((F.col("n") > 1) & (F.col("size") >= length)).select("gram", "w1", "w2", F.lit(gram - length).alias("start"), F.lit(length).alias("stop"))
-    runs = materialize(whole.unionByName(built), "runs")
+    runs = whole.unionByName(built)
     covered = contexts.join(runs, ["gram", "w1", "w2"]).select("doc_id", "th", F.greatest(F.col("place") + F.col("start"), F.lit(0)).alias("start"), (F.col("place") + F.col("stop")).alias("stop"))
     return lines, texts, covered
 
