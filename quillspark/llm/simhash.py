@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import materialize, tune, whole_text
+from quillspark.llm._common import hold, materialize, tune, whole_text
 
 SEED = 42
 PIVOTS = 16
@@ -219,7 +219,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         return e.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("b", "a")), F.lit(0))).first()
 
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    e = materialize(e, "simhash-edges")
+    e = hold(e)
     before = mark(e)
     files = lambda: max(1, before[0] // EDGE_ROWS)  # noqa: E731  few rows need few files
     for _ in range(most_rounds):
@@ -237,7 +237,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, max_distance: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row of ``docs``."""
-    prints = materialize(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash-prints")
+    prints = hold(fingerprints(docs, id_col, text_col, words_per_shingle))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comps = components(near_links(nodes.select("fp"), max_distance))
     rooted = nodes.join(comps, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import materialize, tune, whole_text
+from quillspark.llm._common import hold, tune, whole_text
 
 MOST_LABELLED = 40_000
 MOST_LEXICON = 4_000
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not 0 < toxic_fit < n_fit:
         return Model(prior=toxic / n if n else 0.0)
     counts = rows.mapInArrow(_count, "token string, toxic_fit long, n_fit long, toxic long, n long")
-    counts = materialize(counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS]).filter("toxic >= 3"), "tokens")
+    counts = hold(counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS]).filter("toxic >= 3"))
     lexicon = _lexicon(counts, toxic_fit, n_fit, "_fit")
     held = spark.sparkContext.broadcast(lexicon)
     data = rows.mapInArrow(_features(held), "y boolean, calibrates boolean, x array<double>").collect()
