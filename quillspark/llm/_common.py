@@ -42,12 +42,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hold(df: DataFrame) -> DataFrame:
+def hold(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     """Keep ``df`` on the executors' disks for the reads that follow; what a lost executor held is computed again.
 
-    For results that depend on their input alone and whose lineage is short: others are to be materialized.
+    For results that depend on their input alone and whose lineage is short: others are to be materialized. Rows are
+    packed ``rows`` at a time, so that a pack of long texts fits in memory.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    name = "spark.sql.inMemoryColumnarStorage.batchSize"
+    conf = df.sparkSession.conf
+    before = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        return df.persist(StorageLevel.DISK_ONLY)
+    finally:
+        conf.set(name, before)
 
 
 def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

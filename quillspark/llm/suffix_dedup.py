@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import hold, materialize, tune, whole_text
+from quillspark.llm._common import hold, tune, whole_text
 
 LENGTH = 400
 GRAM = 48
@@ -324,7 +324,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     wanted = wanted.select("doc_id", "th", F.col("a.place").alias("places"), F.col("a.gram").alias("grams"))
     texts = slim.drop("no_id").hint("merge").join(wanted.hint("merge"), ["doc_id", "th"])
     texts = texts.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "th").orderBy("th")))
-    texts = materialize(texts.select("doc_id", "th", "text", "places", "grams", "nth"), "anchored")
+    texts = hold(texts.select("doc_id", "th", "text", "places", "grams", "nth"))
 
     contexts = hold(texts.mapInArrow(_digest_contexts(length, gram), KEY + ", place int, gram long, w1 long, w2 long, size int"))
     kinds = contexts.groupBy("gram", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("one"), F.max("size").alias("size"))
