@@ -34,6 +34,8 @@ BASE = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
     ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
 )
+#: Findings in a file of the ledger, so that many scans do not leave very many small files.
+FILE_ROWS = 500_000
 #: A cheap test for texts that may hold a match of "hex", whose pattern meets every word.
 LONG_HEX = re.compile(r"[0-9a-f]{32}")
 
@@ -105,7 +107,8 @@ class Ledger:
         same = F.col("path").eqNullSafe(F.col("__path")) & (F.col("blob") == F.col("__blob"))
         texts = versions.hint("merge").join(unseen.hint("merge"), same).select("blob", "text")
         tune(self.spark)
-        texts.mapInArrow(_scan(version), FOUND).write.mode("append").parquet(self.path)
+        found = hold(texts.mapInArrow(_scan(version), FOUND))
+        found.coalesce(max(1, found.count() // FILE_ROWS)).write.mode("append").parquet(self.path)  # few, large files
 
 
 def scan_versions(docs: DataFrame, ledger: Ledger | None = None, path_col: str = "doc_id", text_col: str = "text", version: str = RULES_VERSION) -> DataFrame:
