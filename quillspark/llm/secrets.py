@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import materialize, new_path, tune, whole_text
+from quillspark.llm._common import hold, new_path, tune, whole_text
 
 #: Changes whenever a rule does: blobs are then scanned again.
 RULES_VERSION = "1"
