@@ -52,6 +52,9 @@ TEXT_FIXTURES: list[tuple[str, str, str, str]] = [
     ("csv", "empty", "", "*Empty CSV*\n"),
 ]
 
+# Fixed value: how LaTeX documents begin.
+LATEX_HEAD = "\\documentclass{article}\n\\usepackage[utf8]{inputenc}\n\\usepackage{hyperref}\n\\usepackage{ulem}\n\\usepackage{listings}\n\\usepackage{graphicx}\n\\begin{document}\n\n"
+
 # Markdown and what each target's rules make of it.
 WRITER_FIXTURES: list[tuple[str, str, str, str]] = [
     ("markdown-rst", "heading", "# Title\n", "Title\n=====\n\n"),
@@ -67,6 +70,10 @@ WRITER_FIXTURES: list[tuple[str, str, str, str]] = [
     ("markdown-org", "rule", "---\n", "-----\n\n"),
     ("markdown-org", "table", "| A | Bcdef |\n|---|---|\n| 1 | 2 |\n", "| A | Bcdef |\n|-----+-------|\n| 1 | 2 |\n\n"),
     ("markdown-org", "inline", "**b**\n", "*b*\n\n"),
+    ("markdown-latex", "heading", "# A & B\n", LATEX_HEAD + "\\section{A \\& B}\n\n\\end{document}\n"),
+    ("markdown-latex", "list", "- a\n- b\n", LATEX_HEAD + "\\begin{itemize}\n\\item a\n\\item b\n\\end{itemize}\n\n\\end{document}\n"),
+    ("markdown-latex", "rule", "---\n", LATEX_HEAD + "\\noindent\\rule{\\linewidth}{0.4pt}\n\n\\end{document}\n"),
+    ("markdown-latex", "link", "[t](https://a.b/c_d)\n", LATEX_HEAD + "\\href{https://a.b/c_d}{t}\n\n\\end{document}\n"),
 ]
 
 

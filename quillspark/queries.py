@@ -207,10 +207,10 @@ def chapter_split(spark, sf_dir):
     return R.sections(t(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.col("role") == "user", "chapter").select("conv_id", "turn", "chapter")
 
 
-@query("SELECT user_id, least(row_number() OVER (ORDER BY min(ts)), 6) AS level FROM events GROUP BY user_id")
+@query("SELECT event_type, user_id, least(row_number() OVER (PARTITION BY event_type ORDER BY min(ts)), 6) AS level FROM events GROUP BY event_type, user_id")
 def heading_rank_first_seen(spark, sf_dir):
-    df = t(spark, sf_dir, "events").withColumn("all", F.lit(1))
-    return R.first_seen_rank(df, ["all"], "ts", "user_id").select("user_id", F.col("level").cast("long").alias("level"))
+    found = R.first_seen_rank(t(spark, sf_dir, "events"), ["event_type"], "ts", "user_id")
+    return found.select("event_type", "user_id", F.col("level").cast("long").alias("level"))
 
 
 @query("""WITH m AS (SELECT event_id, user_id, ts, event_type = 'click' AS b, lag(event_type = 'click', 1, false) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)
@@ -389,7 +389,7 @@ def page_blocks(spark, sf_dir):
     return api.document_blocks(pages, path=None, format="html").groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) = '' OR TRUE AS whole FROM pages")
+@query("SELECT page_id, TRUE AS whole FROM pages")
 def blocks_render_round_trip(spark, sf_dir):
     """Blocks rendered again are the conversion."""
     pages = t(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
@@ -424,6 +424,64 @@ def number_labels(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", X.number_label(F.col("l_extendedprice")).alias("price"), "n")
 
 
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, list_max(list_transform(string_split(text, chr(10)), lambda x: len(string_split(x, '|')))) AS width, list_bool_and(list_transform(string_split(text, chr(10)), lambda x: NOT contains(x, '|'))) AS plain FROM documents")
+def grid_widths(spark, sf_dir):
+    """The width of a ragged grid, and whether all of its rows are plain."""
+    lines = F.split("text", "\n", -1)
+    width = F.array_max(F.transform(lines, lambda x: F.size(F.split(x, r"\|", -1)))).cast("long")
+    return t(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), width.alias("width"), F.forall(lines, lambda x: ~x.contains("|")).alias("plain"))
+
+
+_LINES = [
+    # line, indent, underline, enumeration stripped, delimiter, page marker, repeat key, local name
+    ("=====", 0, "=", None, False, False, "=====", "====="),
+    ("  1. one", 2, None, None, False, False, "#. one", "  1. one"),
+    ("12) two", 0, None, "two", False, False, "#) two", "12) two"),
+    ("#. three", 0, None, "three", False, False, "#. three", "#. three"),
+    ("----", 0, "-", None, True, False, "----", "----"),
+    ("--- ", 0, "-", None, False, False, "---", "--- "),
+    ("<!-- page 3 -->", 0, None, None, False, True, "<!-- page # -->", "<!-- page 3 -->"),
+    ("Page 3 of 42", 0, None, None, False, False, "page # of #", "Page 3 of 42"),
+    ("w:val", 0, None, None, False, False, "w:val", "val"),
+    ("", 0, None, None, False, False, "", ""),
+]
+
+
+def _sql_value(v) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else lit(v)
+
+
+@query(f"SELECT line, indent::INT AS indent, underline, stripped, delimiter, marker, repeat_key, local FROM (VALUES {', '.join('(' + ', '.join(map(_sql_value, r)) + ')' for r in _LINES)}) AS v(line, indent, underline, stripped, delimiter, marker, repeat_key, local)")
+def line_functions(spark, sf_dir):
+    x = F.col("line")
+    df = values(spark, [(r[0],) for r in _LINES], "line")
+    return df.select("line", X.indent_of(x).alias("indent"), X.underline_char(x).alias("underline"), X.strip_enumeration(x, hash_mark=True).alias("stripped"), X.is_delimiter(x, "-").alias("delimiter"), X.is_page_marker(x).alias("marker"), X.repeat_key(x).alias("repeat_key"), X.local_name(x).alias("local"))
+
+
+_STYLES = [("Heading1", 1, False), ("heading 3", 3, False), ("Titre2", 2, False), ("Heading7", 0, False), ("Title", 0, False), ("Quote", 0, True), ("IntenseQuote", 0, True), ("Normal", 0, False)]
+
+
+@query(f"SELECT style, level::INT AS level, quote FROM (VALUES {', '.join('(' + ', '.join(map(_sql_value, r)) + ')' for r in _STYLES)}) AS v(style, level, quote)")
+def style_functions(spark, sf_dir):
+    df = values(spark, [(r[0],) for r in _STYLES], "style")
+    return df.select("style", X.style_level(F.col("style")).alias("level"), X.is_quote_style(F.col("style")).alias("quote"))
+
+
+_CELLS = [("| a | b |", "a,b", False), ("|---|:--:|", "---,:--:", True), ("|x|", "x", False), ("no", None, None), ("| | |", ",", False)]
+
+
+@query(f"SELECT line, cells, separator FROM (VALUES {', '.join('(' + ', '.join(map(_sql_value, r)) + ')' for r in _CELLS)}) AS v(line, cells, separator)")
+def table_row_functions(spark, sf_dir):
+    cells = X.table_cells(F.col("line"))
+    return values(spark, [(r[0],) for r in _CELLS], "line").select("line", F.array_join(cells, ",").alias("cells"), X.is_separator_row(cells).alias("separator"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '***' || role || '***' WHEN turn % 4 = 2 THEN '**' || role || '**' WHEN turn % 4 = 1 THEN '*' || role || '*' ELSE role END AS run FROM conversations")
+def styled_runs(spark, sf_dir):
+    kind = F.col("turn") % 4
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", X.styled(F.col("role"), kind >= 2, (kind % 2) == 1).alias("run"))
+
+
 # Fixtures
 
 
