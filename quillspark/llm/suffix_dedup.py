@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import hold, tune, whole_text
+from quillspark.llm._common import apart, hold, tune, whole_text
 
 LENGTH = 400
 GRAM = 48
@@ -319,7 +319,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     slim = docs.select(F.coalesce(doc, F.lit(0)).alias("doc_id"), F.xxhash64(text, doc.isNull()).alias("th"), text.cast("binary").alias("text"), doc.isNull().alias("no_id"))
     lines = hold(slim.mapInArrow(_find_anchors(length, gram), KEY + ", no_id boolean, full_sha256 string, n_bytes long, places array<int>, grams array<long>"))
     each = lines.select("doc_id", "th", F.explode(F.arrays_zip("places", "grams")).alias("a")).select("doc_id", "th", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"))
-    again = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    again = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart("gram").alias("gram"))
     wanted = each.hint("merge").join(again.hint("merge"), "gram").groupBy("doc_id", "th").agg(F.collect_set(F.struct("place", "gram")).alias("a"))
     wanted = wanted.select("doc_id", "th", F.col("a.place").alias("places"), F.col("a.gram").alias("grams"))
     texts = slim.drop("no_id").hint("merge").join(wanted.hint("merge"), ["doc_id", "th"])
