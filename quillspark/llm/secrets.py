@@ -107,7 +107,7 @@ class Ledger:
         same = F.col("path").eqNullSafe(F.col("__path")) & (F.col("blob") == F.col("__blob"))
         texts = versions.hint("merge").join(unseen.hint("merge"), same).select("blob", "text")
         tune(self.spark)
-        found = hold(texts.mapInArrow(_scan(version), FOUND))
+        found = hold(texts.mapInArrow(_scan(version), FOUND)).dropDuplicates(["blob"])  # where rows repeat
         found.coalesce(max(1, found.count() // FILE_ROWS)).write.mode("append").parquet(self.path)  # few, large files
 
 
@@ -117,7 +117,5 @@ def scan_versions(docs: DataFrame, ledger: Ledger | None = None, path_col: str =
     text = whole_text(text_col)
     versions = docs.select(F.col(path_col).alias("path"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"), text.alias("text"))
     ledger.add(versions, version)
-    found = ledger.found(version).drop("rules")
-    # A blob may come twice where rows repeat or scans overlapped; what was found is the same.
-    found = found.groupBy("blob").agg(*[F.max(c).alias(c) for c in found.columns if c != "blob"])
+    found = ledger.found(version).drop("rules")  # one row for each blob: joined by it without a sum, hot blobs split
     return versions.select("path", "blob").hint("merge").join(found.hint("merge"), "blob").drop("blob")
