@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import hold, materialize, tune, whole_text
+from quillspark.llm._common import apart, hold, materialize, tune, whole_text
 
 SEED = 42
 PIVOTS = 16
@@ -178,7 +178,7 @@ def near_links(nodes: DataFrame, max_distance: int = 3, n_pivots: int = PIVOTS,
         sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         last = level == levels - 1
         small = sizes if last else sizes.filter(F.col("n") <= table_rows)
-        ready = keyed.join(small.select("key"), "key").select("key", "fp")
+        ready = keyed.join(small.select(apart("key").alias("key")), "key").select("key", "fp")
         out = ready.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
         found = out if found is None else found.unionByName(out)
         if last:
@@ -186,7 +186,7 @@ def near_links(nodes: DataFrame, max_distance: int = 3, n_pivots: int = PIVOTS,
         large = sizes.filter(F.col("n") > table_rows).select("key")
         if large.isEmpty():
             break
-        waiting = keyed.join(large, "key")
+        waiting = keyed.join(large.select(apart("key").alias("key")), "key")
     return found if found is not None else spark.createDataFrame([], "a long, b long")
 
 
