@@ -82,7 +82,7 @@ def route(df: DataFrame, content: str = "content", path: str | None = "path", fo
         error = error.when(F.col("format") != registry.MARKDOWN, "a target can be given for Markdown input only")
     extensions = F.create_map(*[F.lit(x) for name, w in registry.WRITERS.items() for x in (name, w.extension)])
     out = out.withColumn("target", target)
-    return out.withColumns({"ext": F.coalesce(F.element_at(extensions, "target"), F.lit("md")), "error": error})
+    return out.withColumns({"ext": F.coalesce(F.element_at(extensions, F.col("target")), F.lit("md")), "error": error})
 
 
 def convert(df: DataFrame, content: str = "content", path: str | None = "path", format: str | None = None, to: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
