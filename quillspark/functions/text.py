@@ -60,8 +60,9 @@ def number_label(x: Column) -> Column:
     whole = power + 1
     large = F.concat(sign, F.rpad(F.substring(digits, F.lit(1), whole), whole, F.lit("0")), F.when(F.length(digits) > whole, F.concat(F.lit("."), F.substring(digits, whole + 1, F.length(digits)))).otherwise(""))
     small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    plain = F.when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").otherwise(F.regexp_replace(s, r"\.0\z", ""))
-    return F.when(power >= 0, large).when(power < 0, small).otherwise(plain)
+    odd = F.when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").otherwise(F.when(power >= 0, large).otherwise(small))
+    plain = F.when(s.endswith(".0"), F.substring(s, F.lit(1), F.length(s) - 2)).otherwise(s)
+    return F.when(F.contains(s, F.lit("E")) | F.contains(s, F.lit("y")), odd).otherwise(plain)  # few have an exponent
 
 
 def primitive_label(x: Column) -> Column:

@@ -111,6 +111,15 @@ def render(blocks: DataFrame, *keys: str) -> DataFrame:
     return blocks.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda b: b["md"]), "").alias("output"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its input is so small that it has fewer partitions than there are cores.
+
+    Parsing is what takes time, so moving a few megabytes is worth it; larger inputs are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def register_sql(spark: SparkSession) -> None:
     """``quill_convert(data, format)`` for SQL."""
     spark.udf.register("quill_convert", _convert_udf)

@@ -380,13 +380,13 @@ def html_script_count(spark, sf_dir):
 def page_to_markdown(spark, sf_dir):
     """The flagship: web pages to Markdown."""
     pages = t(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("content"))
-    return api.convert(pages, path=None, format="html").select("page_id", "url", "output", "error")
+    return api.convert(api.spread(pages), path=None, format="html").select("page_id", "url", "output", "error")
 
 
 @query()
 def page_blocks(spark, sf_dir):
     pages = t(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
-    return api.document_blocks(pages, path=None, format="html").groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    return api.document_blocks(api.spread(pages), path=None, format="html").groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @query("SELECT page_id, TRUE AS whole FROM pages")
@@ -505,7 +505,7 @@ for _format in dict.fromkeys(f[0] for f in fixtures.WRITER_FIXTURES):
 def _documents_to(target: str, name: str) -> None:
     def run(spark, sf_dir):
         docs = t(spark, sf_dir, "documents").select("doc_id", F.encode(F.concat(F.lit("# Document\n\n"), "text"), "UTF-8").alias("content"))
-        out = api.convert(docs, path=None, format="markdown-docx", to=target)
+        out = api.convert(api.spread(docs), path=None, format="markdown-docx", to=target)
         return out.select("doc_id", "ext", F.length(F.coalesce(F.encode("output", "UTF-8"), "output_data")).alias("n_bytes"), "error")
 
     run.__name__ = name
