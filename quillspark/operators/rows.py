@@ -95,6 +95,30 @@ def strip_repeated_edges(df: DataFrame, document: Keys, page: str, order: str, l
     return df.join(drop, [*document, page, order], "left").withColumn(line, F.when(F.col("__drop"), "").otherwise(F.col(line))).drop("__drop")
 
 
+def table_blocks(df: DataFrame, keys: Keys, order: str, line: str) -> DataFrame:
+    """Lines with their pipe tables put right: ``keys, order, part, line``.
+
+    Rows that follow each other, or are one blank line apart, are a table. A first row with a single filled cell before
+    one with several is a title and moves out; a table without a separator gets one after its header.
+    """
+    w = _window(keys, [order])
+    rows = df.select(*keys, order, line, X.table_cells(F.col(line)).alias("__c"))
+    bridge = F.col("__c").isNull() & (X.trim_white(F.col(line)) == "") & F.lag("__c").over(w).isNotNull() & F.lead("__c").over(w).isNotNull()
+    rows = runs(rows.withColumn("__t", F.col("__c").isNotNull() | bridge), keys, [order], F.col("__t"), "__run")
+    rows = rows.filter(~F.col("__t") | F.col("__c").isNotNull())
+    within = _window([*keys, "__run"], [order])
+    filled = lambda c: F.size(F.filter(c, lambda x: x != ""))
+    rows = rows.withColumns({"__k": F.row_number().over(within), "__next": F.lead("__c").over(within)})
+    title = (F.col("__k") == 1) & (F.size("__c") > 1) & (filled(F.col("__c")) == 1) & F.col("__next").isNotNull() & ~X.is_separator_row(F.col("__next")) & (filled(F.col("__next")) > 1)
+    rows = rows.withColumn("__title", F.coalesce(title, F.lit(False)))
+    header = ~F.col("__title") & ((F.col("__k") == 1) | F.lag("__title", 1, False).over(within))
+    bare = header & (F.col("__next").isNull() | ~X.is_separator_row(F.col("__next")))
+    shown = F.when(F.col("__c").isNull(), F.array(F.col(line)))
+    shown = shown.when(F.col("__title"), F.array(F.concat(F.lit("## "), F.array_join("__c", "")), F.lit("")))
+    shown = shown.when(bare, F.array(X.pipe_row(F.col("__c")), X.separator_row(F.size("__c"), "row"))).otherwise(F.array(X.pipe_row(F.col("__c"))))
+    return rows.withColumn("__lines", shown).select(*keys, order, F.posexplode("__lines").alias("part", line))
+
+
 # Grids, keys and lookups
 
 

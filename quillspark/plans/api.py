@@ -52,7 +52,9 @@ def _arrow(type: T.DataType) -> pa.DataType:
 
 @F.arrow_udf(RESULT)
 def _convert_udf(data: pa.Array, format: pa.Array) -> pa.Array:
-    return pa.array([_convert_one(d, f) for d, f in zip(data.to_pylist(), format.to_pylist(), strict=True)], _arrow(RESULT))
+    found = [_convert_one(d, f) for d, f in zip(data.to_pylist(), format.to_pylist(), strict=True)]
+    type = _arrow(RESULT)
+    return pa.StructArray.from_arrays([pa.array([r[f.name] for r in found], f.type) for f in type], fields=list(type))
 
 
 @F.arrow_udf(BLOCKS)

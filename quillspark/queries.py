@@ -257,6 +257,22 @@ def strip_repeated_lines(spark, sf_dir):
     return R.strip_repeated_edges(_page_lines(spark, sf_dir), ["host"], "page_id", "line_no", "line").select("page_id", "line_no", "line")
 
 
+_TABLES = [
+    ("plain", "| Name | Age |\n| Alice | 30 |\n| Bob | 40 |", "| Name | Age |\n| --- | --- |\n| Alice | 30 |\n| Bob | 40 |"),
+    ("title", "| Sales Report |  |  |  |\n\n| Name | Region | Q1 | Q2 |\n| A | B | 1 | 2 |", "## Sales Report\n\n| Name | Region | Q1 | Q2 |\n| --- | --- | --- | --- |\n| A | B | 1 | 2 |"),
+    ("whole", "| a | b |\n| --- | --- |\n| 1 | 2 |", "| a | b |\n| --- | --- |\n| 1 | 2 |"),
+    ("text", "one\n\ntwo | three", "one\n\ntwo | three"),
+]
+
+
+@query(f"SELECT name, text FROM (VALUES {value_rows([(n, out) for n, _, out in _TABLES])}) AS v(name, text)")
+def pdf_table_blocks(spark, sf_dir):
+    lines = values(spark, [(n, k, x) for n, s, _ in _TABLES for k, x in enumerate(s.split("\n"))], "name, line_no, line")
+    fixed = R.table_blocks(lines, ["name"], "line_no", "line")
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "part", "line")))
+    return fixed.groupBy("name").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+
+
 # Lookups
 
 

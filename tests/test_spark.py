@@ -200,3 +200,17 @@ def test_nothing_else_imports_the_pipeline_operators():
             if name.endswith(".py") and not folder.endswith("/llm"):
                 with open(f"{folder}/{name}") as f:
                     assert "quillspark.llm" not in f.read(), name
+
+
+def test_command_line(spark, tmp_path, capfdbinary):
+    from quillspark.plans.cli import main
+
+    for name, text in (("b.json", "[1]"), ("a.yaml", "x: 1"), ("m.md", "# T\n"), ("bad.json", "{")):
+        (tmp_path / name).write_text(text)
+    assert main([str(tmp_path / "b.json"), str(tmp_path / "a.yaml")], spark) == 0
+    assert capfdbinary.readouterr().out == b"- 1\n\n\n---\n\n| Key | Value |\n|---|---|\n| x | 1 |\n\n"
+    assert main([str(tmp_path / "m.md"), "--to", "org"], spark) == 0
+    assert capfdbinary.readouterr().out == b"* T\n\n"
+    assert main([str(tmp_path / "b.json"), "--to", "org"], spark) == 1
+    assert main([str(tmp_path / "bad.json"), str(tmp_path / "m.md"), "--output-dir", str(tmp_path / "out"), "--permissive"], spark) == 1
+    assert os.listdir(tmp_path / "out") == ["m.docx"]
