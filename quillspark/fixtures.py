@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 
 KV = "| Key | Value |\n|---|---|\n"
@@ -144,3 +145,55 @@ BINARY_FIXTURES: list[tuple[str, str, bytes, str]] = [
     ("powerpoint", "empty_slide", packed({"ppt/slides/slide1.xml": slide()}), "# Slide 1\n\n*Empty slide*\n"),
     ("zip", "one_stored", packed({"a.txt": "x" * 2048}), "# Archive\n\n**Total entries**: 1\n\n| # | Name | Size | Compressed | Method |\n|---|------|------|------------|--------|\n| 1 | a.txt | 2.0 KB | 2.0 KB | Stored |\n\n**Total size**: 2.0 KB (compressed: 2.0 KB, ratio: 0.0%)\n"),
 ]
+
+
+def _tar() -> bytes:
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name, kind, data in (("d", tarfile.DIRTYPE, b""), ("d/a.txt", tarfile.REGTYPE, b"x" * 1536), ("l", tarfile.SYMTYPE, b"")):
+            info = tarfile.TarInfo(name)
+            info.type, info.size, info.linkname = kind, len(data), "d/a.txt"
+            t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def _sqlite() -> bytes:
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v REAL, s TEXT)")
+    db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(k, k / 2, "x|y" if k else None) for k in range(2)])
+    db.commit()
+    return db.serialize()
+
+
+def _png() -> bytes:
+    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 640, 480, 8, 6, 0, 0, 0)
+
+
+def _wav() -> bytes:
+    return b"RIFF" + struct.pack("<I", 36 + 16000) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", 16000) + b"\0" * 16000
+
+
+def _mp4() -> bytes:
+    box = lambda name, body: struct.pack(">I4s", 8 + len(body), name) + body
+    return box(b"ftyp", b"isom\0\0\0\0") + box(b"moov", box(b"mvhd", b"\0" * 12 + struct.pack(">II", 1, 3725) + b"\0" * 80))
+
+
+def _epub() -> bytes:
+    opf = '<package><metadata><dc:title>Book</dc:title><dc:creator>A</dc:creator></metadata><manifest><item id="1" href="a.xhtml"/><item id="2" href="b.xhtml"/></manifest><spine><itemref idref="2"/><itemref idref="9"/><itemref idref="1"/></spine></package>'
+    return packed({"mimetype": "application/epub+zip", "META-INF/container.xml": '<container><rootfiles><rootfile full-path="o/c.opf"/></rootfiles></container>', "o/c.opf": opf, "o/a.xhtml": "<p>first</p>", "o/b.xhtml": "<p>second</p>"})
+
+
+BINARY_FIXTURES += [
+    ("tar", "three_kinds", _tar(), "# Archive\n\n**Total entries**: 3\n\n| # | Name | Size | Type |\n|---|------|------|------|\n| 1 | d/ | - | dir |\n| 2 | d/a.txt | 1.5 KB | file |\n| 3 | l | 0 B | symlink |\n\n**Total size**: 1.5 KB\n"),
+    ("sqlite", "one_table", _sqlite(), "# Database\n\n**Tables**: 1\n\n## t\n\n| Column | Type | PK |\n|--------|------|----|\n| id | INTEGER | yes |\n| v | REAL |  |\n| s | TEXT |  |\n\n**Rows**: 2\n\n| id | v | s |\n|---|---|---|\n| 0 | 0 | NULL |\n| 1 | 0.5 | x\\|y |\n"),
+    ("image", "png_header", _png(), "# Image\n\n| Property | Value |\n|----------|-------|\n| Format | Png |\n| Size | 29 B |\n| Dimensions | 640x480 |\n| Color Type | Rgba8 |\n"),
+    ("image", "svg", b"<svg xmlns='x'/>", "# Image\n\n| Property | Value |\n|----------|-------|\n| Format | SVG |\n| Size | 16 B |\n"),
+    ("audio", "one_second", _wav(), "# Audio\n\n## File Info\n\n| Property | Value |\n|----------|-------|\n| Format | Wav |\n| Size | 15.7 KB |\n| Duration | 0:01 |\n| Bitrate | 128 kbps |\n| Sample Rate | 8000 Hz |\n| Channels | 1 (Mono) |\n\n"),
+    ("video", "over_an_hour", _mp4(), "# Video\n\n## File Info\n\n| Property | Value |\n|----------|-------|\n| Format | Mp4 |\n| Size | 132 B |\n| Duration | 1:02:05 |\n\n"),
+    ("epub", "spine_order", _epub(), "# Book\n\n**Author**: A\n\n---\n\nsecond\n\n---\n\nfirst\n"),
+    ("pdf", "no_text", pdf([[]]), "*PDF contains no extractable text (may be scanned/image-based)*\n"),
+]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import itertools
 import json
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -19,11 +20,11 @@ from quillspark.mdast import Node, as_dicts, parse, text_of
 
 # What LaTeX writes for characters of its own.
 LATEX_ESCAPES = {"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\\": r"\textbackslash{}"}
-_LATEX = str.maketrans(LATEX_ESCAPES)
+_LATEX = re.compile(f"[{re.escape(''.join(LATEX_ESCAPES))}]")
 
 
 def latex_escape(s: str) -> str:
-    return s.translate(_LATEX)
+    return _LATEX.sub(lambda m: LATEX_ESCAPES[m[0]], s)
 
 
 def html_escape(s: str) -> str:

@@ -40,6 +40,8 @@ class _Reader(HTMLParser):
 
     def flush(self) -> None:
         """What inline text has gathered becomes a block."""
+        if not self.text:
+            return
         text = trim(re.sub(r"[ \t\n\r\f]+", " ", "".join(self.text)).replace(" \\\n", "\\\n").replace("\x00 ", "\x00").replace("\x00", "  \n"))
         self.text, self.marks, self.links = [], [], []
         if self.rows is not None:
