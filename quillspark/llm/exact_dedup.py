@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._common import materialize, new_path, whole_text
 
+#: Rows of a batch for each bucket of an index that is made for it, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 32
+
 SCHEMA = "digest binary, keep_id long, copies long, keep_at long, batch string"
 
 
@@ -42,12 +45,17 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class DigestIndex:
     """A digest index in a bucketed table; ``path`` names where its files lie, an existing index there is opened."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = LEAST_BUCKETS):
         self.spark, self.buckets = spark, buckets
         self.path = path or new_path(spark, "digests")
         self.name = f"quill_digests_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.name} ({SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
 
+    @classmethod
+    def made_for(cls, digested: DataFrame) -> DigestIndex:
+        """A new index with as many buckets as a batch of this size asks for."""
+        return cls(digested.sparkSession, buckets=max(LEAST_BUCKETS, digested.count() // BUCKET_ROWS))
+
     def table(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
@@ -68,8 +76,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
     ``group_size`` counts the rows of the batch that first brought the text. ``kept`` marks rows of this batch.
     """
-    index = index or DigestIndex(docs.sparkSession)
     rows = digests(docs, id_col, text_col)
+    index = index or DigestIndex.made_for(rows)
     name = index.add(rows)
     held = index.table().select("digest", "keep_id", "copies", "keep_at", "batch")
     kept = (F.col("keep_at") == F.col("at")) & (F.col("batch") == name)
@@ -81,11 +89,12 @@ def kept_documents(docs: DataFrame, index: DigestIndex | None = None, id_col: st
 
     Texts meet their digests again by doc_id, so that a large group of copies is not sent to one task.
     """
-    index = index or DigestIndex(docs.sparkSession)
-    name = index.add(digests(docs, id_col, text_col))
+    rows = digests(docs, id_col, text_col)
+    index = index or DigestIndex.made_for(rows)
+    name = index.add(rows)
     stay = index.table().filter(F.col("batch") == name).select(F.col("keep_id").alias("__keep_id"), F.col("digest").alias("__keep_digest"))
-    rows = docs.withColumn("__digest", digest_of(text_col))
+    texts = docs.withColumn("__digest", digest_of(text_col))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id")) & (F.col("__digest") == F.col("__keep_digest"))
     longest = W.partitionBy("__keep_id", "__keep_digest").orderBy(F.char_length(whole_text(text_col)).desc())
-    one = rows.hint("merge").join(stay.hint("merge"), same).withColumn("__n", F.row_number().over(longest)).filter("__n = 1")
+    one = texts.hint("merge").join(stay.hint("merge"), same).withColumn("__n", F.row_number().over(longest)).filter("__n = 1")
     return one.select(*docs.columns)
