@@ -34,11 +34,34 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quill-{tag}-{uuid.uuid4().hex}"
 
 
+def _kept(spark: SparkSession) -> dict[str, list]:
+    if not hasattr(spark, "_quill_kept"):
+        spark._quill_kept = {"frames": [], "paths": []}
+    return spark._quill_kept
+
+
+def clear(spark: SparkSession) -> None:
+    """Drop what operators of this session have held and written on the way.
+
+    For when their results have been written or are no longer needed: a result that is read later needs them. Ledgers
+    and indexes stay.
+    """
+    kept = _kept(spark)
+    for df in kept["frames"]:
+        df.unpersist()
+    for path in kept["paths"]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    kept["frames"].clear()
+    kept["paths"].clear()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, and no executor's loss loses it."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    _kept(spark)["paths"].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,9 +76,11 @@ def hold(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     before = conf.get(name)
     conf.set(name, str(rows))
     try:
-        return df.persist(StorageLevel.DISK_ONLY)
+        held = df.persist(StorageLevel.DISK_ONLY)
     finally:
         conf.set(name, before)
+    _kept(df.sparkSession)["frames"].append(held)
+    return held
 
 
 def apart(column):

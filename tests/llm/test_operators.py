@@ -523,6 +523,23 @@ def test_suffix_order_and_common_prefixes(tmp_path):
     assert found == want
 
 
+# What operators keep
+
+
+def test_what_operators_keep_can_be_cleared(spark, docs):
+    from quillspark.llm._common import clear, hold, materialize, shared_dir
+
+    held, written = hold(docs), materialize(docs, "test")
+    assert held.storageLevel.useDisk and not held.storageLevel.useMemory
+    assert written.inputFiles() and all(shared_dir(spark).removeprefix("file://") in f for f in written.inputFiles())
+    assert multiset(written.collect(), "doc_id", "text") == multiset(docs.collect(), "doc_id", "text") == multiset(held.collect(), "doc_id", "text")
+    batch = spark.conf.get("spark.sql.inMemoryColumnarStorage.batchSize")
+    clear(spark)
+    assert spark.conf.get("spark.sql.inMemoryColumnarStorage.batchSize") == batch and not held.storageLevel.useDisk
+    with pytest.raises(Exception, match="(?i)not exist|not_exist|not found|notfound"):
+        written.collect()
+
+
 # The pipeline and the queries
 
 
