@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import materialize, tune, whole_text
+from quillspark.llm._common import hold, materialize, tune, whole_text
 
 CAPACITY = 1024
 END_ID = 2
@@ -210,8 +210,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, **opti
     """A row for each piece: its document, its place there, its sequence and its place in that."""
     spark = docs.sparkSession
     rows = materialize(pieces(docs, capacity=capacity, **options), "pieces")
-    per_chunk = rows.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    per_chunk = materialize(per_chunk, "piece-counts")
+    per_chunk = hold(rows.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")))
     counts = np.zeros(capacity + 1, np.int64)
     for x in per_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[x["length"]] = x["n"]
