@@ -39,8 +39,9 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch eu
 LEET = str.maketrans("013457@$!|", "oieastasil")
 
 LETTERS = re.compile(r"[^\W\d_]+")
-OBFUSCATED = re.compile(r"[^\W\d_]+[0-9@$!|*_.-][^\s,;:]*[^\W\d_]")
-STRETCHED = re.compile(r"([^\W\d_])\1\1")
+#: A mark or digit within a word; the letters before it are added where it is found.
+MASKED = re.compile(r"[^\W\d_][0-9@$!|*_.-][^\s,;:]*[^\W\d_]")
+MARKS = "*#$%&"
 NAMES = ("log_words", "hits", "hit_density", "hit_weight", "weight_density", "strongest", "distinct_hits", "insult_density", "you_density", "near_you", "near_you_share", "capitals", "shouted", "exclaims", "questions", "other_marks", "obfuscated", "obfuscated_hits", "stretched", "clustered")
 
 
@@ -49,31 +50,65 @@ def tokens(word: str) -> tuple[str, ...]:
     return (word, word[:4] + "-", word[:5] + "-") if len(word) > 4 else (word, word + "-")
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    words = LETTERS.findall(text.lower())
-    n = len(words)
-    if not text:
-        return [0.0] * len(NAMES)
-    get, per = lexicon.get, 100 / max(n, 1)
-    worth: dict[str, float] = {}
-    for w in set(words):
-        if value := max(get(w, 0.0), get(w[:4] + "-", 0.0), get(w[:5] + "-", 0.0)):
-            worth[w] = value
-    hits = [k for k, w in enumerate(words) if w in worth] if worth else []
-    weight = sum(worth[words[k]] for k in hits)
-    near = sum(not YOU.isdisjoint(words[max(0, k - 4) : k + 5]) for k in hits)
-    clustered = max((sum(1 for j in hits[i : i + 20] if j - k < 50) for i, k in enumerate(hits[:400])), default=0)
-    size = len(text)
-    capitals = sum(map(str.isupper, text)) if not text.islower() else 0
-    odd = OBFUSCATED.findall(text)
-    unmasked = [w for x in odd for w in LETTERS.findall(x.lower().translate(LEET))]
-    shouted = len(re.findall(r"\b[A-ZÀ-Þ]{3,}\b", text))
-    marks = text.count("!"), text.count("?"), sum(text.count(c) for c in "*#$%&")
-    return [
-        math.log1p(n), len(hits), len(hits) * per, weight, weight * per, max(worth.values(), default=0.0), len(worth), sum(w in INSULTS for w in words) * per,
-        sum(w in YOU for w in words) * per, near, near / max(len(hits), 1), capitals / size, shouted * per, marks[0] * per, marks[1] * per, marks[2] * per,
-        len(odd) * per, sum(any(t in lexicon for t in tokens(w)) or w in INSULTS for w in unmasked), len(STRETCHED.findall(text)) * per, clustered,
-    ]
+class Features:
+    """Computes the features of texts; it remembers what words are worth, as far as memory allows."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon, self.known = lexicon, {}
+
+    def worth(self, word: str) -> float:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            get = self.lexicon.get
+            found = self.known[word] = max(get(word, 0.0), get(word[:4] + "-", 0.0), get(word[:5] + "-", 0.0))
+        return found
+
+    def of(self, text: str) -> list[float]:
+        if not text:
+            return [0.0] * len(NAMES)
+        words = LETTERS.findall(text.lower())
+        n, seen = len(words), set(words)
+        per = 100 / max(n, 1)
+        worth = {w: value for w in seen if (value := self.worth(w))}
+        hits = [k for k, w in enumerate(words) if w in worth] if worth else []
+        weight = sum(worth[words[k]] for k in hits)
+        near = sum(not YOU.isdisjoint(words[max(0, k - 4) : k + 5]) for k in hits)
+        clustered = max((sum(1 for j in hits[i : i + 20] if j - k < 50) for i, k in enumerate(hits[:400])), default=0)
+        insults = sum(w in INSULTS for w in words) if not seen.isdisjoint(INSULTS) else 0
+        you = sum(w in YOU for w in words) if not seen.isdisjoint(YOU) else 0
+        odd = [self._whole(text, m) for m in MASKED.finditer(text)]
+        unmasked = [w for x in odd for w in LETTERS.findall(x.lower().translate(LEET))]
+        capitals, shouted, stretched = _letters(text)
+        marks = sum(map(text.count, MARKS))
+        return [
+            math.log1p(n), len(hits), len(hits) * per, weight, weight * per, max(worth.values(), default=0.0), len(worth), insults * per,
+            you * per, near, near / max(len(hits), 1), capitals / len(text), shouted * per, text.count("!") * per, text.count("?") * per, marks * per,
+            len(odd) * per, sum(bool(self.worth(w)) or w in INSULTS for w in unmasked), stretched * per, clustered,
+        ]
+
+    @staticmethod
+    def _whole(text: str, m: re.Match) -> str:
+        start = m.start()
+        while start and text[start - 1].isalpha():
+            start -= 1
+        return text[start : m.end()]
+
+
+def _letters(text: str) -> tuple[int, int, int]:
+    """Capitals, words of three and more capitals, and letters that stand three times in a row; of A to Z."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    upper = (b >= 65) & (b <= 90)
+    n = int(upper.sum())
+    shouted = 0
+    if n >= 3:
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], upper, [False]]).astype(np.int8)))
+        shouted = int((edges[1::2] - edges[::2] >= 3).sum())
+    same = b[1:] == b[:-1]
+    triple = same[1:] & same[:-1]
+    stretched = int((((b[2:] | 32) >= 97) & ((b[2:] | 32) <= 122) & triple).sum()) if triple.any() else 0
+    return n, shouted, stretched
 
 
 # Trees
@@ -171,21 +206,31 @@ COUNTS = ("toxic_fit", "n_fit", "toxic", "n")
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each token, of label 1 and in all, among the fitting rows and all, summed as memory allows."""
 
-    def out(seen):
-        return pa.RecordBatch.from_arrays([pa.array(list(seen[3]), pa.string()), *(pa.array([c[k] for k in seen[3]], pa.int64()) for c in seen)], ["token", *COUNTS])
+    def fresh():
+        """By whether rows calibrate and are toxic: words, and beginnings of words."""
+        return {(c, y): (Counter(), Counter()) for c in (False, True) for y in (False, True)}
 
-    seen = [Counter() for _ in COUNTS]
+    def out(seen):
+        for kind, mark in ((0, ""), (1, "-")):
+            every = list(set().union(*(seen[k][kind] for k in seen)))
+            get = lambda c, y: np.fromiter((seen[c, y][kind][t] for t in every), np.int64, len(every))  # noqa: B023, E731
+            toxic_fit, toxic_rest = get(False, True), get(True, True)
+            n_fit, n_rest = toxic_fit + get(False, False), toxic_rest + get(True, False)
+            yield pa.RecordBatch.from_arrays([pa.array([t + mark for t in every], pa.string()), *map(pa.array, (toxic_fit, n_fit, toxic_fit + toxic_rest, n_fit + n_rest))], ["token", *COUNTS])
+
+    seen, rows = fresh(), 0
     for b in batches:
         for text, y, calibrates in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            here = {t for w in set(LETTERS.findall(text.lower())) for t in tokens(w)}
-            for counter, counts in zip(seen, (y and not calibrates, not calibrates, y, True), strict=True):
-                if counts:
-                    counter.update(here)
-        if len(seen[3]) > 300_000:
-            yield out(seen)
-            seen = [Counter() for _ in COUNTS]
-    if seen[3]:
-        yield out(seen)
+            words = set(LETTERS.findall(text.lower()))
+            whole, starts = seen[calibrates, y]
+            whole.update(words)
+            starts.update({w[:4] for w in words} | {w[:5] for w in words})
+            rows += 1
+        if sum(len(whole) for whole, _ in seen.values()) > 300_000:
+            yield from out(seen)
+            seen, rows = fresh(), 0
+    if rows:
+        yield from out(seen)
 
 
 def _lexicon(counts: DataFrame, toxic: int, n: int, suffix: str) -> dict[str, float]:
@@ -205,8 +250,9 @@ def _lexicon(counts: DataFrame, toxic: int, n: int, suffix: str) -> dict[str, fl
 
 def _features(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Features(lexicon.value).of
         for b in batches:
-            x = [features(t, lexicon.value) for t in b.column(0).to_pylist()]
+            x = [of(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["y", "calibrates", "x"])
 
     return run
@@ -254,10 +300,11 @@ def scored_rows(rows: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
+        of = Features(m.lexicon).of
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array([features(t or "", m.lexicon) for t in b.column(b.schema.names.index(text_col)).to_pylist()])
+            x = np.array([of(t or "") for t in b.column(b.schema.names.index(text_col)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(x), pa.float64())], [*b.schema.names, "__score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
