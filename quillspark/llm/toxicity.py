@@ -31,6 +31,7 @@ from quillspark.llm._common import hold, tune, whole_text
 
 MOST_LABELLED = 40_000
 MOST_LEXICON = 4_000
+FALSE_WORDS = 0.01
 CUT = 0.3
 
 # A small lexicon, and second-person words of four languages.
@@ -42,12 +43,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: A mark or digit within a word; the letters before it are added where it is found.
 MASKED = re.compile(r"[^\W\d_][0-9@$!|*_.-][^\s,;:]*[^\W\d_]")
 MARKS = "*#$%&"
+#: Lengths of the beginnings of words that are looked up as well as words.
+STARTS = (4, 5)
 NAMES = ("log_words", "hits", "hit_density", "hit_weight", "weight_density", "strongest", "distinct_hits", "insult_density", "you_density", "near_you", "near_you_share", "capitals", "shouted", "exclaims", "questions", "other_marks", "obfuscated", "obfuscated_hits", "stretched", "clustered")
 
 
-def tokens(word: str) -> tuple[str, ...]:
-    """What the lexicon may hold of a word: itself, and its beginnings of 4 and 5 letters, marked."""
-    return (word, word[:4] + "-", word[:5] + "-") if len(word) > 4 else (word, word + "-")
+def starts_of(word: str) -> tuple[str, ...]:
+    """The beginnings of a word that the lexicon may hold, marked."""
+    return tuple(word[:n] + "-" for n in STARTS)
 
 
 class Features:
@@ -62,7 +65,7 @@ class Features:
             if len(self.known) > 300_000:
                 self.known.clear()
             get = self.lexicon.get
-            found = self.known[word] = max(get(word, 0.0), get(word[:4] + "-", 0.0), get(word[:5] + "-", 0.0))
+            found = self.known[word] = max(get(word, 0.0), *(get(t, 0.0) for t in starts_of(word)))
         return found
 
     def of(self, text: str) -> list[float]:
@@ -224,7 +227,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = set(LETTERS.findall(text.lower()))
             whole, starts = seen[calibrates, y]
             whole.update(words)
-            starts.update({w[:4] for w in words} | {w[:5] for w in words})
+            starts.update({w[:n] for n in STARTS for w in words})
             rows += 1
         if sum(len(whole) for whole, _ in seen.values()) > 300_000:
             yield from out(seen)
@@ -234,7 +237,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lexicon(counts: DataFrame, toxic: int, n: int, suffix: str) -> dict[str, float]:
-    """Tokens with more toxic documents than chance gives to any of the tokens tried, by Chernoff's bound, and log odds."""
+    """Tokens with more toxic documents than chance gives to tokens as many as were tried, by Chernoff's bound, and log odds."""
     if not 0 < toxic < n:
         return {}
     t, m = F.col("toxic" + suffix), F.col("n" + suffix)
@@ -244,8 +247,11 @@ def _lexicon(counts: DataFrame, toxic: int, n: int, suffix: str) -> dict[str, fl
     frequent = counts.filter(t >= 3)
     tried = max(1, frequent.count())
     odds = F.log((t + 0.5) / (m - t + 0.5)) - F.log(base / (1 - base))
-    words = frequent.filter(share > base).select("token", odds.alias("odds"), rare.alias("rare")).filter((F.col("rare") > math.log(tried) + 1) & (F.col("odds") > 1.5))
-    return {r["token"]: r["odds"] for r in words.orderBy(F.desc("rare"), "token").limit(MOST_LEXICON).collect()}
+    words = frequent.filter(share > base).select("token", odds.alias("odds"), rare.alias("rare")).filter(F.col("odds") > 1.5)
+    top = words.orderBy(F.desc("rare"), "token").limit(MOST_LEXICON).collect()
+    # Benjamini and Hochberg's rule: the longest list of which a share of FALSE_WORDS at most is expected to be chance.
+    n = max((k for k, r in enumerate(top, 1) if r["rare"] >= math.log(tried / (k * FALSE_WORDS))), default=0)
+    return {r["token"]: r["odds"] for r in top[:n]}
 
 
 def _features(lexicon):
