@@ -104,3 +104,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def whole_text(name: str = "text"):
     """The text column; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``row``, so that an operator's own columns clash with none of theirs; see ``unboxed``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("row.*")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import tune, whole_text
+from quillspark.llm._common import boxed, tune, unboxed, whole_text
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes of benchmark text in one broadcast hash set.
@@ -110,22 +110,30 @@ def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "__n_words long, __runs array<struct<start: int, end: int>>, __n_items long, __ids array<string>"
+RUNS = "array<struct<start: int, end: int>>"
+#: Columns that verdicts add; a document's own columns of these names give way.
+ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with the hit runs of words and the items found: columns ``__n_words``, ``__runs``, ``__n_items``, ``__ids``."""
+    """``docs`` as one column ``row``, with ``n_words``, the hit runs of words, and the items found, ``n_items, ids``."""
     spark = docs.sparkSession
     tune(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), whole_text(item_text_col).cast("binary").alias("text"))
     total = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     at = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__runs": F.lit(None).cast("array<struct<start: int, end: int>>"), "__n_items": F.lit(0).cast("long"), "__ids": F.lit(None).cast("array<string>")})
+    none = F.lit(None)
+    out = boxed(docs).select("row", F.lit(0).cast("long").alias("n_words"), none.cast(RUNS).alias("runs"), F.lit(0).cast("long").alias("n_items"), none.cast("array<string>").alias("ids"))
     for block in range(blocks):
         held = spark.sparkContext.broadcast([(x["item_id"], bytes(x["text"])) for x in items.filter(at == block).collect()])
         out = out.mapInArrow(_pass(held, n, text_col), out.schema)
-    return out
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    return out.withColumn("n_hit", n_hit)
+
+
+def contaminated(one_in: int):
+    return (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words"))
 
 
 def _pass(held, n: int, text_col: str):
@@ -136,17 +144,16 @@ def _pass(held, n: int, text_col: str):
             cached.append(Windows(held.value, n))
         windows = cached[0]
         for b in batches:
-            names = b.schema.names
-            old = [b.column(names.index(x)).to_pylist() for x in ("__runs", "__n_items", "__ids")]
+            texts = b.column(0).field(text_col).cast(pa.binary()).to_pylist()
             counts, runs, n_items, ids = [], [], [], []
-            for text, r, k, i in zip(b.column(names.index(text_col)).cast(pa.binary()).to_pylist(), *old, strict=True):
+            for text, r, k, i in zip(texts, *(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
                 size, new, found = windows.find(text or b"")
                 counts.append(size)
                 runs.append([{"start": x, "end": y} for x, y in _merge([*((x["start"], x["end"]) for x in r or ()), *new])])
                 n_items.append(k + len(found))
                 ids.append([*(i or ()), *(windows.ids[x] for x in found if windows.ids[x] is not None)])
-            made = {"__n_words": counts, "__runs": runs, "__n_items": n_items, "__ids": ids}
-            yield pa.RecordBatch.from_arrays([pa.array(made[x], b.schema.field(x).type) if x in made else b.column(at) for at, x in enumerate(names)], schema=b.schema)
+            made = [pa.array(x, f.type) for x, f in zip((counts, runs, n_items, ids), list(b.schema)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], schema=b.schema)
 
     return run
 
@@ -154,16 +161,14 @@ def _pass(held, n: int, text_col: str):
 def verdicts(docs: DataFrame, benchmark: DataFrame, n: int = 13, one_in: int = 20, **names) -> DataFrame:
     """``docs`` with ``n_words, n_hit, n_items, items_sha256, contaminated``."""
     found = find(docs, benchmark, n, **names)
-    n_hit = F.aggregate("__runs", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    rows = found.withColumns({"n_words": F.col("__n_words"), "n_hit": n_hit, "n_items": F.col("__n_items"), "items_sha256": F.sha2(F.array_join(F.array_sort("__ids"), ",").cast("binary"), 256)})
-    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words"))).drop("__n_words", "__n_items", "__ids", "__runs")
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ADDED]
+    digest = F.sha2(F.array_join(F.array_sort("ids"), ",").cast("binary"), 256)
+    return found.select(*own, "n_words", "n_hit", "n_items", digest.alias("items_sha256"), contaminated(one_in).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, one_in: int = 20, **names) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    slim = find(docs, benchmark, n, **names)
-    n_hit = F.aggregate("__runs", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    return slim.filter(~((n_hit > 0) & (n_hit * one_in >= F.col("__n_words")))).select(*docs.columns)
+    return unboxed(find(docs, benchmark, n, **names).filter(~contaminated(one_in)))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13, text_col: str = "text", **names) -> DataFrame:
@@ -171,10 +176,8 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fields = b.schema.names
-            texts, runs = b.column(fields.index(text_col)), b.column(fields.index("__runs")).to_pylist()
-            out = []
-            for t, r in zip(texts.to_pylist(), runs, strict=True):
+            rows, out = b.column(0), []
+            for t, r in zip(rows.field(text_col).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if r:
                     data = t.encode()
                     at = [m.span() for m in WORD.finditer(data.lower())]
@@ -182,10 +185,12 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13, text_col:
                         data = data[: at[x["start"]][0]] + data[at[x["end"] - 1][1] :]
                     t = data.decode()
                 out.append(t)
-            yield b.set_column(fields.index(text_col), b.schema.field(text_col), pa.array(out, texts.type))
+            fields = list(rows.type)
+            columns = [pa.array(out, f.type) if f.name == text_col else rows.field(f.name) for f in fields]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields), b.column(1)], schema=b.schema)
 
-    found = find(docs, benchmark, n, text_col, **names)
-    return found.mapInArrow(run, found.schema).select(*docs.columns)
+    found = find(docs, benchmark, n, text_col, **names).select("row", "runs")
+    return unboxed(found.mapInArrow(run, found.schema))
 
 
 def items_sha256(ids: list[str]) -> str:

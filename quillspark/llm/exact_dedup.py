@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import materialize, new_path, whole_text
+from quillspark.llm._common import boxed, materialize, new_path, unboxed, whole_text
 
 #: Rows of a batch for each bucket of an index that is made for it, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 32
@@ -92,9 +92,9 @@ def kept_documents(docs: DataFrame, index: DigestIndex | None = None, id_col: st
     rows = digests(docs, id_col, text_col)
     index = index or DigestIndex.made_for(rows)
     name = index.add(rows)
-    stay = index.table().filter(F.col("batch") == name).select(F.col("keep_id").alias("__keep_id"), F.col("digest").alias("__keep_digest"))
-    texts = docs.withColumn("__digest", digest_of(text_col))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id")) & (F.col("__digest") == F.col("__keep_digest"))
-    longest = W.partitionBy("__keep_id", "__keep_digest").orderBy(F.char_length(whole_text(text_col)).desc())
-    one = texts.hint("merge").join(stay.hint("merge"), same).withColumn("__n", F.row_number().over(longest)).filter("__n = 1")
-    return one.select(*docs.columns)
+    stay = index.table().filter(F.col("batch") == name).select("keep_id", F.col("digest").alias("keep_digest"))
+    text = f"row.`{text_col}`"
+    texts = boxed(docs).withColumns({"id": F.col(f"row.`{id_col}`").cast("long"), "digest": digest_of(text)})
+    same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))
+    longest = W.partitionBy("keep_id", "keep_digest").orderBy(F.char_length(whole_text(text)).desc())
+    return unboxed(texts.hint("merge").join(stay.hint("merge"), same).withColumn("n", F.row_number().over(longest)).filter("n = 1"))

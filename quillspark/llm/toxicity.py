@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillspark.llm._common import hold, tune, whole_text
+from quillspark.llm._common import boxed, hold, tune, unboxed, whole_text
 
 MOST_LABELLED = 40_000
 MOST_LEXICON = 4_000
@@ -295,14 +296,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each row."""
-    scored = scored_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")), model)
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= CUT).cast("int").alias("predicted"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    return scored_rows(slim, model).select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
-def scored_rows(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``rows`` with ``__score``."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
-    tune(rows.sparkSession)
+def scored_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` as one column ``row``, and ``score``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -310,14 +311,13 @@ def scored_rows(rows: DataFrame, model: Model, text_col: str = "text") -> DataFr
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array([of(t or "") for t in b.column(b.schema.names.index(text_col)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(x), pa.float64())], [*b.schema.names, "__score"])
+            x = np.array([of(t or "") for t in b.column(0).field(text_col).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(x), pa.float64())], ["row", "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("__score", DoubleType())]))
+    rows = boxed(docs)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT, **names) -> DataFrame:
     """The documents that score below ``cut``, with their own columns."""
-    return scored_rows(docs, fit(docs, labels, **names), names.get("text_col", "text")).filter(F.col("__score") < cut).select(*docs.columns)
+    return unboxed(scored_rows(docs, fit(docs, labels, **names), names.get("text_col", "text")).filter(F.col("score") < cut))
