@@ -207,11 +207,26 @@ def _find_anchors(length: int, gram: int):
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are packed before they are sent and held, each on its own."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "th", "text"])
+
+
+def _unpacked(column: pa.Array) -> Iterator[bytes]:
+    import zstandard
+
+    return map(zstandard.ZstdDecompressor().decompress, column.to_pylist())
+
+
 def _digest_contexts(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, places, grams, firsts, seconds, sizes = [], [], [], [], [], []
-            for k, (text, ps, gs) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+            for k, (text, ps, gs) in enumerate(zip(_unpacked(b.column(2)), *(b.column(c).to_pylist() for c in (3, 4)), strict=True)):
                 for p, g in zip(ps, gs, strict=True):
                     low, high = context(text, p, length, gram)
                     h = hashlib.blake2b(b"%d:" % (p - low), digest_size=16)
@@ -235,7 +250,7 @@ def _cut_contexts(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, wanted in zip(_unpacked(b.column(0)), b.column(1).to_pylist(), strict=True):
                 rows += [(x["gram"], x["w1"], x["w2"], _padded(text, x["place"], length, gram)) for x in wanted]
             for k in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["gram", "w1", "w2", "bytes"])
@@ -286,26 +301,31 @@ def _add(columns: Columns, keys: list, b: pa.RecordBatch) -> None:
     keys.append([b.column(c).to_numpy() for c in range(3)])
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(with_bytes: bool):
     """Cut the covered runs out of each text."""
-    for b in batches:
-        kept, removed, spans = [], [], []
-        for text, covered in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            last, parts, gone, n = 0, [], 0, 0
-            stop = -1
-            for x in sorted(covered or (), key=lambda x: x["start"]):
-                if x["start"] > stop:
-                    parts.append(text[last : x["start"]])
-                    n += 1
-                    stop = x["start"]
-                if (end := min(x["stop"], len(text))) > stop:
-                    gone += end - stop
-                    stop = last = end
-            parts.append(text[last:])
-            kept.append(b"".join(parts))
-            removed.append(gone)
-            spans.append(n)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["doc_id", "th", "kept", "n_removed", "n_spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, digests, removed, spans = [], [], [], []
+            for text, covered in zip(_unpacked(b.column(2)), b.column(3).to_pylist(), strict=True):
+                parts, gone, n, last, stop = [], 0, 0, 0, -1
+                for x in sorted(covered or (), key=lambda x: x["start"]):
+                    if x["start"] > stop:
+                        parts.append(text[last : x["start"]])
+                        n += 1
+                        stop = x["start"]
+                    if (end := min(x["stop"], len(text))) > stop:
+                        gone += end - stop
+                        stop = last = end
+                rest = b"".join([*parts, text[last:]])
+                kept.append(rest)
+                digests.append(hashlib.sha256(rest).hexdigest())
+                removed.append(gone)
+                spans.append(n)
+            made = [pa.array(digests, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), *([pa.array(kept, pa.binary())] if with_bytes else [])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "th", "cut_sha256", "n_removed", "n_spans", *["kept"] * with_bytes])
+
+    return run
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -322,7 +342,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     again = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart("gram").alias("gram"))
     wanted = each.hint("merge").join(again.hint("merge"), "gram").groupBy("doc_id", "th").agg(F.collect_set(F.struct("place", "gram")).alias("a"))
     wanted = wanted.select("doc_id", "th", F.col("a.place").alias("places"), F.col("a.gram").alias("grams"))
-    texts = slim.drop("no_id").hint("merge").join(wanted.hint("merge"), ["doc_id", "th"])
+    packed = slim.mapInArrow(_pack, KEY + ", text binary")
+    texts = packed.hint("merge").join(wanted.hint("merge"), ["doc_id", "th"])
     texts = texts.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "th").orderBy("th")))
     texts = hold(texts.select("doc_id", "th", "text", "places", "grams", "nth"))
 
@@ -342,17 +363,17 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     return lines, texts, covered
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for each row.
 
-    ``kept`` holds the remaining bytes of texts that have lost some, and is null for all others.
+    ``kept`` holds the remaining bytes of texts that have lost some, and is null for all others; it is left out unless
+    asked for by ``with_bytes``.
     """
     lines, texts, covered = find_repeats(docs, length, gram, id_col, text_col)
     per_doc = covered.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("covered"))
     hit = texts.filter("nth = 1").select("doc_id", "th", "text").hint("merge").join(per_doc.hint("merge"), ["doc_id", "th"])
-    cut = hit.select("doc_id", "th", "text", "covered").mapInArrow(_remove, KEY + ", kept binary, n_removed long, n_spans long")
+    cut = hit.select("doc_id", "th", "text", "covered").mapInArrow(_remove(with_bytes), KEY + ", cut_sha256 string, n_removed long, n_spans long" + ", kept binary" * with_bytes)
     zero = F.lit(0).cast("long")
     out = lines.hint("merge").join(cut.hint("merge"), ["doc_id", "th"], "left")
     doc = F.when(~F.col("no_id"), F.col("doc_id"))
-    digest = F.when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(F.col("full_sha256"))
-    return out.select(doc.alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), digest.alias("kept_sha256"), "kept")
+    return out.select(doc.alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "full_sha256").alias("kept_sha256"), *["kept"] * with_bytes)

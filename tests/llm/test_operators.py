@@ -490,6 +490,7 @@ def test_suffix_dedup(docs, rows, empty, length, gram):
     found = without_repeats(docs, length, gram).collect()
     assert multiset(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == collections.Counter(naive_repeats(rows, length))
     assert any(r["n_removed"] for r in found)
+    assert all(r["kept"] is None or hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in found)
     assert without_repeats(empty, length, gram).collect() == []
 
 
