@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from quillspark.blocks import BLOCK_TYPE, ConversionError
 from quillspark.functions.detect import detect
 from quillspark.plans import registry
+from quillspark.plans.ship import ship
 
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())])
 BLOCKS = T.StructType([T.StructField("blocks", T.ArrayType(BLOCK_TYPE)), T.StructField("error", T.StringType())])
@@ -89,6 +90,7 @@ def route(df: DataFrame, content: str = "content", path: str | None = "path", fo
 
 def convert(df: DataFrame, content: str = "content", path: str | None = "path", format: str | None = None, to: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     """``df`` without its content, with ``format, target, ext, output`` (text), ``output_data`` (bytes) and ``error``."""
+    ship(df.sparkSession)
     routed = route(df, content, path, format, to).withColumn("__r", _convert_udf(F.when(F.col("error").isNull(), F.col(content).cast("binary")), "target"))
     error = F.coalesce("error", "__r.error")
     out = routed.withColumns({"output": F.col("__r.text"), "output_data": F.col("__r.data"), "error": error}).drop("__r", content)
@@ -101,6 +103,7 @@ def convert(df: DataFrame, content: str = "content", path: str | None = "path",
 
 def document_blocks(df: DataFrame, content: str = "content", path: str | None = "path", format: str | None = None) -> DataFrame:
     """A row for each block of each document, after the columns of ``df`` without its content."""
+    ship(df.sparkSession)
     routed = route(df, content, path, format).drop("target", "ext", "error")
     found = routed.withColumn("__b", _blocks_udf(F.col(content).cast("binary"), "format")).drop(content)
     kept = [c for c in found.columns if c != "__b"]
@@ -124,5 +127,6 @@ def spread(df: DataFrame) -> DataFrame:
 
 def register_sql(spark: SparkSession) -> None:
     """``quill_convert(data, format)`` for SQL."""
+    ship(spark)
     spark.udf.register("quill_convert", _convert_udf)
     spark.udf.register("quill_blocks", _blocks_udf)
