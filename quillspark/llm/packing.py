@@ -4,8 +4,10 @@ Each document is its token ids and one end id. Only longer ones are cut, into pi
 the first may be shorter. The lengths of the pieces form a histogram of at most ``capacity`` entries, which is all that
 the driver sees. Over it, a configuration is a multiset of lengths that fits into one sequence; the program that covers
 the histogram with the fewest configurations is solved by multiplicative weights, whose oracle prices a configuration
-by dynamic programming for the knapsack. Counts are rounded down, and the few pieces that are left (their
-number depends on the number of configurations, not on the input) are placed best-fit, longest first.
+by dynamic programming for the knapsack. The rounds form a fractional mix of configurations, which is rounded down. What
+the mix leaves is filled by configurations that are each used up at once, and the few pieces that are left then (their
+number depends on the number of configurations, not on the input) are placed best-fit, longest first. Where using
+configurations up from the start takes fewer sequences than the mix, that plan is taken.
 
 The plan has ranges: "pieces of length l with ranks from a to b go to sequences from s on, at offset o". Pieces get
 their ranks within a length by counts per chunk of the written piece table, so that a very common length is dealt to
@@ -33,6 +35,8 @@ CAPACITY = 1024
 END_ID = 2
 #: At least the number of lengths: each round but the last uses one up.
 ROUNDS = 1500
+#: Rounds of the fractional mix: most, and the share of a length that one of few lengths gives in a round.
+MIX_ROUNDS, LEAST_SHARE = 2500, 0.005
 #: Configurations that are used fewer times than this are rounded down to none.
 ROUNDED_OFF = 2
 
@@ -129,10 +133,35 @@ def price(values: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]
     return {k: int(min(n, most[k])) for k, n in out.items()}
 
 
+def mix(counts: np.ndarray, capacity: int, rounds: int = MIX_ROUNDS, step: float = 0.03, convex: float = 0.05) -> dict[tuple[tuple[int, int], ...], float]:
+    """A fractional solution: configurations and how often each is used; no length is covered beyond its count.
+
+    Multiplicative weights: a length's price is its weight times slightly more than proportion to its length. Each round
+    uses the configuration of the largest price for a small share of its scarcest length, so that a configuration comes
+    again among others. A length's weight falls by ``exp(-step)`` for each such share of its count that is covered, so
+    that what lags comes first and all lengths run out together.
+    """
+    used: Counter[tuple[tuple[int, int], ...]] = Counter()
+    left, weights = counts.astype(float), np.ones(len(counts))
+    base = (np.arange(len(counts)) / capacity) ** (1 + convex)
+    share = min(1.0, max(LEAST_SHARE, 1.3 * np.count_nonzero(counts) / rounds))
+    for _ in range(rounds):
+        config = price(np.where(left > 0, base * weights, 0), np.where(left > 0, counts, 0), capacity)
+        if not config:
+            break
+        times = min(min(share * counts[k] / n, left[k] / n) for k, n in config.items())
+        used[tuple(sorted(config.items()))] += times
+        for k, n in config.items():
+            left[k] = left[k] - n * times if left[k] - n * times > 1e-9 * counts[k] else 0
+            weights[k] *= np.exp(-step / share * n * times / counts[k])
+        weights /= weights[left > 0].max() if (left > 0).any() else 1
+    return dict(used)
+
+
 def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, eta: float = 0.7, pull: float = 0.02, convex: float = 0.05) -> dict[tuple[tuple[int, int], ...], int]:
-    """Configurations and how often each is used; no length of ``counts`` is covered beyond its count.
+    """Whole numbers of configurations, each used up when it is found; no length of ``counts`` is covered beyond its count.
 
-    Multiplicative weights for covering: each round prices a piece slightly above proportion to its length (so that
+    Each round prices a piece slightly above proportion to its length (so that
     long pieces find their partners while there are short ones), raised by up to a share ``pull`` by its length's
     weight, and uses the configuration of the largest price for as long as its scarcest length lasts. A length's weight
     falls by ``exp(-eta)`` for all of its count that is covered, so that what lags comes first.
@@ -173,15 +202,29 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
 
     if capacity < len(left) and left[capacity]:
         use(((capacity, 1),), int(left[capacity]))
-    for config, times in sorted(solve(left, capacity, rounds).items(), key=lambda c: -c[1]):
-        if times >= ROUNDED_OFF:
-            use(config, times)
-    for config, times in _best_fit(left, capacity).items():
+    mixed = Counter({config: int(times + 1e-9) for config, times in mix(left, capacity).items()})
+    mixed.update(solve(_without(left, mixed), capacity, rounds))
+    plans = [_whole(left, configs, capacity) for configs in (mixed, solve(left, capacity, rounds))]
+    for config, times in min(plans, key=lambda configs: sum(n for _, n in configs)):
         use(config, times)
     table = np.array(sorted(ranges), np.int64).reshape(-1, 5)
     return table, sequences
 
 
+def _without(counts: np.ndarray, configs: dict[tuple[tuple[int, int], ...], int]) -> np.ndarray:
+    left = counts.copy()
+    for config, times in configs.items():
+        for length, n in config:
+            left[length] -= n * times
+    return left
+
+
+def _whole(counts: np.ndarray, configs: dict[tuple[tuple[int, int], ...], int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """``configs`` without those that are rounded off, most used first, and the rest of ``counts`` best-fit."""
+    kept = {config: times for config, times in sorted(configs.items(), key=lambda c: -c[1]) if times >= ROUNDED_OFF}
+    return [*kept.items(), *_best_fit(_without(counts, kept), capacity).items()]
+
+
 def _best_fit(left: np.ndarray, capacity: int) -> Counter:
     """Best-fit decreasing: the longest piece opens a sequence, the longest that still fits follows, by the histogram."""
     left, out = left.copy(), Counter()

@@ -458,6 +458,40 @@ def test_packing_plans_nearly_reach_the_lower_bound():
     assert plan(np.zeros(1025, int))[1] == 0
 
 
+@pytest.mark.parametrize(
+    ("counts", "prices"),
+    [
+        ({400: 6000, 312: 12000, 224: 3000}, {400: 5 / 13, 312: 4 / 13, 224: 3 / 13}),
+        ({400: 600, 312: 1200, 224: 300}, {400: 5 / 13, 312: 4 / 13, 224: 3 / 13}),
+        ({600: 500, 424: 500, 212: 1000}, {600: 1 / 2, 424: 1 / 2, 212: 1 / 4}),
+    ],
+)
+def test_packing_of_few_lengths_nearly_reaches_the_program(counts, prices):
+    """By prices at which no configuration is worth more than 1, the program takes the worth of all pieces at least."""
+    import numpy as np
+
+    from quillspark.llm.packing import plan
+
+    for config in itertools.product(*(range(1024 // length + 1) for length in prices)):
+        if sum(n * length for n, length in zip(config, prices, strict=True)) <= 1024:
+            assert sum(n * price for n, price in zip(config, prices.values(), strict=True)) <= 1 + 1e-9
+    lower_bound = sum(n * prices[length] for length, n in counts.items())
+
+    histogram = np.zeros(1025, int)
+    for length, n in counts.items():
+        histogram[length] = n
+    table, n = plan(histogram)
+    ranks = collections.Counter()
+    filled = collections.Counter()
+    for length, first, end, sequence, offset in table.tolist():
+        ranks[length] += end - first
+        for k in range(end - first):
+            filled[sequence + k] += length
+        assert offset + length <= 1024
+    assert ranks == counts and len(filled) == n and max(filled.values()) <= 1024
+    assert lower_bound <= n <= lower_bound * 1.005 + 3
+
+
 def test_fast_tokens_are_the_vocabularys():
     from quillspark.llm.packing import Encoder
 
