@@ -79,7 +79,11 @@ class Features:
         hits = [k for k, w in enumerate(words) if w in worth] if worth else []
         weight = sum(worth[words[k]] for k in hits)
         near = sum(not YOU.isdisjoint(words[max(0, k - 4) : k + 5]) for k in hits)
-        clustered = max((sum(1 for j in hits[i : i + 20] if j - k < 50) for i, k in enumerate(hits[:400])), default=0)
+        clustered = first = 0  # most hits among 50 words
+        for last, k in enumerate(hits):
+            while k - hits[first] >= 50:
+                first += 1
+            clustered = max(clustered, last - first + 1)
         insults = sum(w in INSULTS for w in words) if not seen.isdisjoint(INSULTS) else 0
         you = sum(w in YOU for w in words) if not seen.isdisjoint(YOU) else 0
         odd = [self._whole(text, m) for m in MASKED.finditer(text)]

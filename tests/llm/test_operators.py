@@ -198,6 +198,14 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert fit(docs, labels).prior == 0.0
 
 
+def test_toxicity_clusters_count_anywhere_in_a_text():
+    from quillspark.llm.toxicity import NAMES, Features
+
+    spread, dense = ("vulgus" + " plain" * 60 + " ") * 500, "vulgus " * 30
+    clustered = [dict(zip(NAMES, Features({"vulgus": 1.0}).of(t), strict=True))["clustered"] for t in (dense + spread, spread + dense, spread, "")]
+    assert clustered == [31, 30, 1, 0]
+
+
 def test_isotonic():
     import numpy as np
 
