@@ -31,7 +31,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from quillspark.llm._common import boxed, hold, tune, unboxed, whole_text
 
 MOST_LABELLED = 40_000
-MOST_LEXICON = 4_000
 FALSE_WORDS = 0.01
 CUT = 0.3
 
@@ -253,8 +252,9 @@ def _lexicon(counts: DataFrame, toxic: int, n: int, suffix: str) -> dict[str, fl
     tried = max(1, frequent.count())
     odds = F.log((t + 0.5) / (m - t + 0.5)) - F.log(base / (1 - base))
     words = frequent.filter(share > base).select("token", odds.alias("odds"), rare.alias("rare")).filter(F.col("odds") > 1.5)
-    top = words.orderBy(F.desc("rare"), "token").limit(MOST_LEXICON).collect()
     # Benjamini and Hochberg's rule: the longest list of which a share of FALSE_WORDS at most is expected to be chance.
+    # Even as the last of all that were tried, a token has to be this rare, so the others need not be collected.
+    top = sorted(words.filter(F.col("rare") >= -math.log(FALSE_WORDS) - 1e-9).collect(), key=lambda r: (-r["rare"], r["token"]))
     n = max((k for k, r in enumerate(top, 1) if r["rare"] >= math.log(tried / (k * FALSE_WORDS))), default=0)
     return {r["token"]: r["odds"] for r in top[:n]}
 

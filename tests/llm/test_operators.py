@@ -206,6 +206,13 @@ def test_toxicity_clusters_count_anywhere_in_a_text():
     assert clustered == [31, 30, 1, 0]
 
 
+def test_toxicity_lexicon_takes_all_tokens_beyond_chance(spark):
+    from quillspark.llm.toxicity import _lexicon
+
+    counts = spark.range(6000).selectExpr("concat('t', id) AS token", "if(id < 5000, 60L, 3L) AS toxic", "if(id < 5000, 60L, 30L) AS n")
+    assert _lexicon(counts, 1000, 10_000, "").keys() == {f"t{k}" for k in range(5000)}
+
+
 def test_isotonic():
     import numpy as np
 
