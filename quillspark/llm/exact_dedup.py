@@ -25,6 +25,9 @@ from quillspark.llm._common import boxed, materialize, new_path, unboxed, whole_
 #: Rows of a batch for each bucket of an index that is made for it, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 32
 
+#: The beginning of the name of a file in an index that tells its number of buckets; Spark's readers pass over it.
+BUCKETS_FILE = "_buckets-"
+
 SCHEMA = "digest binary, keep_id long, copies long, keep_at long, batch string"
 
 
@@ -43,14 +46,40 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A digest index in a bucketed table; ``path`` names where its files lie, an existing index there is opened."""
+    """A digest index in a bucketed table; ``path`` names where its files lie, an existing index there is opened.
+
+    The number of buckets is kept with the files, by the name of an empty one, and an existing index is opened with it;
+    another number is refused. An index without that file is opened with the number that it was made with, if given.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = LEAST_BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark = spark
         self.path = path or new_path(spark, "digests")
+        self.buckets = buckets = self._buckets(buckets)
         self.name = f"quill_digests_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.name} ({SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
 
+    def _buckets(self, given: int | None) -> int:
+        """The number of buckets of the index at ``path``, where it is kept from now on; ``given`` or the least for a new one."""
+        jvm = self.spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        kept = [int(x.removeprefix(BUCKETS_FILE)) for x in names if x.startswith(BUCKETS_FILE)]
+        if kept:
+            if given not in (None, kept[0]):
+                raise ValueError(f"the digest index at {self.path} has {kept[0]} buckets, not {given}")
+            return kept[0]
+        if any(x.startswith("part-") for x in names):
+            if given is None:
+                raise ValueError(f"the digest index at {self.path} does not tell its number of buckets: give the one it was made with")
+            bucket = F.regexp_extract(F.input_file_name(), r"_(\d+)\.c\d+[^/]*$", 1).cast("int")
+            rows = self.spark.read.schema(SCHEMA).parquet(self.path)
+            if rows.filter(~bucket.eqNullSafe(F.pmod(F.hash("digest"), F.lit(given)))).limit(1).count():
+                raise ValueError(f"the digest index at {self.path} was not made with {given} buckets")
+        fs.createNewFile(jvm.org.apache.hadoop.fs.Path(top, f"{BUCKETS_FILE}{given or LEAST_BUCKETS}"))
+        return given or LEAST_BUCKETS
+
     @classmethod
     def made_for(cls, digested: DataFrame) -> DigestIndex:
         """A new index with as many buckets as a batch of this size asks for."""

@@ -389,6 +389,30 @@ def test_exact_dedup(spark, docs, rows, empty):
     assert opened.table().count() == index.table().count() == len(groups) + 1
 
 
+def test_digest_index_is_opened_with_its_own_buckets(spark):
+    import glob
+    import os
+
+    from quillspark.llm.exact_dedup import DigestIndex, deduplicate
+
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    index = DigestIndex(spark, buckets=40)
+    deduplicate(docs, index).collect()
+    opened = DigestIndex(spark, index.path)
+    assert opened.buckets == 40
+    assert not any(r["kept"] for r in deduplicate(docs, opened).collect())
+    assert opened.table().count() == 2000
+    with pytest.raises(ValueError, match="40 buckets"):
+        DigestIndex(spark, index.path, buckets=32)
+
+    for name in glob.glob(f"{index.path.removeprefix('file://')}/*_buckets-*") + glob.glob(f"{index.path.removeprefix('file://')}/._buckets-*"):
+        os.remove(name)
+    for wrong in (None, 32, 64):
+        with pytest.raises(ValueError, match="buckets"):
+            DigestIndex(spark, index.path, buckets=wrong)
+    assert DigestIndex(spark, index.path, buckets=40).buckets == DigestIndex(spark, index.path).buckets == 40
+
+
 # 8
 
 
