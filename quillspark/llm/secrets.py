@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._common import hold, new_path, tune, whole_text
 
-#: Changes whenever a rule does: blobs are then scanned again.
+#: A ledger keeps it with a digest of the patterns: blobs are scanned again whenever a rule changes.
 RULES_VERSION = "1"
 
 # The base rules, in the order in which kinds are listed, with the least length of what counts.
@@ -39,9 +39,16 @@ FILE_ROWS = 500_000
 #: A cheap test for texts that may hold a match of "hex", whose pattern meets every word.
 LONG_HEX = re.compile(r"[0-9a-f]{32}")
 
+#: All up to the key's END line, header lines included; of a key without one, header lines and what may be its body.
+PEM = r"""
+    -----BEGIN\x20[A-Z\x20]{0,40}PRIVATE\x20KEY-----
+    (?: [^-]*+ (?: -(?!----BEGIN\x20|----END\x20[A-Z\x20]{0,40}PRIVATE\x20KEY-----) [^-]*+ )*+ -----END\x20[A-Z\x20]{0,40}PRIVATE\x20KEY-----
+      | (?: \s*+ [A-Za-z0-9-]++ : [^\n]*+ \n )*+ [A-Za-z0-9+/=\s]*+ )
+"""
+
 # Further rules.
 MORE = (
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"), "-----BEGIN "),
+    ("pem", re.compile(PEM, re.VERBOSE), "-----BEGIN "),
     ("ghp", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,255}"), "gh"),
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), "eyJ"),
     ("slack", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), "xox"),
@@ -65,6 +72,12 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], ORDER[s[0]])))
 
 
+def kept_as(version: str) -> str:
+    """A rule version as a ledger keeps it."""
+    rules = repr([(kind, p.pattern, p.flags, *rest) for kind, p, *rest in (*BASE, *MORE)])
+    return f"{version}:{hashlib.sha256(rules.encode()).hexdigest()[:16]}"
+
+
 FOUND = "blob binary, rules string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -98,7 +111,7 @@ class Ledger:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def found(self, version: str) -> DataFrame:
-        return self.spark.read.schema(FOUND).parquet(self.path).filter(F.col("rules") == version)
+        return self.spark.read.schema(FOUND).parquet(self.path).filter(F.col("rules") == kept_as(version))
 
     def add(self, versions: DataFrame, version: str = RULES_VERSION) -> None:
         """Scan the blobs of ``versions`` (path, blob, text) that are new under this rule version, and append."""
@@ -107,7 +120,7 @@ class Ledger:
         same = F.col("path").eqNullSafe(F.col("__path")) & (F.col("blob") == F.col("__blob"))
         texts = versions.hint("merge").join(unseen.hint("merge"), same).select("blob", "text")
         tune(self.spark)
-        found = hold(texts.mapInArrow(_scan(version), FOUND)).dropDuplicates(["blob"])  # where rows repeat
+        found = hold(texts.mapInArrow(_scan(kept_as(version)), FOUND)).dropDuplicates(["blob"])  # where rows repeat
         found.coalesce(max(1, found.count() // FILE_ROWS)).write.mode("append").parquet(self.path)  # few, large files
 
 

@@ -90,6 +90,17 @@ def test_secrets_ledger_scans_only_what_is_new(spark, docs):
     assert ledger.found("2").count() == 1
 
 
+def test_secrets_ledger_scans_again_after_a_rule_changes(spark, monkeypatch):
+    from quillspark.llm import secrets
+
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    ledger = secrets.Ledger(spark)
+    secrets.scan_versions(docs, ledger).collect()
+    assert ledger.found("1").count() == 1
+    monkeypatch.setattr(secrets, "MORE", secrets.MORE[1:])
+    assert ledger.found("1").count() == 0
+
+
 def test_more_secrets():
     from quillspark.llm.secrets import scan
 
@@ -99,6 +110,17 @@ def test_more_secrets():
     assert [s[0] for s in base] == ["assign"] and not more
 
 
+def test_private_keys_are_whole():
+    from quillspark.llm.secrets import scan
+
+    begin, end, body = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----", ("Zz+/" * 16 + "\n") * 200
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n"
+    for key in (begin + body + end, begin + headers + body + end, begin + end, begin + body, begin + headers + body):
+        assert scan("see " + key) == ([], [("pem", 4, 4 + len(key))])
+        assert scan("see " + key + begin + body + end)[1][0] == ("pem", 4, 4 + len(key))
+        assert len(scan(key + begin + body + end)[1]) == 2
+
+
 # 2
 
 
