@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +18,14 @@ ARROW_ROWS = 512
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named by ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a
-    temporary folder of this machine stands in, and the setting is filled with it.
+    It is the one named by ``spark.checkpoint.dir``. Only where that is unset and driver and executors are one process,
+    as in tests, a temporary folder of this machine stands in, and the setting is filled with it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quillspark-")
         try:
             spark.conf.set("spark.checkpoint.dir", found)
@@ -36,24 +41,26 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 def _kept(spark: SparkSession) -> dict[str, list]:
     if not hasattr(spark, "_quill_kept"):
-        spark._quill_kept = {"frames": [], "paths": []}
+        spark._quill_kept = {"frames": [], "paths": [], "tables": []}
     return spark._quill_kept
 
 
 def clear(spark: SparkSession) -> None:
-    """Drop what operators of this session have held and written on the way.
+    """Drop what operators of this session have held and written on the way, and the names of index tables.
 
-    For when their results have been written or are no longer needed: a result that is read later needs them. Ledgers
-    and indexes stay.
+    For when their results have been written or are no longer needed: a result that is read later needs them. The files
+    of ledgers and indexes stay.
     """
     kept = _kept(spark)
     for df in kept["frames"]:
         df.unpersist()
     for path in kept["paths"]:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    kept["frames"].clear()
-    kept["paths"].clear()
+        fs, at = _files(spark, path)
+        fs.delete(at, True)
+    for name in kept["tables"]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for some in kept.values():
+        some.clear()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -106,6 +113,74 @@ def whole_text(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def row_hash(doc, text_col: str = "text"):
+    """With its doc_id, this tells a row's text from all others."""
+    return F.xxhash64(whole_text(text_col), doc.isNull())
+
+
+#: Rows of keys that are sent to all executors, at about 40 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def part(rows: DataFrame, keys: DataFrame, how: str, on: list[str], most: int | None = None) -> DataFrame:
+    """The rows that have one of ``keys`` (``left_semi``) or none (``left_anti``); keys are counted, and broadcast only if few.
+
+    ``rows`` may hold whole texts: where the keys are few, no text is shuffled. Keys are compared as they are, so nulls
+    are to be replaced before.
+    """
+    keys = hold(keys.select(*on).distinct())
+    few = keys.count() <= (BROADCAST_ROWS if most is None else most)
+    return rows.join(F.broadcast(keys) if few else keys.hint("merge"), on, how)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.exists(at)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """What a small file in the shared folder holds, or None where there is none."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file under another name and rename it, so that it is there whole or not at all."""
+    fs, at = _files(spark, path)
+    half = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(half)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    if not fs.rename(half, at):
+        fs.delete(half, False)
+
+
+@contextlib.contextmanager
+def alone(spark: SparkSession, path: str) -> Iterator[None]:
+    """Hold the right to write to the table at ``path``: a second writer is refused as long as the first is at it."""
+    name = f"{path}/_writing"
+    fs, at = _files(spark, name)
+    if not fs.createNewFile(at):
+        raise RuntimeError(f"another writer is at {path}; if it broke off, delete {name}")
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
 def boxed(docs: DataFrame) -> DataFrame:
     """``docs`` as one column ``row``, so that an operator's own columns clash with none of theirs; see ``unboxed``."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
