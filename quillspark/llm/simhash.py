@@ -13,6 +13,15 @@ fingerprints that share a block meet in one table, sorted by their first coordin
 Only distinct fingerprints meet, so copies cost nothing; each table returns a spanning forest, never all its pairs;
 components come from large-star and small-star rounds over those edges, each written to the shared folder.
 
+Near duplicates by similarity (``similar_documents``): texts whose sets of word shingles have a Jaccard similarity of 0.8
+or more. Such pairs differ in about 15 % of the bits of a fingerprint, and neither equal blocks of bits nor coordinates
+tell 15 % from the 50 % of unrelated texts; so fingerprints have 256 bits there, and the pivot tables are those of texts
+that agree in a band of min-wise shingle hashes. Within a table, coordinates and then distances decide as above. A text
+is in ``BANDS`` tables of ``BAND_ROWS`` hashes each: a pair of similarity 0.8 misses all of them with a chance of 2 %,
+and pairs of less than 0.3 hardly meet. In a table with more than ``table_rows`` rows, one of them is its reference: rows
+within reach of it are linked to it and leave the table, up to ``levels`` times, so that a large group of near copies
+costs each of its rows one comparison; the links that such a row has to others are found in its other tables.
+
 Defined results: a null or blank text has fingerprint zero and links like any other; repeated rows share their
 component; a component whose doc_ids are all null has a null component_id; an empty table gives no rows; other columns
 of the input are ignored.
@@ -27,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import apart, hold, materialize, tune, whole_text
+from quillspark.llm._common import apart, boxed, hold, materialize, part, row_hash, tune, unboxed, whole_text
 
 SEED = 42
 PIVOTS = 16
@@ -72,9 +81,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, "doc_id long, fp long")
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    """Reference fingerprints: fixed pseudo-random ones."""
-    return np.random.default_rng(64).integers(0, 2**64, n, dtype=np.uint64)
+def pivots(n: int = PIVOTS, words: int = 1) -> np.ndarray:
+    """Reference fingerprints of so many words: fixed pseudo-random ones."""
+    return np.random.default_rng(64).integers(0, 2**64, (n, words), dtype=np.uint64)
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -98,7 +107,9 @@ def linked(key: np.ndarray, fp: np.ndarray, refs: np.ndarray, most: int) -> np.n
     Rows must come sorted by key and by the distance to the first pivot within it.
     """
     n = len(fp)
-    coordinates = [np.bitwise_count(fp ^ p).astype(np.int16) for p in refs]
+    fp, refs = fp.reshape(n, -1), refs.reshape(len(refs), -1)
+    distance = lambda a, b: np.bitwise_count(a ^ b).sum(1, dtype=np.int16)
+    coordinates = [distance(fp, p) for p in refs]
     first = coordinates[0]
     left, right, held, label = [], [], 0, np.arange(n)
     rows = np.arange(n)
@@ -115,7 +126,7 @@ def linked(key: np.ndarray, fp: np.ndarray, refs: np.ndarray, most: int) -> np.n
                 break
             keep = np.abs(c[i] - c[j]) <= most
             i, j = i[keep], j[keep]
-        keep = np.bitwise_count(fp[i] ^ fp[j]) <= most
+        keep = distance(fp[i], fp[j]) <= most
         left.append(i[keep])
         right.append(j[keep])
         held += len(left[-1])
@@ -128,16 +139,26 @@ def linked(key: np.ndarray, fp: np.ndarray, refs: np.ndarray, most: int) -> np.n
     return label
 
 
-def _search(most: int, n_pivots: int):
+def _search(most: int, n_pivots: int, words: int = 1):
+    """Edges within whole tables; fingerprints are longs, or binary ones of several ``words``."""
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        if words == 1:
+            return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
+
+    def column(fp: np.ndarray) -> pa.Array:
+        return pa.array(fp[:, 0].view(np.int64)) if words == 1 else pa.array([x.tobytes() for x in fp], pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = pivots(n_pivots)
+        refs = pivots(n_pivots, words)
 
         def edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            order = np.lexsort((np.bitwise_count(fp ^ refs[0]), key))
+            order = np.lexsort((np.bitwise_count(fp ^ refs[0]).sum(1), key))
             key, fp = key[order], fp[order]
             label = linked(key, fp, refs, most)
             member = np.flatnonzero(label != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[member].view(np.int64)), pa.array(fp[label[member]].view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([column(fp[member]), column(fp[label[member]])], ["a", "b"])
 
         keys, fps, size = [], [], 0
         for b in batches:  # sorted by key: all but the last table of what has come are whole
@@ -145,7 +166,7 @@ def _search(most: int, n_pivots: int):
                 continue
             k = b.column(0).to_numpy(zero_copy_only=False)
             keys.append(k)
-            fps.append(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            fps.append(numbers(b.column(1)))
             size += len(k)
             if size >= 1 << 16 and k[-1] != keys[0][0]:
                 key, fp = np.concatenate(keys), np.concatenate(fps)
@@ -235,12 +256,132 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return e.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
 
 
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(fp, component)`` for each of ``nodes`` (fp, least): the least of all nodes that it reaches over ``edges``."""
+    rooted = nodes.join(components(edges), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return rooted.join(least, "root").select("fp", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, max_distance: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row of ``docs``."""
     prints = hold(fingerprints(docs, id_col, text_col, words_per_shingle))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comps = components(near_links(nodes.select("fp"), max_distance))
-    rooted = nodes.join(comps, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = _named(nodes, near_links(nodes.select("fp"), max_distance))
+    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# By similarity
+
+
+SIMILARITY = 0.8
+BAND_ROWS, BANDS = 5, 10
+#: Words of 64 bits in a fingerprint, and pivots of the tables.
+SKETCH_WORDS, SKETCH_PIVOTS = 4, 4
+_MIX = np.random.default_rng(17).integers(0, 2**64, (2, BAND_ROWS * BANDS + SKETCH_WORDS), dtype=np.uint64) | np.uint64(1)
+
+
+def most_bits(similarity: float = SIMILARITY, words: int = SKETCH_WORDS) -> int:
+    """Differing bits that 95 of 100 pairs of this similarity stay within.
+
+    Two sets of one size and Jaccard similarity s have the cosine 2 s / (1 + s); a bit of their fingerprints differs
+    with the chance of their angle over pi.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(64 * words * p + 1.645 * (64 * words * p * (1 - p)) ** 0.5)
+
+
+def _mixed(h: np.ndarray, at: slice) -> np.ndarray:
+    """Independent hashes of hashes, a column each."""
+    x = (h[:, None] ^ _MIX[0, at]) * _MIX[1, at]
+    x ^= x >> np.uint64(29)
+    return x * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def sketch(text: bytes, words_per_shingle: int = 5) -> tuple[bytes, list[int]]:
+    """The fingerprint of a text's set of shingles, and its bands; a text of fewer words is one shingle, one of none has no shingle."""
+    import xxhash
+
+    words = text.lower().split()
+    n = len(words)
+    if not n:
+        return bytes(8 * SKETCH_WORDS), [0] * BANDS
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    one = xxhash.xxh64_intdigest
+    h = np.unique(np.array([one(joined[a:b], SEED) for a, b in zip(starts, ends[min(n, words_per_shingle) - 1 :].tolist(), strict=False)], np.uint64))
+    least = np.full(BAND_ROWS * BANDS, 2**64 - 1, np.uint64)
+    votes = np.zeros(64 * SKETCH_WORDS, np.int64)
+    for at in range(0, len(h), 255):  # sums of up to 255 bits fit in a byte
+        some = h[at : at + 255]
+        least = np.minimum(least, _mixed(some, slice(SKETCH_WORDS, None)).min(0))
+        bits = np.unpackbits(_mixed(some, slice(SKETCH_WORDS)).view(np.uint8), axis=1, bitorder="little")
+        votes += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    print_ = np.packbits(votes * 2 > len(h), bitorder="little").tobytes()
+    bands = [xxhash.xxh3_64_intdigest(least[k : k + BAND_ROWS].tobytes(), k) for k in range(0, len(least), BAND_ROWS)]
+    return print_, np.array(bands, np.uint64).view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+    """``(doc_id, th, fp, bands)`` for each row; ``th`` tells texts of one doc_id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [sketch(t, words_per_shingle) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.list_(pa.int64()))], ["doc_id", "th", "fp", "bands"])
+
+    tune(docs.sparkSession)
+    doc = F.col(id_col).cast("long")
+    slim = docs.select(doc.alias("doc_id"), row_hash(doc, text_col).alias("th"), whole_text(text_col).cast("binary").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, th long, fp binary, bands array<long>")
+
+
+def bits_apart(a, b, words: int = SKETCH_WORDS):
+    """The number of differing bits of two binary fingerprints, as an expression."""
+    word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
+    return sum((F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(words)), F.lit(0))
+
+
+def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, table_rows: int = TABLE_ROWS, levels: int = LEVELS) -> DataFrame:
+    """Edges ``(a, b)`` between fingerprints of ``nodes`` (fp, bands) that share a table and are near enough."""
+    most = most_bits(similarity)
+    waiting = hold(nodes.select("fp", F.explode("bands").alias("key")), 4096)
+    found = []
+    for _ in range(levels):
+        crowded = waiting.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("ref")).filter(F.col("n") > table_rows)
+        crowded = hold(crowded.select(apart("key").alias("key"), "ref"))
+        if crowded.isEmpty():
+            break
+        hot = waiting.hint("merge").join(crowded.hint("merge"), "key")
+        near = bits_apart("fp", "ref") <= most
+        found.append(hot.filter(near & (F.col("fp") != F.col("ref"))).select(F.col("fp").alias("a"), F.col("ref").alias("b")))
+        rest = hot.filter(~near).select("fp", "key")  # all links of the reference are found, so it leaves as well
+        waiting = hold(part(waiting, crowded, "left_anti", ["key"]).unionByName(rest), 4096)
+    tables = waiting.select("key", "fp").repartition("key").sortWithinPartitions("key")
+    out = tables.mapInArrow(_search(most, SKETCH_PIVOTS, SKETCH_WORDS), "a binary, b binary")
+    for edges in found:
+        out = out.unionByName(edges)
+    return out
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", table_rows: int = TABLE_ROWS) -> DataFrame:
+    """``(doc_id, th, component_id, stays)`` for each row: of each component the row with the least doc_id, then ``th``, stays.
+
+    A null doc_id comes after all others. Rows alike in doc_id and text are one document.
+    """
+    prints = hold(sketches(docs, id_col, text_col, words_per_shingle), 4096)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    nodes = hold(prints.groupBy("fp").agg(F.min(F.struct(row.alias("least"), "bands")).alias("x")).select("fp", "x.least", "x.bands"), 4096)
+    named = _named(nodes.select("fp", "least"), similar_links(nodes.select("fp", "bands"), similarity, table_rows))
+    stays = F.col("component.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("component.th") == F.col("th"))
+    return prints.join(named, "fp").select("doc_id", "th", F.col("component.doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def without_similar(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; the list of those that go is broadcast while it is short."""
+    found = similar_documents(docs, similarity, words_per_shingle, id_col, text_col)
+    gone = found.filter(~F.col("stays")).select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("th").alias("__th"))
+    doc = F.col(f"row.`{id_col}`").cast("long")
+    rows = boxed(docs).withColumns({"__id": F.coalesce(doc, F.lit(0)), "__th": row_hash(doc, f"row.`{text_col}`")})
+    return unboxed(part(rows, gone, "left_anti", ["__id", "__th"]))
