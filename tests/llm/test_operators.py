@@ -313,6 +313,61 @@ def test_simhash_links_in_crowded_tables(spark, table_rows):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def changed(rng, text, n):
+    """The text with n of its words replaced."""
+    out = text.split()
+    for k in rng.sample(range(len(out)), n):
+        out[k] = "".join(rng.choice("qrstuvw") for _ in range(5))
+    return " ".join(out)
+
+
+def shingles(text, n=5):
+    w = (text or "").translate(LOW).split()
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+
+
+def jaccard(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def test_similar_documents(spark, docs, empty):
+    from quillspark.llm.simhash import similar_documents, without_similar
+
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for k in range(300):  # pairs just above the similarity, and texts by themselves
+        a = words(rng, rng.randint(100, 300))
+        n = len(a.split()) // 50
+        b = changed(rng, a, n)
+        while jaccard(a, b) < 0.8:
+            b = changed(rng, a, n := n - 1)
+        rows += [(3 * k, a), (3 * k + 1, b), (3 * k + 2, words(rng, rng.randint(1, 300)))]
+        pairs.append((3 * k, 3 * k + 1))
+    found = {r["doc_id"]: r for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[a]["component_id"] == found[b]["component_id"] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(found[3 * k + 2]["component_id"] == 3 * k + 2 for k in range(300)) and all(found[a]["stays"] for a, _ in pairs)
+    kept = without_similar(docs)
+    assert kept.columns == docs.columns and multiset(kept.collect(), *docs.columns) <= multiset(docs.collect(), *docs.columns)
+    texts = [r["text"] for r in kept.collect()]
+    assert sum(not (t or "").split() for t in texts) == 1  # blank texts are one group
+    assert len({(t or "").translate(LOW) for t in texts}) >= len(texts) - 2  # rows alike in doc_id and text go together
+    assert similar_documents(empty).collect() == [] and without_similar(empty).collect() == []
+
+
+@pytest.mark.parametrize("table_rows", [4096, 40])
+def test_a_large_group_of_near_copies_becomes_one(spark, table_rows):
+    from quillspark.llm.simhash import similar_documents
+
+    rng = random.Random(13)
+    text = words(rng, 200)
+    rows = [(k, changed(rng, text, rng.randint(0, 3))) for k in range(400)] + [(1000 + k, words(rng, 200)) for k in range(50)]
+    rows += [(None, text), (7, words(rng, 80))]
+    found = similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), table_rows=table_rows).collect()
+    group = [r for r in found if r["doc_id"] is None or r["doc_id"] < 400]
+    assert sum(r["component_id"] == 0 for r in group) >= 400 and sum(r["stays"] for r in group) <= 3
+    assert all(r["stays"] for r in found if (r["doc_id"] or 0) >= 1000)
+
+
 # 5
 
 
@@ -350,11 +405,11 @@ def test_decontamination(spark, docs, rows, texts, empty):
     from quillspark.llm.decontaminate import clean_documents, verdicts, without_spans
 
     long = next(t for t in texts if t and len(t.split()) > 1000)
-    items = [(1, " ".join(long.split()[50:70]).upper()), (2, "Ab, cd!"), (3, None), (4, "..."), (5, "nowhere at all"), (2, "ab cd"), (None, "x" * 3000), (10, " ".join(texts[20].split()[:14]))]
+    items = [(1, " ".join(long.split()[50:70]).upper()), (2, "Ab, cd!"), (2, "Ab, cd!"), (7, " ".join(long.split()[100:900])), (3, None), (4, "..."), (5, "nowhere at all"), (2, "ab cd"), (None, "x" * 3000), (10, " ".join(texts[20].split()[:14]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     split = lambda t: word.findall((t or "").translate(LOW))
-    want, clean = collections.Counter(), collections.Counter()
+    want, clean, untouched = collections.Counter(), collections.Counter(), collections.Counter()
     for doc, text in rows:
         w, hit, found = split(text), set(), []
         for item, t in items:
@@ -368,10 +423,12 @@ def test_decontamination(spark, docs, rows, texts, empty):
         bad = bool(hit) and 20 * len(hit) >= len(w)
         want[doc, len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bad] += 1
         clean[doc, text] += not bad
+        untouched[doc, text] += not hit
     for block_bytes in (8 << 20, 400):  # in one pass, and in several
         got = verdicts(docs, bench, block_bytes=block_bytes).collect()
         assert multiset(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
-    assert multiset(clean_documents(docs, bench).collect(), "doc_id", "text") == +clean
+    assert multiset(clean_documents(docs, bench).collect(), "doc_id", "text") == +untouched
+    assert multiset(clean_documents(docs, bench, one_in=20).collect(), "doc_id", "text") == +clean
     assert clean_documents(docs, bench).columns == docs.columns
     assert all(r["n_hit"] == 0 for r in verdicts(docs, bench.limit(0)).collect())
     assert verdicts(empty, bench).collect() == []
@@ -379,6 +436,33 @@ def test_decontamination(spark, docs, rows, texts, empty):
     assert cut == "one , two"
 
 
+def test_one_benchmark_window_in_a_long_document_is_enough(spark, sf_dir):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"].split()[:13]
+    rng = random.Random(8)
+    long = words(rng, 5000).split()
+    docs = spark.createDataFrame([(1, " ".join([*long[:2000], *item, *long[2000:]])), (2, " ".join(long)), (3, " ".join([*long[:9], *item[:12]]))], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, sf_dir).orderBy("doc_id").collect()] == [2, 3]
+
+
+def test_long_items_and_many_repeats_of_one_are_split_into_blocks(spark):
+    from quillspark.llm.decontaminate import blocks_of, verdicts
+
+    rng = random.Random(9)
+    long = words(rng, 3000)
+    rows = [(1, long.encode(), 1), (2, b"a b c", 5000), (3, words(rng, 20).encode(), 1)]
+    blocks = list(blocks_of(iter(rows), 13, 1000))
+    assert len(blocks) > 10 and all(sum(len(w) + 1 for part in b for w in part[3]) <= 1000 + 13 * 8 for b in blocks)
+    assert {w for b in blocks for p in b if p[0] == 0 for w in zip(*(p[3][k:] for k in range(13)))} == set(zip(*(long.encode().split()[k:] for k in range(13))))
+    bench = spark.createDataFrame([(1, long)] + [(2, "a b c")] * 300, "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"x {long} y") for k in range(20)] + [(50, "z a b c"), (51, None)], "doc_id long, text string")
+    for block_bytes in (8 << 20, 1000):
+        found = {r["doc_id"]: r for r in verdicts(docs, bench, block_bytes=block_bytes).collect()}
+        assert all((found[k]["n_words"], found[k]["n_hit"], found[k]["n_items"]) == (3002, 3000, 1) for k in range(20))
+        assert (found[50]["n_hit"], found[50]["n_items"], found[51]["n_words"], found[51]["n_hit"]) == (3, 300, 0, 0)
+
+
 # 7
 
 
@@ -411,6 +495,28 @@ def test_exact_dedup(spark, docs, rows, empty):
     assert opened.table().count() == index.table().count() == len(groups) + 1
 
 
+def test_exact_dedup_of_many_rows_without_doc_id(spark):
+    from quillspark.llm.exact_dedup import kept_documents
+
+    rows = [(None, "same text", str(k)) for k in range(3000)] + [(None, f"t {k}", "x") for k in range(50)] + [(None, "t  7", "long")]
+    rows += [(5, "twice", "a"), (5, "twice", "b"), (6, "tw ice", "c"), (6, "tw  ice", "d")]
+    kept = [(r["doc_id"], r["text"]) for r in kept_documents(spark.createDataFrame(rows, "doc_id long, text string, extra string")).collect()]
+    want = [(None, "same text"), (6, "tw  ice"), (None, "t  7")] + [(None, f"t {k}") for k in range(50) if k != 7]
+    assert collections.Counter(kept) == collections.Counter(want)
+
+
+def test_a_second_writer_to_a_digest_index_is_refused(spark):
+    from quillspark.llm._common import alone
+    from quillspark.llm.exact_dedup import DigestIndex, deduplicate
+
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    index = DigestIndex(spark)
+    with alone(spark, index.path), pytest.raises(RuntimeError, match="another writer"):
+        deduplicate(docs, index)
+    assert sum(r["kept"] for r in deduplicate(docs, index).collect()) == 50
+    assert not any(r["kept"] for r in deduplicate(docs, DigestIndex(spark, index.path)).collect())
+
+
 def test_digest_index_is_opened_with_its_own_buckets(spark):
     import glob
     import os
