@@ -90,6 +90,38 @@ def test_secrets_ledger_scans_only_what_is_new(spark, docs):
     assert ledger.found("2").count() == 1
 
 
+def test_secrets_of_known_blobs_are_not_scanned_again(spark, docs, monkeypatch):
+    from quillspark.llm import secrets
+    from quillspark.llm._common import new_path
+
+    spark.conf.set(secrets.LEDGER_SETTING, path := new_path(spark, "kept-ledger"))
+    try:
+        first = multiset(secrets.scan_versions(docs).collect(), "path", "spans", "base_sha256")
+        before = secrets.Ledger(spark, path).found(secrets.RULES_VERSION).count()
+        assert before == len({r["text"] or "" for r in docs.collect()})
+        monkeypatch.setattr(secrets, "_scanned", None)  # no scan at all
+        assert multiset(secrets.scan_versions(docs).collect(), "path", "spans", "base_sha256") == first
+        monkeypatch.undo()
+        more = docs.unionByName(spark.createDataFrame([(900, "token = abcdefgh1234", *[None] * 5), (901, "token = abcdefgh1234", *[None] * 5)], SCHEMA))
+        for most in (400_000, 0):  # the list of unseen blobs broadcast, or too long for that
+            monkeypatch.setattr(secrets, "BROADCAST_ROWS", most)
+            found = {r["path"]: r["spans"] for r in secrets.scan_versions(more).collect()}
+            assert found[900] == found[901] == "assign:0:20"
+            more = more.unionByName(spark.createDataFrame([(902 + most, f"secret: {most} abcdefgh", *[None] * 5)], SCHEMA))
+        assert secrets.Ledger(spark, path).found(secrets.RULES_VERSION).count() == before + 2
+    finally:
+        spark.conf.unset(secrets.LEDGER_SETTING)
+
+
+def test_long_keys_are_whole():
+    from quillspark.llm.secrets import scan
+
+    key = "ghp_" + "aB3" * 200
+    assert scan(f"x {key} y")[1] == [("ghp", 2, 2 + len(key))]
+    text = f"-----BEGIN {'A ' * 40}PRIVATE KEY-----\n{'x' * 20000}\n-----END {'A ' * 40}PRIVATE KEY-----"
+    assert [s for s in scan(text)[1] if s[0] == "pem"] == [("pem", 0, len(text))]
+
+
 def test_secrets_ledger_scans_again_after_a_rule_changes(spark, monkeypatch):
     from quillspark.llm import secrets
 
