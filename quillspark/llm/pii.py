@@ -14,18 +14,18 @@ doc_ids are rows like any other; an empty table gives no rows; extra columns are
 
 from __future__ import annotations
 
-import functools
 import hashlib
+import io
 import random
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import tune, whole_text
+from quillspark.llm._common import read_bytes, shared_dir, tune, whole_text, write_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{x}-{k}" for k in KINDS for x in "BI"))
@@ -116,63 +116,76 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    """A bidirectional LSTM over character classes; ``trans`` are the CRF's transition scores, ``first`` its start's."""
+    """A bidirectional LSTM over character classes; ``trans`` are the CRF's transition scores, ``first`` its start's.
+
+    Weights of both ways stand together, so that each step is one multiplication for both: ``x`` (ways, classes, gates),
+    ``h`` (ways, hidden, gates).
+    """
 
     def __init__(self, hidden: int = 16, seed: int = 1):
         rng, labels = np.random.default_rng(seed), len(LABELS)
         self.hidden = hidden
-        self.p = {}
-        for way in ("f", "b"):
-            self.p["x" + way] = rng.normal(0, 0.3, (CLASSES, 4 * hidden))
-            self.p["h" + way] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden))
-            self.p["x" + way][:, hidden : 2 * hidden] += 1  # remember at first
-        self.p |= {"out": rng.normal(0, 0.2, (2 * hidden, labels)), "bias": np.zeros(labels), "trans": np.zeros((labels, labels)), "first": np.zeros(labels)}
+        x = rng.normal(0, 0.3, (2, CLASSES, 4 * hidden))
+        x[:, :, hidden : 2 * hidden] += 1  # remember at first
+        h = rng.normal(0, 1 / np.sqrt(hidden), (2, hidden, 4 * hidden))
+        self.p = {"x": x, "h": h, "out": rng.normal(0, 0.2, (2 * hidden, labels)), "bias": np.zeros(labels), "trans": np.zeros((labels, labels)), "first": np.zeros(labels)}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _lstm(self, c: np.ndarray, way: str, keep: bool):
-        """Hidden states by place for windows of classes ``c`` (windows, places); with what the gradient needs."""
-        n, size = self.hidden, c.shape[1]
-        wx, wh = self.p["x" + way], self.p["h" + way]
-        h, m = np.zeros((len(c), n), np.float32), np.zeros((len(c), n), np.float32)
-        out, held = np.empty((size, len(c), n), np.float32), []
-        for t in range(size) if way == "f" else range(size - 1, -1, -1):
-            z = wx[c[:, t]] + h @ wh
-            gates = _sigmoid(z[:, : 3 * n])
-            i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
-            g = np.tanh(z[:, 3 * n :])
+    def _lstm(self, c: np.ndarray, keep: bool):
+        """Hidden states (ways, places, windows, hidden), the way back in its own order; with what the gradient needs."""
+        n, (rows, size), wh = self.hidden, c.shape, self.p["h"]
+        ways = np.stack([c.T, c.T[::-1]])  # (ways, places, windows)
+        h, m = np.zeros((2, rows, n), np.float32), np.zeros((2, rows, n), np.float32)
+        out, held = np.empty((2, size, rows, n), np.float32), []
+        for t in range(size):
+            z = h @ wh
+            z[0] += self.p["x"][0][ways[0, t]]
+            z[1] += self.p["x"][1][ways[1, t]]
+            gates = _sigmoid(z[:, :, : 3 * n])
+            i, f, o = gates[:, :, :n], gates[:, :, n : 2 * n], gates[:, :, 2 * n :]
+            g = np.tanh(z[:, :, 3 * n :])
             before = m
             m = f * m + i * g
             tm = np.tanh(m)
             if keep:
-                held.append((t, h, before, i, f, o, g, tm))
+                held.append((h, before, gates, g, tm))
             h = o * tm
-            out[t] = h
-        return out, held
+            out[:, t] = h
+        return out, held, ways
 
     def emissions(self, c: np.ndarray, keep: bool = False):
-        (hf, kf), (hb, kb) = self._lstm(c, "f", keep), self._lstm(c, "b", keep)
-        h = np.concatenate([hf, hb], 2)
-        return h @ self.p["out"] + self.p["bias"], (h, kf, kb)  # (places, windows, labels)
+        out, held, ways = self._lstm(c, keep)
+        h = np.concatenate([out[0], out[1, ::-1]], 2)
+        return h @ self.p["out"] + self.p["bias"], (h, held, ways)  # (places, windows, labels)
 
     def gradient(self, c: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The CRF's mean negative log likelihood of labels ``y``, and its gradient."""
-        em, (h, kf, kb) = self.emissions(c, True)
+        em, (h, held, ways) = self.emissions(c, True)
         loss, d_em, d_trans, d_first = crf_gradient(em, self.p["trans"], self.p["first"], y.T)
-        grad = {"trans": d_trans, "first": d_first, "bias": d_em.sum((0, 1)), "out": np.einsum("tbh,tbl->hl", h, d_em)}
-        dh_all = d_em @ self.p["out"].T
-        n = self.hidden
-        for way, held, dh_way in (("f", kf, dh_all[:, :, :n]), ("b", kb, dh_all[:, :, n:])):
-            wh = self.p["h" + way]
-            gx, gh = np.zeros_like(self.p["x" + way]), np.zeros_like(wh)
-            dh, dm = np.zeros((len(c), n), np.float32), np.zeros((len(c), n), np.float32)
-            for t, h_before, m_before, i, f, o, g, tm in reversed(held):
-                dh = dh + dh_way[t]
-                dm = dm + dh * o * (1 - tm**2)
-                dz = np.concatenate([dm * g * i * (1 - i), dm * m_before * f * (1 - f), dh * tm * o * (1 - o), dm * i * (1 - g**2)], 1)
-                np.add.at(gx, c[:, t], dz)
-                gh += h_before.T @ dz
-                dh, dm = dz @ wh.T, dm * f
-            grad["x" + way], grad["h" + way] = gx, gh
+        n, size, rows = self.hidden, c.shape[1], len(c)
+        labels = d_em.shape[2]
+        grad = {"trans": d_trans, "first": d_first, "bias": d_em.sum((0, 1)), "out": h.reshape(-1, 2 * n).T @ d_em.reshape(-1, labels)}
+        dh_all = (d_em @ self.p["out"].T).astype(np.float32)
+        dh_ways = np.stack([dh_all[:, :, :n], dh_all[::-1, :, n:]])
+        wt = self.p["h"].transpose(0, 2, 1)
+        dz = np.empty((2, size, rows, 4 * n), np.float32)
+        befores = np.empty((2, size, rows, n), np.float32)
+        dh, dm = np.zeros((2, rows, n), np.float32), np.zeros((2, rows, n), np.float32)
+        for t in range(size - 1, -1, -1):
+            h_before, m_before, gates, g, tm = held[t]
+            i, f, o = gates[:, :, :n], gates[:, :, n : 2 * n], gates[:, :, 2 * n :]
+            dh = dh + dh_ways[:, t]
+            dm = dm + dh * o * (1 - tm**2)
+            z = dz[:, t]
+            np.concatenate([dm * g, dm * m_before, dh * tm], 2, out=z[:, :, : 3 * n])
+            z[:, :, : 3 * n] *= gates * (1 - gates)
+            z[:, :, 3 * n :] = dm * i * (1 - g**2)
+            befores[:, t] = h_before
+            dh, dm = z @ wt, dm * f
+        flat = dz.reshape(2, -1, 4 * n)
+        grad["h"] = befores.reshape(2, -1, n).transpose(0, 2, 1) @ flat
+        of_class = (ways.reshape(2, 1, -1) == np.arange(CLASSES).reshape(1, -1, 1)).astype(np.float32)
+        grad["x"] = of_class @ flat
         return loss, grad
 
     def train(self, c: np.ndarray, y: np.ndarray, steps: int, batch: int = 64, rate: float = 0.02, seed: int = 2) -> list[float]:
@@ -193,34 +206,34 @@ class Tagger:
         return losses
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
-
-
 def crf_gradient(em: np.ndarray, trans: np.ndarray, first: np.ndarray, y: np.ndarray):
-    """Of the mean negative log likelihood: itself, and gradients by emissions (places, windows, labels), transitions, start."""
+    """Of the mean negative log likelihood: itself, and gradients by emissions (places, windows, labels), transitions, start.
+
+    Forward and backward sums are scaled place by place, so that they stay within range.
+    """
     size, n, labels = em.shape
-    alpha, beta = np.empty_like(em), np.zeros_like(em)
-    alpha[0] = em[0] + first
-    for t in range(1, size):
-        alpha[t] = em[t] + _lse(alpha[t - 1][:, :, None] + trans, 1)
-    for t in range(size - 2, -1, -1):
-        beta[t] = _lse(trans + (em[t + 1] + beta[t + 1])[:, None, :], 2)
-    z = _lse(alpha[-1], 1)
-    p = np.exp(alpha + beta - z[:, None])
-    rows = np.arange(n)
-    score = first[y[0]] + em[0, rows, y[0]]
-    d_em, d_trans = p, np.zeros_like(trans)
-    for t in range(1, size):
-        score = score + trans[y[t - 1], y[t]] + em[t, rows, y[t]]
-        pair = np.exp(alpha[t - 1][:, :, None] + trans + (em[t] + beta[t])[:, None, :] - z[:, None, None])
-        d_trans += pair.sum(0)
-        np.add.at(d_trans, (y[t - 1], y[t]), -1)
-    d_first = p[0].sum(0)
+    top = em.max(2, keepdims=True)
+    e, a = np.exp(em - top, dtype=np.float64), np.exp(trans, dtype=np.float64)
+    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((size, n, 1))
+    alpha[0] = e[0] * np.exp(first)
+    for t in range(size):
+        if t:
+            alpha[t] = (alpha[t - 1] @ a) * e[t]
+        scale[t] = alpha[t].sum(1, keepdims=True)
+        alpha[t] /= scale[t]
+    right = np.empty_like(e)
+    for t in range(size - 1, 0, -1):
+        right[t] = e[t] * beta[t] / scale[t]
+        beta[t - 1] = right[t] @ a.T
+    z = (np.log(scale) + top).sum((0, 2))
+    d_em = alpha * beta
+    d_trans = a * (alpha[:-1].reshape(-1, labels).T @ right[1:].reshape(-1, labels))
+    d_first = d_em[0].sum(0)
+    rows, places = np.arange(n), np.arange(size)
+    score = first[y[0]] + em[places[:, None], rows, y].sum(0) + trans[y[:-1], y[1:]].sum(0)
+    d_em[places[:, None], rows, y] -= 1
+    np.add.at(d_trans, (y[:-1], y[1:]), -1)
     np.add.at(d_first, y[0], -1)
-    d_em = d_em.copy()
-    d_em[np.arange(size)[:, None], rows[None], y] -= 1
     return float((z - score).mean()), d_em / n, d_trans / n, d_first / n
 
 
@@ -337,13 +350,32 @@ def windows(some: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     return [(start, k) for k, (a, b) in enumerate(some) for start in range(a, max(a + 1, b - STRIDE), STRIDE)]
 
 
-@functools.lru_cache(1)
-def default_tagger(steps: int = 260) -> Tagger:
+STEPS = 260
+_TRAINED: dict[str, Tagger] = {}
+
+
+def default_tagger(spark: SparkSession | None = None, steps: int = STEPS) -> Tagger:
+    """The tagger of the made sentences; its weights are kept in the shared folder by a hash of what they are trained on."""
+    x, y = training_windows(labelled_spans())
     tagger = Tagger()
-    tagger.train(*training_windows(labelled_spans()), steps)
-    return tagger
+    made_of = hashlib.sha256(x.tobytes() + y.tobytes() + repr((steps, {k: v.tolist() for k, v in tagger.p.items()})).encode()).hexdigest()[:24]
+    if made_of not in _TRAINED:
+        path = spark and f"{shared_dir(spark)}/quill-tagger-{made_of}.npz"
+        kept = read_bytes(spark, path) if path else None
+        if kept:
+            with np.load(io.BytesIO(kept)) as weights:
+                tagger.p = {k: weights[k] for k in tagger.p}
+        else:
+            tagger.train(x, y, steps)
+            if path:
+                np.savez(out := io.BytesIO(), **tagger.p)
+                write_bytes(spark, path, out.getvalue())
+        _TRAINED[made_of] = tagger
+    return _TRAINED[made_of]
 
 
+#: Places that are decoded at once.
+DECODED = 200_000
 WEIGHTS = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
 
@@ -374,9 +406,7 @@ def tag(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list[tuple[s
             a, n = start - regions[r][1], min(WINDOW, regions[r][2] - start)
             sums[r][a : a + n] += em[:n, k] * WEIGHTS[:n, None]
             weight[r][a : a + n] += WEIGHTS[:n]
-    order = sorted(range(len(regions)), key=lambda r: len(sums[r]))
-    for at in range(0, len(order), batch):
-        part = order[at : at + batch]
+    for part in _decoded_together([len(x) for x in sums], batch):
         lengths = np.array([len(sums[r]) for r in part])
         em = np.zeros((lengths.max(), len(part), len(LABELS)), np.float32)
         for k, r in enumerate(part):
@@ -393,6 +423,18 @@ def tag(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list[tuple[s
     return out
 
 
+def _decoded_together(lengths: list[int], most: int) -> Iterator[list[int]]:
+    """Stretches by length, as many at a time as fill ``DECODED`` places when padded to the longest; longer ones alone."""
+    part: list[int] = []
+    for r in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if part and (len(part) >= most or (len(part) + 1) * lengths[r] > DECODED):
+            yield part
+            part = []
+        part.append(r)
+    if part:
+        yield part
+
+
 def plausible(kind: str, s: str) -> bool:
     """Whether a tagged span passes its kind's test, blanks and brackets aside."""
     d = digits_of(s)
@@ -420,7 +462,7 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` for each row; the counts are of base spans."""
     spark = docs.sparkSession
     tune(spark, 256)
-    held = spark.sparkContext.broadcast(tagger or default_tagger())
+    held = spark.sparkContext.broadcast(tagger or default_tagger(spark))
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
