@@ -6,8 +6,9 @@ capitals, of punctuation and of obfuscated words. Labels are read only from rows
 out when the CRC-32 of its doc_id as text, modulo 4, is 2. Labels, language, source and doc_id are never features.
 
 The fit takes at most ``MOST_LABELLED`` labelled rows, those with the smallest hashes of their doc_id; every document is
-scored. Four in five of the rows fit the trees and their lexicon, the others the calibration; the lexicon for scoring
-is that of all of these rows.
+scored. The rows are dealt into ``FOLDS``: a row's features are computed with the lexicon of the other folds' rows, as a
+new text's are with the lexicon of all rows, so that trees, calibration and scoring see features of one law. One fold
+fits the calibration, the others the trees. A doc_id that stands in several documents lends its label to each.
 
 Defined results: a null or empty text has all features zero and is scored like any other; null labels and labels of no
 document are left out; without labels of both kinds every score is their mean, or 0 without any; repeated rows get the
@@ -32,6 +33,7 @@ from quillspark.llm._common import boxed, hold, tune, unboxed, whole_text
 
 MOST_LABELLED = 40_000
 FALSE_WORDS = 0.01
+FOLDS = 5
 CUT = 0.3
 
 # A small lexicon, and second-person words of four languages.
@@ -56,13 +58,13 @@ def starts_of(word: str) -> tuple[str, ...]:
 class Features:
     """Computes the features of texts; it remembers what words are worth, as far as memory allows."""
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.known = lexicon, {}
+    def __init__(self, lexicon: dict[str, float], most: int = 300_000):
+        self.lexicon, self.known, self.most = lexicon, {}, most
 
     def worth(self, word: str) -> float:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > self.most:
                 self.known.clear()
             get = self.lexicon.get
             found = self.known[word] = max(get(word, 0.0), *(get(t, 0.0) for t in starts_of(word)))
@@ -207,29 +209,30 @@ def isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # The operator
 
 
-COUNTS = ("toxic_fit", "n_fit", "toxic", "n")
+TOXIC, ALL = [f"t{f}" for f in range(FOLDS)], [f"n{f}" for f in range(FOLDS)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each token, of label 1 and in all, among the fitting rows and all, summed as memory allows."""
+    """Documents with each token by fold, of label 1 and in all, summed as memory allows."""
 
     def fresh():
-        """By whether rows calibrate and are toxic: words, and beginnings of words."""
-        return {(c, y): (Counter(), Counter()) for c in (False, True) for y in (False, True)}
+        """By fold and whether rows are toxic: words, and beginnings of words."""
+        return {(f, y): (Counter(), Counter()) for f in range(FOLDS) for y in (False, True)}
 
     def out(seen):
         for kind, mark in ((0, ""), (1, "-")):
             every = list(set().union(*(seen[k][kind] for k in seen)))
-            get = lambda c, y: np.fromiter((seen[c, y][kind][t] for t in every), np.int64, len(every))  # noqa: B023, E731
-            toxic_fit, toxic_rest = get(False, True), get(True, True)
-            n_fit, n_rest = toxic_fit + get(False, False), toxic_rest + get(True, False)
-            yield pa.RecordBatch.from_arrays([pa.array([t + mark for t in every], pa.string()), *map(pa.array, (toxic_fit, n_fit, toxic_fit + toxic_rest, n_fit + n_rest))], ["token", *COUNTS])
+            get = lambda f, y: np.fromiter(map(seen[f, y][kind].__getitem__, every), np.int64, len(every))  # noqa: B023, E731
+            toxic = [get(f, True) for f in range(FOLDS)]
+            some = np.flatnonzero(sum(toxic))  # a token of no toxic document is never asked for
+            both = [t + get(f, False) for f, t in enumerate(toxic)]
+            yield pa.RecordBatch.from_arrays([pa.array([every[k] + mark for k in some.tolist()], pa.string()), *(pa.array(c[some]) for c in (*toxic, *both))], ["token", *TOXIC, *ALL])
 
     seen, rows = fresh(), 0
     for b in batches:
-        for text, y, calibrates in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+        for text, y, fold in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             words = set(LETTERS.findall(text.lower()))
-            whole, starts = seen[calibrates, y]
+            whole, starts = seen[fold, y]
             whole.update(words)
             starts.update({w[:n] for n in STARTS for w in words})
             rows += 1
@@ -240,31 +243,45 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(seen)
 
 
-def _lexicon(counts: DataFrame, toxic: int, n: int, suffix: str) -> dict[str, float]:
-    """Tokens with more toxic documents than chance gives to tokens as many as were tried, by Chernoff's bound, and log odds."""
-    if not 0 < toxic < n:
-        return {}
-    t, m = F.col("toxic" + suffix), F.col("n" + suffix)
-    base, share = F.lit(toxic / n), t / m
-    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    rare = m * (share * F.log(share / base) + rest)
-    frequent = counts.filter(t >= 3)
-    tried = max(1, frequent.count())
-    odds = F.log((t + 0.5) / (m - t + 0.5)) - F.log(base / (1 - base))
-    words = frequent.filter(share > base).select("token", odds.alias("odds"), rare.alias("rare")).filter(F.col("odds") > 1.5)
-    # Benjamini and Hochberg's rule: the longest list of which a share of FALSE_WORDS at most is expected to be chance.
-    # Even as the last of all that were tried, a token has to be this rare, so the others need not be collected.
-    top = sorted(words.filter(F.col("rare") >= -math.log(FALSE_WORDS) - 1e-9).collect(), key=lambda r: (-r["rare"], r["token"]))
-    n = max((k for k, r in enumerate(top, 1) if r["rare"] >= math.log(tried / (k * FALSE_WORDS))), default=0)
-    return {r["token"]: r["odds"] for r in top[:n]}
-
-
-def _features(lexicon):
+def lexicons(counts: DataFrame, toxic: list[int], rows: list[int]) -> list[dict[str, float]]:
+    """For each fold the lexicon of all other folds' rows, and at last that of all rows.
+
+    A lexicon has the tokens with more toxic documents than chance gives to tokens as many as were tried, by Chernoff's
+    bound, and their log odds.
+    """
+    every_t, every_n = sum(F.col(c) for c in TOXIC), sum(F.col(c) for c in ALL)
+    sides = []
+    for f in range(FOLDS + 1):
+        t, m = (every_t - F.col(TOXIC[f]), every_n - F.col(ALL[f])) if f < FOLDS else (every_t, every_n)
+        n_toxic, n = sum(toxic) - (toxic[f] if f < FOLDS else 0), sum(rows) - (rows[f] if f < FOLDS else 0)
+        if not 0 < n_toxic < n:
+            sides.append((F.lit(False), F.lit(0.0), F.lit(0.0), F.lit(False)))
+            continue
+        base, share = F.lit(n_toxic / n), F.greatest(t, F.lit(1)) / F.greatest(m, F.lit(1))  # tokens of the fold alone have none
+        rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+        rare = m * (share * F.log(share / base) + rest)
+        odds = F.log((t + 0.5) / (m - t + 0.5)) - F.log(base / (1 - base))
+        # Even as the last of all that were tried, a token has to be this rare, so the others need not be collected.
+        some = (t >= 3) & (share > base) & (odds > 1.5) & (rare >= -math.log(FALSE_WORDS) - 1e-9)
+        sides.append((t >= 3, odds, rare, some))
+    tried = counts.agg(*[F.count(F.when(side[0], 1)).alias(f"c{f}") for f, side in enumerate(sides)]).first()
+    told = F.array(*[F.when(some, F.struct(rare.alias("rare"), odds.alias("odds"))) for _, odds, rare, some in sides])
+    found = counts.select("token", told.alias("told")).filter(F.exists("told", lambda x: x.isNotNull())).collect()
+    out = []
+    for f in range(FOLDS + 1):
+        # Benjamini and Hochberg's rule: the longest list of which a share of FALSE_WORDS at most is expected to be chance.
+        top = sorted(((-r["told"][f]["rare"], r["token"], r["told"][f]["odds"]) for r in found if r["told"][f] is not None), key=lambda x: x[:2])
+        n = max((k for k, x in enumerate(top, 1) if -x[0] >= math.log(max(1, tried[f]) / (k * FALSE_WORDS))), default=0)
+        out.append({token: odds for _, token, odds in top[:n]})
+    return out
+
+
+def _features(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Features(lexicon.value).of
+        of = [Features(lexicon, 60_000).of for lexicon in held.value]
         for b in batches:
-            x = [of(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["y", "calibrates", "x"])
+            x = [of[fold](t) for t, fold in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["y", "fold", "x"])
 
     return run
 
@@ -278,21 +295,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tune(spark)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     some = known.select(F.col(id_col).cast("long").alias("__id"), (F.col(label_col) != 0).alias("y")).orderBy(F.xxhash64("__id"), "__id", "y").limit(most)
-    some = some.withColumn("calibrates", F.pmod(F.xxhash64(F.col("__id"), F.lit(3)), F.lit(5)) == 0)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), whole_text(text_col).alias("text")).join(F.broadcast(some), "__id").select("text", "y", "calibrates")
-    one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    fits = ~F.col("calibrates")
-    toxic_fit, n_fit, toxic, n = rows.agg(one(fits & F.col("y")).alias("a"), one(fits).alias("b"), one(F.col("y")).alias("c"), F.count(F.lit(1)).alias("d")).first()
-    if not 0 < toxic_fit < n_fit:
-        return Model(prior=toxic / n if n else 0.0)
-    counts = rows.mapInArrow(_count, "token string, toxic_fit long, n_fit long, toxic long, n long")
-    counts = hold(counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS]).filter("toxic >= 3"))
-    lexicon = _lexicon(counts, toxic_fit, n_fit, "_fit")
-    held = spark.sparkContext.broadcast(lexicon)
-    data = rows.mapInArrow(_features(held), "y boolean, calibrates boolean, x array<double>").collect()
-    x, y, c = np.array([r["x"] for r in data]), np.array([r["y"] for r in data], float), np.array([r["calibrates"] for r in data])
+    some = some.withColumn("fold", F.pmod(F.xxhash64(F.col("__id"), F.lit(3)), F.lit(FOLDS)).cast("int"))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), whole_text(text_col).alias("text")).join(F.broadcast(some), "__id").select("text", "y", "fold")
+    rows = hold(rows)  # of a bounded sample: its texts are read three times
+    by_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(F.sum(F.col("y").cast("long")).alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    toxic, n = ([by_fold[f][k] if f in by_fold else 0 for f in range(FOLDS)] for k in ("t", "n"))
+    if not 0 < sum(toxic[1:]) < sum(n[1:]):
+        return Model(prior=sum(toxic) / sum(n) if sum(n) else 0.0)
+    counts = rows.mapInArrow(_count, ", ".join(["token string", *(f"{c} long" for c in (*TOXIC, *ALL))]))
+    counts = hold(counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in (*TOXIC, *ALL)]).filter(" + ".join(TOXIC) + " >= 3"), 4096)
+    *others, whole = lexicons(counts, toxic, n)
+    held = spark.sparkContext.broadcast(others)
+    data = rows.mapInArrow(_features(held), "y boolean, fold int, x array<double>").collect()
+    x, y, c = np.array([r["x"] for r in data]), np.array([r["y"] for r in data], float), np.array([r["fold"] for r in data]) == 0
     model = boost(x[~c], y[~c])
-    model.lexicon = lexicon | _lexicon(counts, toxic, n, "")  # for scoring, the words of all rows
+    model.lexicon = whole
     both = c if 0 < y[c].sum() < c.sum() else ~c
     model.steps = isotonic(model.raw(x[both]), y[both])
     return model

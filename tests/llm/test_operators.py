@@ -197,7 +197,7 @@ def test_pii_tagger():
     tagger = pii.Tagger(3)
     tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
     _, grad = tagger.gradient(x[:4], y[:4])
-    for name in ("xf", "hf", "xb", "hb", "out", "bias", "trans", "first"):
+    for name in ("x", "h", "out", "bias", "trans", "first"):
         at = np.unravel_index(np.abs(grad[name]).argmax(), grad[name].shape)
         step = 1e-4
         tagger.p[name][at] += step
@@ -214,6 +214,32 @@ def test_pii_tagger():
     assert all(s[0] == "email" for s in pii.find(["write to anna.k @ example.com now"], pii.default_tagger())[0][1])
 
 
+def test_pii_weights_are_kept_in_the_shared_folder(spark, monkeypatch):
+    import numpy as np
+
+    from quillspark.llm import pii
+
+    monkeypatch.setattr(pii, "labelled_spans", lambda made=pii.labelled_spans: made(60, 4))
+    monkeypatch.setattr(pii, "_TRAINED", {})
+    first = pii.default_tagger(spark, 3)
+    pii._TRAINED.clear()
+    monkeypatch.setattr(pii.Tagger, "train", None)  # not trained again
+    again = pii.default_tagger(spark, 3)
+    assert all(np.array_equal(first.p[k], again.p[k]) for k in first.p)
+
+
+def test_pii_long_stretches_are_decoded_alone():
+    from quillspark.llm import pii
+
+    lengths = [5, 400_000, 7, 3, 9, 6] + [50] * 9000
+    parts = list(pii._decoded_together(lengths, 512))
+    assert sorted(r for p in parts for r in p) == list(range(len(lengths)))
+    assert all(len(p) == 1 or len(p) * max(lengths[r] for r in p) <= pii.DECODED for p in parts)
+    short = " word" * 40 + " call 555-123-4567 now"
+    found = pii.find(["7" * 30_000 + short, short], pii.default_tagger())
+    assert [(s[0], s[1] - 30_000, s[2] - 30_000) for s in found[0][1]] == found[1][1] != []
+
+
 # 3
 
 
@@ -243,6 +269,52 @@ def test_toxicity(spark, empty):
     assert all(r["score"] == 0 for r in score(docs, fit(docs, labels.limit(0))).collect())
 
 
+def test_toxicity_features_and_trees_against_plain_versions():
+    import math
+
+    import numpy as np
+
+    from quillspark.llm import toxicity as tox
+
+    rng = random.Random(21)
+    lexicon = {"bada": 2.0, "dade-": 1.5}
+    words_ = ["bada", "dadeb", "you", "Your", "idiot", "CAPS", "b4d4", "soooo", "plain", "text!", "why?", "x#y", "é"]
+    texts = [" ".join(rng.choice(words_) for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    made = tox.Features(lexicon)
+    for text in texts:
+        w = re.findall(r"[^\W\d_]+", text.lower())
+        worth = [max(lexicon.get(x, 0), lexicon.get(x[:4] + "-", 0), lexicon.get(x[:5] + "-", 0)) for x in w]
+        hits = [k for k, v in enumerate(worth) if v]
+        per = 100 / max(1, len(w))
+        want = {
+            "log_words": math.log1p(len(w)), "hits": len(hits), "hit_density": len(hits) * per, "hit_weight": sum(worth), "weight_density": sum(worth) * per,
+            "strongest": max(worth), "distinct_hits": len({w[k] for k in hits}), "insult_density": sum(x in tox.INSULTS for x in w) * per,
+            "you_density": sum(x in tox.YOU for x in w) * per, "near_you": sum(any(x in tox.YOU for x in w[max(0, k - 4) : k + 5]) for k in hits),
+            "capitals": sum("A" <= c <= "Z" for c in text) / len(text), "shouted": len(re.findall("[A-Z]{3,}", text)) * per, "exclaims": text.count("!") * per,
+            "questions": text.count("?") * per, "stretched": sum(a == b == c and c.isascii() and c.isalpha() for a, b, c in zip(text, text[1:], text[2:])) * per,
+            "clustered": max([sum(k <= j < k + 50 for j in hits) for k in hits], default=0),
+        }
+        got = dict(zip(tox.NAMES, made.of(text), strict=True))
+        assert all(math.isclose(got[k], v, abs_tol=1e-9) for k, v in want.items()), text
+
+    x = np.random.default_rng(3).normal(size=(400, 5))
+    y = ((x[:, 0] > 0.3) & (x[:, 2] < 0.5)).astype(float)
+    model = tox.boost(x, y, trees=12)
+    model.steps = tox.isotonic(model.raw(x), y)
+
+    def plain(row):
+        total = model.bias
+        for which, limits, leaves in model.trees:
+            at = 0
+            while at < len(which):
+                at = 2 * at + 1 + (row[which[at]] > limits[at])
+            total += leaves[at - len(which)]
+        return total
+
+    assert np.allclose(model.raw(x), [plain(r) for r in x])
+    assert ((model.score(x) > 0.5) == y).mean() > 0.97 and (np.diff(model.score(x)[np.argsort(model.raw(x))]) >= 0).all()
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     from quillspark.llm.toxicity import fit
 
@@ -261,10 +333,14 @@ def test_toxicity_clusters_count_anywhere_in_a_text():
 
 
 def test_toxicity_lexicon_takes_all_tokens_beyond_chance(spark):
-    from quillspark.llm.toxicity import _lexicon
-
-    counts = spark.range(6000).selectExpr("concat('t', id) AS token", "if(id < 5000, 60L, 3L) AS toxic", "if(id < 5000, 60L, 30L) AS n")
-    assert _lexicon(counts, 1000, 10_000, "").keys() == {f"t{k}" for k in range(5000)}
+    from quillspark.llm.toxicity import ALL, FOLDS, TOXIC, lexicons
+
+    # The first 5000 tokens stand in 12 toxic documents of each fold, and t0 in those of one fold alone.
+    toxic = [f"if(id = 0, if({f} = 0, 60L, 0L), if(id < 5000, 12L, if({f} = 0, 3L, 0L))) AS {c}" for f, c in enumerate(TOXIC)]
+    every = [f"if(id = 0, if({f} = 0, 60L, 0L), if(id < 5000, 12L, if({f} = 0, 30L, 0L))) AS {c}" for f, c in enumerate(ALL)]
+    found = lexicons(spark.range(6000).selectExpr("concat('t', id) AS token", *toxic, *every), [200] * FOLDS, [2000] * FOLDS)
+    assert found[-1].keys() == {f"t{k}" for k in range(5000)}
+    assert found[0].keys() == found[-1].keys() - {"t0"} and all(x.keys() == found[-1].keys() for x in found[1:])
 
 
 def test_isotonic():
