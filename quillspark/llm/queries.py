@@ -66,7 +66,7 @@ def op9_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_column_wise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.suffix_dedup import without_repeats
 
-    return without_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+    return without_repeats(table(spark, sf_dir, "documents"), with_bytes=False, with_passages=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_blob_ledger, op2_lstm_crf_pii, op3_boosted_toxicity, op4_simhash_pivots, op5_hypergeometric_shards, op6_broadcast_ngrams, op7_digest_index, op8_url_logistic, op9_configuration_packing, op10_column_wise_suffixes)}

@@ -15,6 +15,11 @@ prefixes of neighbours (one more than the least of those between them before, or
 bytes in common with a neighbour starts a repeated string. A task holds a few numbers a string in memory; the bytes stay
 in the files, which it deletes as it ends.
 
+A gram with more than ``SPLIT`` kinds of contexts is split, exactly: the strings of ``length`` bytes around an anchor
+fall into ``PARTS`` by how far left of it they start, all strings of a part cover the same middle bytes, and only
+contexts that agree in those can share one. So each part is a collection by those bytes. A symbol that UTF-8 does not
+have, in place of the anchor's first byte, keeps the parts of a context apart.
+
 A full transform of all documents would take as many passes over all data as the longest document has bytes; the
 anchors bound the rounds by twice ``length``.
 
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import apart, hold, tune, whole_text
+from quillspark.llm._common import apart, hold, materialize, released, tune, whole_text
 
 LENGTH = 400
 GRAM = 48
@@ -44,6 +49,10 @@ GRAM = 48
 COLLECTION = 30_000
 #: Bytes of text whose anchors are found at once.
 BLOCK = 1 << 20
+#: Kinds of contexts of one gram beyond which they are split, and the parts that each context then has.
+SPLIT, PARTS = 4096, 8
+#: A passage has more words than this; its bytes are at least PASSAGE_LENGTH, at about five a word.
+PASSAGE_WORDS, PASSAGE_LENGTH = 50, 256
 #: Stands for what is beyond a document's ends; no UTF-8 text has it.
 BEYOND = 0xFF
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -246,14 +255,35 @@ def _digest_contexts(length: int, gram: int):
     return run
 
 
+def _in_parts(text: bytes, place: int, padded: bytes, length: int, gram: int) -> Iterator[tuple[int, bytes]]:
+    """The key and the marked context of each part that a context has in its document."""
+    step = -(-(length - gram + 1) // PARTS)
+    for part in range(PARTS):
+        low, high = place - part * step, place + length - (part + 1) * step + 1
+        if part * step > length - gram or low < 0 or high > len(text):
+            continue
+        h = hashlib.blake2b(b"%d:%d:" % (part, gram), digest_size=8)
+        h.update(text[min(low, place) : max(high, place + gram)])
+        marked = padded if not part else padded[: length - gram] + bytes([BEYOND - part]) + padded[length - gram + 1 :]
+        yield int.from_bytes(h.digest(), "little", signed=True), marked
+
+
 def _cut_contexts(length: int, gram: int):
+    types = (*[pa.int64()] * 4, pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text, wanted in zip(_unpacked(b.column(0)), b.column(1).to_pylist(), strict=True):
-                rows += [(x["gram"], x["w1"], x["w2"], _padded(text, x["place"], length, gram)) for x in wanted]
-            for k in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["gram", "w1", "w2", "bytes"])
+                for x in wanted:
+                    padded = _padded(text, x["place"], length, gram)
+                    keys = _in_parts(text, x["place"], padded, length, gram) if x["split"] else [(x["gram"], padded)]
+                    rows += [(key, x["gram"], x["w1"], x["w2"], marked) for key, marked in keys]
+                if len(rows) >= 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "gram", "w1", "w2", "bytes"])
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "gram", "w1", "w2", "bytes"])
 
     return run
 
@@ -274,12 +304,13 @@ def _build(length: int, gram: int, collection: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns, keys = Columns(2 * length - gram), []
         try:
-            for b in batches:  # sorted by gram
+            last = None
+            for b in batches:  # sorted by key
                 if not b.num_rows:
                     continue
                 g = b.column(0).to_numpy()
-                if len(columns) >= collection and g[-1] != keys[-1][0][-1]:
-                    cut = int(np.searchsorted(g, keys[-1][0][-1], side="right"))
+                if len(columns) >= collection and g[-1] != last:
+                    cut = int(np.searchsorted(g, last, side="right"))
                     if cut:
                         _add(columns, keys, b.slice(0, cut))
                     yield from found(columns, keys)
@@ -288,6 +319,7 @@ def _build(length: int, gram: int, collection: int):
                     b = b.slice(cut)
                 if b.num_rows:
                     _add(columns, keys, b)
+                    last = b.column(0)[-1].as_py()
             if keys:
                 yield from found(columns, keys)
         finally:
@@ -297,8 +329,20 @@ def _build(length: int, gram: int, collection: int):
 
 
 def _add(columns: Columns, keys: list, b: pa.RecordBatch) -> None:
-    columns.add(b.column(3).to_pylist())
-    keys.append([b.column(c).to_numpy() for c in range(3)])
+    columns.add(b.column(4).to_pylist())
+    keys.append([b.column(c).to_numpy() for c in (1, 2, 3)])
+
+
+def _merged(covered, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of a text of so many bytes that are covered."""
+    out: list[tuple[int, int]] = []
+    for x in sorted(covered or (), key=lambda x: x["start"]):
+        end = min(x["stop"], size)
+        if out and x["start"] <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((x["start"], end))
+    return out
 
 
 def _remove(with_bytes: bool):
@@ -308,27 +352,33 @@ def _remove(with_bytes: bool):
         for b in batches:
             kept, digests, removed, spans = [], [], [], []
             for text, covered in zip(_unpacked(b.column(2)), b.column(3).to_pylist(), strict=True):
-                parts, gone, n, last, stop = [], 0, 0, 0, -1
-                for x in sorted(covered or (), key=lambda x: x["start"]):
-                    if x["start"] > stop:
-                        parts.append(text[last : x["start"]])
-                        n += 1
-                        stop = x["start"]
-                    if (end := min(x["stop"], len(text))) > stop:
-                        gone += end - stop
-                        stop = last = end
-                rest = b"".join([*parts, text[last:]])
+                runs = _merged(covered, len(text))
+                rest = b"".join(text[a:z] for (_, a), (z, _) in zip([(0, 0), *runs], [*runs, (len(text), 0)], strict=True))
                 kept.append(rest)
                 digests.append(hashlib.sha256(rest).hexdigest())
-                removed.append(gone)
-                spans.append(n)
+                removed.append(len(text) - len(rest))
+                spans.append(len(runs))
             made = [pa.array(digests, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), *([pa.array(kept, pa.binary())] if with_bytes else [])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "th", "cut_sha256", "n_removed", "n_spans", *["kept"] * with_bytes])
 
     return run
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _count_passages(words: int):
+    """Covered runs of more than so many words, and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = []
+            for text, covered in zip(_unpacked(b.column(2)), b.column(3).to_pylist(), strict=True):
+                sizes = [len(text[a:z].split()) for a, z in _merged(covered, len(text))]
+                counts.append([n for n in sizes if n > words])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(n) for n in counts], pa.int64()), pa.array([sum(n) for n in counts], pa.int64())], ["doc_id", "th", "n_passages", "n_passage_words"])
+
+    return run
+
+
+def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION, split: int = SPLIT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: a line for each row of ``docs``, texts with repeated anchors, and covered runs of such texts.
 
     Rows alike in doc_id and text are alike in all results; of such rows one text has ``nth`` 1.
@@ -350,12 +400,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     contexts = hold(texts.mapInArrow(_digest_contexts(length, gram), KEY + ", place int, gram long, w1 long, w2 long, size int"))
     kinds = contexts.groupBy("gram", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("one"), F.max("size").alias("size"))
     kinds = hold(kinds)
-    differ = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("gram")
-    compare = kinds.join(differ, "gram").filter(F.col("size") >= length)
-    compare = compare.select("one.doc_id", "one.th", F.struct("gram", "w1", "w2", "one.place").alias("x")).groupBy("doc_id", "th").agg(F.collect_list("x").alias("wanted"))
+    differ = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(apart("gram").alias("gram"), (F.col("kinds") > split).alias("split"))
+    compare = kinds.hint("merge").join(differ.hint("merge"), "gram").filter(F.col("size") >= length)
+    compare = compare.select("one.doc_id", "one.th", F.struct("gram", "w1", "w2", "one.place", "split").alias("x")).groupBy("doc_id", "th").agg(F.collect_list("x").alias("wanted"))
     cut = texts.filter("nth = 1").select("doc_id", "th", "text").hint("merge").join(compare.hint("merge"), ["doc_id", "th"]).select("text", "wanted")
-    cut = cut.mapInArrow(_cut_contexts(length, gram), "gram long, w1 long, w2 long, bytes binary")
-    built = cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(_build(length, gram, collection), "gram long, w1 long, w2 long, start int, stop int")
+    cut = cut.mapInArrow(_cut_contexts(length, gram), "key long, gram long, w1 long, w2 long, bytes binary")
+    built = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_build(length, gram, collection), "gram long, w1 long, w2 long, start int, stop int")
     # The same context as often as twice is repeated as a whole; else what the construction has found counts.
     whole = kinds.filter((F.col("n") > 1) & (F.col("size") >= length)).select("gram", "w1", "w2", F.lit(gram - length).alias("start"), F.lit(length).alias("stop"))
     runs = whole.unionByName(built)
@@ -363,17 +413,39 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     return lines, texts, covered
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
+def _hit(texts: DataFrame, covered: DataFrame) -> DataFrame:
+    per_doc = covered.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("covered"))
+    hit = texts.filter("nth = 1").select("doc_id", "th", "text").hint("merge").join(per_doc.hint("merge"), ["doc_id", "th"])
+    return hit.select("doc_id", "th", "text", "covered")
+
+
+def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS, length: int = PASSAGE_LENGTH, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """``(doc_id, th, n_passages, n_passage_words)`` of the texts with a passage of more than ``words`` words that repeats.
+
+    A passage is a maximal run of bytes that lie in repeated strings of ``length`` bytes.
+    """
+    _, texts, covered = find_repeats(docs, length, id_col=id_col, text_col=text_col, **names)
+    counted = _hit(texts, covered).mapInArrow(_count_passages(words), KEY + ", n_passages long, n_passage_words long")
+    return materialize(counted.filter("n_passages > 0"), "passages")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True, with_passages: bool = False, split: int = SPLIT) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for each row.
 
     ``kept`` holds the remaining bytes of texts that have lost some, and is null for all others; it is left out unless
-    asked for by ``with_bytes``.
+    asked for by ``with_bytes``. ``with_passages`` adds ``n_passages`` and ``n_passage_words``, which nothing is removed for.
     """
-    lines, texts, covered = find_repeats(docs, length, gram, id_col, text_col)
-    per_doc = covered.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("covered"))
-    hit = texts.filter("nth = 1").select("doc_id", "th", "text").hint("merge").join(per_doc.hint("merge"), ["doc_id", "th"])
-    cut = hit.select("doc_id", "th", "text", "covered").mapInArrow(_remove(with_bytes), KEY + ", cut_sha256 string, n_removed long, n_spans long" + ", kept binary" * with_bytes)
+    passages = None
+    if with_passages:  # first, so that what it held is gone when the removal starts
+        with released(docs.sparkSession):
+            passages = repeated_passages(docs, id_col=id_col, text_col=text_col)
+    lines, texts, covered = find_repeats(docs, length, gram, id_col, text_col, split=split)
+    cut = _hit(texts, covered).mapInArrow(_remove(with_bytes), KEY + ", cut_sha256 string, n_removed long, n_spans long" + ", kept binary" * with_bytes)
     zero = F.lit(0).cast("long")
     out = lines.hint("merge").join(cut.hint("merge"), ["doc_id", "th"], "left")
+    more = []
+    if passages is not None:
+        out = out.hint("merge").join(passages.hint("merge"), ["doc_id", "th"], "left")
+        more = [F.coalesce(c, zero).alias(c) for c in ("n_passages", "n_passage_words")]
     doc = F.when(~F.col("no_id"), F.col("doc_id"))
-    return out.select(doc.alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "full_sha256").alias("kept_sha256"), *["kept"] * with_bytes)
+    return out.select(doc.alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "full_sha256").alias("kept_sha256"), *["kept"] * with_bytes, *more)

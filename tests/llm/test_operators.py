@@ -815,6 +815,35 @@ def test_suffix_dedup_with_shared_edges(spark):
     assert multiset(without_repeats(df, 60, 16).collect(), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == collections.Counter(naive_repeats(rows, 60))
     _, _, covered = find_repeats(df, 60, 16, collection=5)
     assert covered.count() > 0
+    split = without_repeats(df, 60, 16, split=1).collect()  # contexts of every gram in parts
+    assert multiset(split, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == collections.Counter(naive_repeats(rows, 60))
+
+
+def test_suffix_dedup_of_a_hot_gram(spark):
+    """A phrase that is longer than a gram and shorter than a string, in many documents with other words around it."""
+    from quillspark.llm.suffix_dedup import without_repeats
+
+    rng = random.Random(10)
+    phrase, shared = words(rng, 40)[:50], [words(rng, 12) for _ in range(6)]
+    rows = [(k, rng.choice(shared)[-rng.randint(1, 30) :] + phrase + rng.choice(shared)[: rng.randint(1, 30)] + words(rng, 9)) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = collections.Counter(naive_repeats(rows, 60))
+    for split in (4096, 20, 0):
+        found = without_repeats(df, 60, 16, split=split).collect()
+        assert multiset(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_repeated_passages_of_more_than_fifty_words(spark):
+    from quillspark.llm.suffix_dedup import without_repeats
+
+    rng = random.Random(11)
+    passage, line = words(rng, 53), words(rng, 48)
+    own = lambda: words(rng, 100)
+    rows = [(k, f"{own()} {passage} {own()}") for k in range(3)] + [(k, f"{own()} {line} {own()}") for k in range(3, 6)] + [(9, own()), (10, None)]
+    found = {r["doc_id"]: r for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_passages=True).collect()}
+    assert 256 < len(passage) < 390 and len(line) > 250 and all(found[k]["n_removed"] == 0 for k in found)
+    assert {k: r["n_passages"] for k, r in found.items()} == dict.fromkeys(range(3), 1) | dict.fromkeys([*range(3, 6), 9, 10], 0)
+    assert all(53 <= found[k]["n_passage_words"] <= 55 for k in range(3))
 
 
 def test_suffix_order_and_common_prefixes(tmp_path):
