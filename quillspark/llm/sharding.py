@@ -2,7 +2,7 @@
 
 The input is cut into source chunks (a scan partition, and at most ``2**chunk_bits`` rows of it). How many rows of each
 chunk go to each shard is drawn from the multivariate hypergeometric law, given the exact shard sizes: that matrix has
-one row a chunk and is all that the driver sees. Each chunk is permuted on its own and dealt out by its row of the
+one row a chunk and is all that the driver sees; it is dealt out as a small file in the shared folder. Each chunk is permuted on its own and dealt out by its row of the
 matrix; rows are exchanged; each shard is permuted again, in ranges of a random key, so that no task holds a shard.
 
 Law: ``rows`` (shard counts are at most one apart). Sizes are UTF-8 bytes of the text plus 1.
@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import json
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import materialize, whole_text
+from quillspark.llm._common import materialize, new_path, whole_text, write_bytes
 
 CHUNK_BITS = 18
 #: Chunks are made larger beyond this many, so that the matrix stays within the driver's memory.
@@ -80,11 +81,9 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "doc_id
     rows = rows.withColumn("chunk", F.shiftright("at", chunk_bits))
     chunks = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).orderBy("chunk").collect()
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
-    plan = []
-    for c, row in zip(chunks, matrix([c["n"] for c in chunks], sizes, seed), strict=True):
-        ends = [sum(row[: s + 1]) for s in range(shards)]
-        plan.append({"chunk": c["chunk"], "ends": ends})
-    dealt = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), "array<struct<chunk bigint, ends array<bigint>>>")))
+    lines = (json.dumps({"chunk": c["chunk"], "ends": list(accumulate(row))}) for c, row in zip(chunks, matrix([c["n"] for c in chunks], sizes, seed), strict=True))
+    write_bytes(spark, path := new_path(spark, "matrix"), "\n".join(lines).encode())
+    dealt = spark.read.schema("chunk bigint, ends array<bigint>").json(path)
 
     first = W.partitionBy("chunk").orderBy(F.xxhash64("at", F.lit(seed)), "at")
     sent = rows.withColumn("k", F.row_number().over(first)).join(dealt.hint("merge"), "chunk")
