@@ -196,7 +196,8 @@ def near_links(nodes: DataFrame, max_distance: int = 3, n_pivots: int = PIVOTS,
             F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"),
             F.col("free").bitwiseAND(F.bitwise_not(F.col("mask"))).alias("free"),
         )
-        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        keyed = hold(keyed, 4096)
+        sizes = hold(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), 4096)
         last = level == levels - 1
         small = sizes if last else sizes.filter(F.col("n") <= table_rows)
         ready = keyed.join(small.select(apart("key").alias("key")), "key").select("key", "fp")
