@@ -37,6 +37,8 @@ END_ID = 2
 ROUNDS = 1500
 #: Rounds of the fractional mix: most, and the share of a length that one of few lengths gives in a round.
 MIX_ROUNDS, LEAST_SHARE = 2500, 0.005
+#: Configurations that are taken of one table of prices, and the share of the best value that they have at least.
+SEVERAL, NEARLY = 16, 0.999
 #: Configurations that are used fewer times than this are rounded down to none.
 ROUNDED_OFF = 2
 
@@ -106,38 +108,54 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", ranks: str |
 # The configuration program
 
 
-def price(values: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the largest value: length -> how many, none more than there are pieces of it."""
+def price(values: np.ndarray, most: np.ndarray, capacity: int, several: int = 1) -> list[dict[int, int]]:
+    """The configuration of the largest value: length -> how many, none more than there are pieces of it.
+
+    The same table gives the best configuration with each length in it: of those worth ``NEARLY`` as much, up to
+    ``several`` that have no length in common are given, the best one first.
+    """
     lengths = np.flatnonzero((values > 0) & (most > 0))
     if not len(lengths):
-        return {}
-    worth = values[lengths]
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    for room in range(int(lengths[0]), capacity + 1):
-        n = int(np.searchsorted(lengths, room, side="right"))
-        gain = best[room - lengths[:n]] + worth[:n]
+        return []
+    low, high = int(lengths[0]), int(lengths[-1])
+    worth = np.full(capacity + 1, -np.inf)
+    worth[lengths] = values[lengths]
+    best = np.zeros(capacity + 1)  # from the end: best[capacity - room], so that what is added lies side by side
+    took = np.zeros(capacity + 1, np.int64)
+    for room in range(low, capacity + 1):
+        top = min(room, high)
+        gain = best[capacity - room + low : capacity - room + top + 1] + worth[low : top + 1]
         k = int(gain.argmax())
-        if gain[k] > best[room - 1]:
-            best[room], took[room] = gain[k], k
+        here, before = capacity - room, best[capacity - room + 1]
+        if gain[k] > before:
+            best[here], took[room] = gain[k], k + low
         else:
-            best[room] = best[room - 1]
-    out: Counter[int] = Counter()
-    room = capacity
-    while room > 0 and best[room] > 0:
-        if took[room] < 0 or best[room] == best[room - 1]:
-            room -= 1
-            continue
-        out[int(lengths[took[room]])] += 1
-        room -= int(lengths[took[room]])
-    return {k: int(min(n, most[k])) for k, n in out.items()}
+            best[here] = before
+    value = worth[lengths] + best[lengths]  # of the best configuration with each length
+    out: list[dict[int, int]] = []
+    taken: set[int] = set()
+    for at in np.argsort(-value, kind="stable").tolist():
+        if value[at] < NEARLY * best[0] or len(out) == several:
+            break
+        config = Counter([int(lengths[at])])
+        room = capacity - int(lengths[at])
+        while room >= low and best[capacity - room] > 0:
+            if took[room] == 0:
+                room -= 1
+                continue
+            config[int(took[room])] += 1
+            room -= int(took[room])
+        if taken.isdisjoint(config):
+            taken.update(config)
+            out.append({k: int(min(n, most[k])) for k, n in config.items()})
+    return out
 
 
 def mix(counts: np.ndarray, capacity: int, rounds: int = MIX_ROUNDS, step: float = 0.03, convex: float = 0.05) -> dict[tuple[tuple[int, int], ...], float]:
     """A fractional solution: configurations and how often each is used; no length is covered beyond its count.
 
     Multiplicative weights: a length's price is its weight times slightly more than proportion to its length. Each round
-    uses the configuration of the largest price for a small share of its scarcest length, so that a configuration comes
+    uses the configurations of the largest prices, each for a small share of its scarcest length, so that a configuration comes
     again among others. A length's weight falls by ``exp(-step)`` for each such share of its count that is covered, so
     that what lags comes first and all lengths run out together.
     """
@@ -146,14 +164,15 @@ def mix(counts: np.ndarray, capacity: int, rounds: int = MIX_ROUNDS, step: float
     base = (np.arange(len(counts)) / capacity) ** (1 + convex)
     share = min(1.0, max(LEAST_SHARE, 1.3 * np.count_nonzero(counts) / rounds))
     for _ in range(rounds):
-        config = price(np.where(left > 0, base * weights, 0), np.where(left > 0, counts, 0), capacity)
-        if not config:
+        configs = price(np.where(left > 0, base * weights, 0), np.where(left > 0, counts, 0), capacity, SEVERAL)
+        if not configs:
             break
-        times = min(min(share * counts[k] / n, left[k] / n) for k, n in config.items())
-        used[tuple(sorted(config.items()))] += times
-        for k, n in config.items():
-            left[k] = left[k] - n * times if left[k] - n * times > 1e-9 * counts[k] else 0
-            weights[k] *= np.exp(-step / share * n * times / counts[k])
+        for config in configs:
+            times = min(min(share * counts[k] / n, left[k] / n) for k, n in config.items())
+            used[tuple(sorted(config.items()))] += times
+            for k, n in config.items():
+                left[k] = left[k] - n * times if left[k] - n * times > 1e-9 * counts[k] else 0
+                weights[k] *= np.exp(-step / share * n * times / counts[k])
         weights /= weights[left > 0].max() if (left > 0).any() else 1
     return dict(used)
 
@@ -163,21 +182,22 @@ def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, eta: float =
 
     Each round prices a piece slightly above proportion to its length (so that
     long pieces find their partners while there are short ones), raised by up to a share ``pull`` by its length's
-    weight, and uses the configuration of the largest price for as long as its scarcest length lasts. A length's weight
+    weight, and uses the configurations of the largest prices, each for as long as its scarcest length lasts. A length's weight
     falls by ``exp(-eta)`` for all of its count that is covered, so that what lags comes first.
     """
     used: Counter[tuple[tuple[int, int], ...]] = Counter()
     left, weights = counts.astype(np.int64).copy(), np.ones(len(counts))
     base = (np.arange(len(counts)) / capacity) ** (1 + convex)
     for _ in range(rounds):
-        config = price(np.where(left > 0, base * (1 + pull * weights), 0), left, capacity)
-        if not config:
+        configs = price(np.where(left > 0, base * (1 + pull * weights), 0), left, capacity, SEVERAL)
+        if not configs:
             break
-        times = min(int(left[k]) // n for k, n in config.items())
-        used[tuple(sorted(config.items()))] += times
-        for k, n in config.items():
-            left[k] -= n * times
-            weights[k] *= np.exp(-eta * n * times / counts[k])
+        for config in configs:
+            times = min(int(left[k]) // n for k, n in config.items())
+            used[tuple(sorted(config.items()))] += times
+            for k, n in config.items():
+                left[k] -= n * times
+                weights[k] *= np.exp(-eta * n * times / counts[k])
         weights /= weights[left > 0].max() if (left > 0).any() else 1
     return dict(used)
 
