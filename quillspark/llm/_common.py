@@ -104,13 +104,13 @@ def hold(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     return held
 
 
-def apart(column):
-    """A whole-number key in a form that Spark does not recognise as what the rows are already dealt by.
+def apart(column, binary: bool = False):
+    """A whole-number or binary key in a form that Spark does not recognise as what the rows are already dealt by.
 
     A join on it deals out both sides anew. Without that, a side that was just aggregated by the key is joined where it
     lies, and Spark cannot split the partition of a hot key on the other side.
     """
-    return F.bitwise_not(F.bitwise_not(column))
+    return F.concat(column, F.lit(b"")) if binary else F.bitwise_not(F.bitwise_not(column))
 
 
 def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

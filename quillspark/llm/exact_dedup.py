@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import _kept, alone, boxed, hold, materialize, new_path, part, row_hash, unboxed, whole_text
+from quillspark.llm._common import _kept, alone, apart, boxed, hold, materialize, new_path, part, row_hash, unboxed, whole_text
 
 #: Rows of a batch for each bucket of an index that is made for it, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 32
@@ -115,9 +115,9 @@ def _judged(rows: DataFrame, index: DigestIndex, name: str) -> DataFrame:
     Both sides are dealt out by a form of the digest that Spark does not know to be how one of them lies already, so
     that it can split the rows of a hot digest.
     """
-    held = index.look_up(rows).select(F.concat("digest", F.lit(b"")).alias("key"), "keep_id", "copies", "keep_at", "batch")
+    held = index.look_up(rows).select(apart("digest", True).alias("key"), "keep_id", "copies", "keep_at", "batch")
     kept = (F.col("keep_at") == F.col("at")) & (F.col("batch") == name)
-    return rows.withColumn("key", F.concat("digest", F.lit(b""))).hint("merge").join(held.hint("merge"), "key").withColumn("kept", kept)
+    return rows.withColumn("key", apart("digest", True)).hint("merge").join(held.hint("merge"), "key").withColumn("kept", kept)
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -261,7 +261,8 @@ def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(fp, component)`` for each of ``nodes`` (fp, least): the least of all nodes that it reaches over ``edges``."""
     rooted = nodes.join(components(edges), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return rooted.join(least, "root").select("fp", "component")
+    least = least.select(apart("root", nodes.schema["fp"].dataType.typeName() == "binary").alias("root"), "component")  # a large component's rows can be split
+    return rooted.hint("merge").join(least.hint("merge"), "root").select("fp", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, max_distance: int = 3) -> DataFrame:
