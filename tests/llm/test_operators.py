@@ -767,14 +767,41 @@ def test_packing_of_few_lengths_nearly_reaches_the_program(counts, prices):
     assert lower_bound <= n <= lower_bound * 1.005 + 3
 
 
+def test_prices_are_those_of_all_configurations():
+    import numpy as np
+
+    from quillspark.llm.packing import NEARLY, price
+
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        capacity = int(rng.integers(5, 25))
+        lengths = np.unique(rng.integers(1, capacity + 1, rng.integers(1, 5)))
+        values, most = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+        values[lengths], most[lengths] = rng.random(len(lengths)) + 0.1, 1000
+
+        def best(room):
+            return max([0.0] + [values[n] + best(room - n) for n in lengths.tolist() if n <= room])
+
+        found = price(values, most, capacity, 4)
+        worth = [sum(values[k] * n for k, n in c.items()) for c in found]
+        assert abs(worth[0] - best(capacity)) < 1e-9 and all(w >= NEARLY * worth[0] - 1e-9 for w in worth)
+        assert all(sum(k * n for k, n in c.items()) <= capacity for c in found)
+        assert len({k for c in found for k in c}) == sum(map(len, found))  # no length in two of them
+    assert price(np.zeros(9), np.zeros(9, np.int64), 8) == []
+
+
 def test_fast_tokens_are_the_vocabularys():
     from quillspark.llm.packing import Encoder
 
     encoder, rng = Encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"), random.Random(6)
     alphabet = [chr(c) for c in range(0x250)] + list("日本 \u2028\u3000👍")
     samples = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(400)] + ["a  b\n\n c\t'll it's <|endoftext|> x", "", "   "]
-    for text in samples:
-        assert encoder.ids(text) == encoder.slow.encode(text, add_special_tokens=False).ids, text
+    # Each character that the ranks are used for, alone and beside others of each kind, on both sides.
+    beside = [" ", "a", "1", "'", "\n", "é", "x ", " ' "]
+    fast = [c for c in map(chr, range(0x250)) if not encoder.other.search(c)]
+    samples += fast + [c + b for c in fast for b in beside] + [b + c for c in fast for b in beside]
+    wanted = encoder.slow.encode_batch(samples, add_special_tokens=False)
+    assert len(fast) > 500 and [encoder.ids(text) for text in samples] == [x.ids for x in wanted]
 
 
 # 10
