@@ -48,6 +48,12 @@ TEXT_FIXTURES: list[tuple[str, str, str, str]] = [
     ("asciidoc", "note", "NOTE: Something important.\n", "> **Note:** Something important.\n\n"),
     ("asciidoc", "table", '[cols="1,1"]\n|===\n|A |B\n\n|1 |2\n|===\n', "| A | B |\n| --- | --- |\n| 1 | 2 |\n\n"),
     ("asciidoc", "link", "See https://example.com[Example] for more.\n", "See [Example](https://example.com) for more.\n\n"),
+    ("rst", "roles_and_links", "See :ref:`the pond <pond>`_ and ``a `b``, :doc:`plain` or `x`__.\n", "See [the pond](pond) and `a `b`, plain or x.\n\n"),
+    ("html", "inline", "<h2>Birds</h2><p>A <b>grey</b> heron &amp; its <a href='n.html'>nest</a>.</p>", "## Birds\n\nA **grey** heron & its [nest](n.html).\n"),
+    ("html", "nested_list", "<ul><li>reed</li><li>mud<ul><li>eel</li></ul></li></ul>", "- reed\n- mud\n  - eel\n"),
+    ("html", "numbers_rule_code", "<ol><li>one</li><li>two</li></ol><hr><pre><code>x = 1\n</code></pre>", "1. one\n2. two\n\n---\n\n```\nx = 1\n```\n"),
+    ("html", "table_and_quote", "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2|3</td></tr></table><blockquote><p>q</p></blockquote>", "| a | b |\n|---|---|\n| 1 | 2\\|3 |\n\n> q\n"),
+    ("html", "breaks_and_images", "<p>x<br>y <code>z</code> <em>e</em> <img src='i.png' alt='I'></p>", "x  \ny `z` *e* ![I](i.png)\n"),
     ("csv", "ragged", "a,b\n1\n2,3,4\n", "| a | b |\n|---|---|\n| 1 |  |\n| 2 | 3 |\n"),
     ("csv", "quotes", 'a,b\n"x|y","say ""hi"""\n', '| a | b |\n|---|---|\n| x\\|y | say "hi" |\n'),
     ("csv", "empty", "", "*Empty CSV*\n"),
@@ -71,6 +77,12 @@ WRITER_FIXTURES: list[tuple[str, str, str, str]] = [
     ("markdown-org", "rule", "---\n", "-----\n\n"),
     ("markdown-org", "table", "| A | Bcdef |\n|---|---|\n| 1 | 2 |\n", "| A | Bcdef |\n|-----+-------|\n| 1 | 2 |\n\n"),
     ("markdown-org", "inline", "**b**\n", "*b*\n\n"),
+    ("markdown-html", "inline", "# Birds & reeds\n\nA **grey** *heron* with `legs`, ~~not~~ [here](n.html).\n", '<h1>Birds &amp; reeds</h1>\n<p>A <strong>grey</strong> <em>heron</em> with <code>legs</code>, <del>not</del> <a href="n.html">here</a>.</p>\n'),
+    ("markdown-html", "lists", "- reed\n- mud\n\n1. one\n", "<ul>\n<li>reed</li>\n<li>mud</li>\n</ul>\n<ol>\n<li>one</li>\n</ol>\n"),
+    ("markdown-html", "quote_and_code", "> quoted\n\n```py\nx < 1\n```\n", '<blockquote>\n<p>quoted</p>\n</blockquote>\n<pre><code class="language-py">x &lt; 1\n</code></pre>\n'),
+    ("markdown-html", "table", "| a | b |\n|---|---|\n| 1 | 2 |\n", "<table>\n<thead>\n<tr>\n<th>a</th>\n<th>b</th>\n</tr>\n</thead>\n<tbody>\n<tr>\n<td>1</td>\n<td>2</td>\n</tr>\n</tbody>\n</table>\n"),
+    ("markdown-text", "everything", "# Birds & reeds\n\nA **grey** [heron](h.html).\n\n- reed\n\n> quoted\n\n```py\nx < 1\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n", "Birds & reeds\nA grey heron.\nreed\nquoted\nx < 1\na\tb\n1\t2\n"),
+    ("markdown-json-ast", "heading_and_code", "# B\n\n```py\nx\n```\n", '[{"type": "heading", "depth": 1, "values": [{"type": "text", "value": "B", "position": {"start": 1, "end": 1}}], "position": {"start": 1, "end": 1}}, {"type": "code", "value": "x", "lang": "py", "position": {"start": 3, "end": 5}}]\n'),
     ("markdown-latex", "heading", "# A & B\n", LATEX_HEAD + "\\section{A \\& B}\n\n\\end{document}\n"),
     ("markdown-latex", "list", "- a\n- b\n", LATEX_HEAD + "\\begin{itemize}\n\\item a\n\\item b\n\\end{itemize}\n\n\\end{document}\n"),
     ("markdown-latex", "rule", "---\n", LATEX_HEAD + "\\noindent\\rule{\\linewidth}{0.4pt}\n\n\\end{document}\n"),
@@ -197,3 +209,81 @@ BINARY_FIXTURES += [
     ("epub", "spine_order", _epub(), "# Book\n\n**Author**: A\n\n---\n\nsecond\n\n---\n\nfirst\n"),
     ("pdf", "no_text", pdf([[]]), "*PDF contains no extractable text (may be scanned/image-based)*\n"),
 ]
+
+
+def xls(sheets: dict[str, list[bytes]], strings: list[str], part: int = 8224) -> bytes:
+    """An .xls workbook of cell records, shared strings cut into parts."""
+    record = lambda kind, d: struct.pack("<HH", kind, len(d)) + d
+    table = struct.pack("<II", len(strings), len(strings)) + b"".join(struct.pack("<HB", len(s), 0) + s.encode("latin-1") for s in strings)
+    shared = record(0xFC, table[:part]) + b"".join(record(0x3C, b"\0" + table[k : k + part]) for k in range(part, len(table), part))
+    names = [bytes([len(n), 0]) + n.encode("latin-1") for n in sheets]
+    at = 20 + sum(10 + len(n) for n in names) + len(shared) + 4
+    listed, bodies = b"", b""
+    for name, cells in zip(names, sheets.values(), strict=True):
+        listed += record(0x85, struct.pack("<IH", at + len(bodies), 0) + name)
+        bodies += record(0x809, bytes(16)) + b"".join(record(kind, d) for kind, d in cells) + record(0x0A, b"")
+    book = record(0x809, bytes(16)) + listed + shared + record(0x0A, b"") + bodies
+    book = book.ljust(max(4096, -(-len(book) // 512) * 512), b"\0")
+    n = len(book) // 512
+    fat = struct.pack("<128I", *range(1, n), 0xFFFFFFFE, 0xFFFFFFFE, 0xFFFFFFFD, *[0xFFFFFFFF] * (126 - n))
+    entry = lambda name, kind, at, size: (name + "\0").encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB12s36sIQ", 2 * len(name) + 2, kind, 1, b"\xff" * 12, bytes(36), at, size)
+    folder = (entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("Workbook", 2, 0, len(book))).ljust(512, b"\0")
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(10) + struct.pack("<8I", 1, n, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    return head + struct.pack("<109I", n + 1, *[0xFFFFFFFF] * 108) + book + folder + fat
+
+
+def xlsb(sheets: dict[str, list[tuple[int, bytes]]], strings: list[str]) -> bytes:
+    """An .xlsb workbook of sheet records."""
+    few = lambda x: bytes([x]) if x < 128 else bytes([x & 0x7F | 0x80, x >> 7])
+    record = lambda kind, d: few(kind) + few(len(d)) + d
+    wide = lambda s: struct.pack("<I", len(s)) + s.encode("utf-16-le")
+    parts = {"xl/workbook.bin": b"".join(record(156, struct.pack("<II", 0, k) + wide(f"r{k}") + wide(n)) for k, n in enumerate(sheets, 1))}
+    parts["xl/_rels/workbook.bin.rels"] = "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="worksheets/s{k}.bin"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>"
+    parts["xl/sharedStrings.bin"] = b"".join(record(19, b"\0" + wide(s)) for s in strings)
+    return packed(parts | {f"xl/worksheets/s{k}.bin": b"".join(record(*r) for r in rows) for k, rows in enumerate(sheets.values(), 1)})
+
+
+def _cells(place, kinds: dict[str, int]) -> list[tuple[int, bytes]]:
+    """One table in the records of either kind of workbook: words, a whole number, hundredths, a double, a truth and an error."""
+    text = lambda r, c, k: (kinds["text"], place(r, c) + struct.pack("<I", k))
+    return [
+        text(0, 0, 0), text(0, 1, 1), text(0, 2, 2), text(1, 0, 3), (kinds["rk"], place(1, 1) + struct.pack("<I", 7 << 2 | 2)), (kinds["rk"], place(1, 2) + struct.pack("<I", 1234 << 2 | 3)),
+        (kinds["real"], place(2, 1) + struct.pack("<d", -0.5)), (kinds["bool"], place(2, 2) + kinds["true"]), (kinds["error"], place(2, 3) + kinds["div0"]),
+    ]
+
+
+_WORDS = ["item", "count", "price|each", "caf\xe9"]
+_TABLE_MD = "| item | count | price\\|each |  |\n|---|---|---|---|\n| caf\xe9 | 7 | 12.34 |  |\n|  | -0.5 | true | #Div0 |\n"
+_XLS = _cells(lambda r, c: struct.pack("<HHH", r, c, 0), {"text": 0xFD, "rk": 0x27E, "real": 0x203, "bool": 0x205, "error": 0x205, "true": b"\1\0", "div0": b"\7\1"})
+_XLSB = [x for r in range(3) for x in [(0, struct.pack("<I", r)), *[c for c in _cells(lambda r, c: struct.pack("<BII", r, c, 0), {"text": 7, "rk": 2, "real": 5, "bool": 4, "error": 3, "true": b"\1", "div0": b"\7"}) if c[1][0] == r]]]
+_XLSB = [(kind, d if kind == 0 else d[1:]) for kind, d in _XLSB]
+
+
+def _sqlite_two() -> bytes:
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE zoo (name TEXT)")
+    db.execute("CREATE TABLE ark (id INTEGER)")
+    db.execute("INSERT INTO ark VALUES (4)")
+    db.commit()
+    return db.serialize()
+
+
+def _aac(frames: int) -> bytes:
+    return b"".join(bytes([0xFF, 0xF1, 0x50, 0x80, 0x0C, 0x9F, 0xFC]) + bytes(93) for _ in range(frames))
+
+
+BINARY_FIXTURES += [
+    ("excel", "xls", xls({"Stock": _XLS, "Bare": []}, _WORDS), f"# Stock\n\n{_TABLE_MD}\n# Bare\n\n*Empty sheet*\n"),
+    ("excel", "xls_with_strings_in_parts", xls({"Stock": _XLS, "Bare": []}, _WORDS, 13), f"# Stock\n\n{_TABLE_MD}\n# Bare\n\n*Empty sheet*\n"),
+    ("excel", "xlsb", xlsb({"Stock": _XLSB, "Bare": []}, _WORDS), f"# Stock\n\n{_TABLE_MD}\n# Bare\n\n*Empty sheet*\n"),
+    ("sqlite", "two_tables_by_name", _sqlite_two(), "# Database\n\n**Tables**: 2\n\n## ark\n\n| Column | Type | PK |\n|--------|------|----|\n| id | INTEGER |  |\n\n**Rows**: 1\n\n| id |\n|---|\n| 4 |\n\n## zoo\n\n| Column | Type | PK |\n|--------|------|----|\n| name | TEXT |  |\n\n**Rows**: 0\n"),
+    ("audio", "raw_aac", _aac(100), "# Audio\n\n## File Info\n\n| Property | Value |\n|----------|-------|\n| Format | Aac |\n| Size | 9.8 KB |\n| Duration | 0:02 |\n| Bitrate | 34 kbps |\n| Sample Rate | 44100 Hz |\n| Channels | 2 (Stereo) |\n\n"),
+    ("pdf", "repeated_edges", pdf([["Field Notes", "A heron stood", "1"], ["Field Notes", "in the reeds", "2"], ["Field Notes", "until dusk", "3"]], "Birds"), "# Birds\n\n---\n\n<!-- page 1 -->\n\nA heron stood\n\n<!-- page 2 -->\n\nin the reeds\n\n<!-- page 3 -->\n\nuntil dusk\n"),
+]
+
+#: Archives by what tells their format.
+ARCHIVES = [("docx", packed({"a": "", "word/document.xml": ""}), "word"), ("xlsx", packed({"xl/workbook.xml": ""}), "excel"), ("pptx", packed({"ppt/presentation.xml": ""}), "powerpoint"), ("epub", packed({"META-INF/container.xml": ""}), "epub"), ("plain", packed({"a.txt": "x"}), "zip"), ("broken", b"PK\x03\x04nothing", None)]
+#: Markdown that is written to a binary target and read again.
+WRITTEN = "# Birds\n\nA **grey** *heron* [here](n.html).\n\n- reed\n- mud\n\n> quoted\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"

@@ -122,11 +122,22 @@ def table_blocks(df: DataFrame, keys: Keys, order: str, line: str) -> DataFrame:
 # Grids, keys and lookups
 
 
-def densify(cells: DataFrame, rows: str, columns: str, value: str, empty: str = "") -> DataFrame:
-    """All pairs of a row and a column that occur, missing cells filled: a grid's cells, whose number is its size."""
+#: Columns of a grid: what spreadsheets allow.
+MOST_COLUMNS = 16_384
+
+
+def densify(cells: DataFrame, rows: str, columns: str, value: str, empty: str = "", most: int = MOST_COLUMNS) -> DataFrame:
+    """All pairs of a row and a column that occur, missing cells filled: a grid's cells, whose number is its size.
+
+    Column names are counted before they go to all rows; more than ``most`` are an error, and are no grid.
+    """
     every = cells.groupBy(rows).agg(F.lit(1).alias("__one")).drop("__one")
-    names = cells.agg(F.array_sort(F.collect_set(columns)).alias("__columns"))
-    full = every.join(F.broadcast(names)).select(rows, F.explode("__columns").alias(columns))
+    names = [r[0] for r in cells.select(columns).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"a grid of more than {most} columns")
+    kind = cells.schema[columns].dataType.simpleString()
+    listed = cells.sparkSession.createDataFrame([(names,)], f"`{columns}` array<{kind}>")
+    full = every.join(F.broadcast(listed)).select(rows, F.explode(columns).alias(columns))
     return full.join(cells, [rows, columns], "left").withColumn(value, F.coalesce(value, F.lit(empty)))
 
 

@@ -122,7 +122,7 @@ def spread(df: DataFrame) -> DataFrame:
     Parsing is what takes time, so moving a few megabytes is worth it; larger inputs are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def register_sql(spark: SparkSession) -> None:

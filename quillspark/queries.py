@@ -77,9 +77,9 @@ def md_table_by_region(spark, sf_dir):
     return df.groupBy("r_regionkey").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("body"), F.count(F.lit(1)).alias("n")).select("body", "n")
 
 
-@query("SELECT doc_id, replace(text, '|', '\\|') AS text FROM documents WHERE contains(text, '|')")
+@query("SELECT doc_id, replace(text, '|', '\\|') AS text FROM documents")
 def md_pipe_escape_documents(spark, sf_dir):
-    return t(spark, sf_dir, "documents").filter(F.col("text").contains("|")).select("doc_id", X.escape_pipe(F.col("text")).alias("text"))
+    return t(spark, sf_dir, "documents").select("doc_id", X.escape_pipe(F.col("text")).alias("text"))
 
 
 @query("SELECT event_id, '| ' || k || ' | ' || json_extract_string(props, '$.' || k) || ' |' AS line FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
@@ -363,6 +363,12 @@ def magic_detect(spark, sf_dir):
     return values(spark, [(n, d) for n, d, _ in _HEADS], "name, content").select("name", D.magic_format(F.col("content"), sniff=False).alias("format"))
 
 
+@query(f"SELECT name, format FROM (VALUES {value_rows([(n, f) for n, _, f in fixtures.ARCHIVES])}) AS v(name, format)")
+def zip_sniff(spark, sf_dir):
+    """The format of archives by their first telling member."""
+    return values(spark, [(n, d) for n, d, _ in fixtures.ARCHIVES], "name, content").select("name", D.magic_format(F.col("content")).alias("format"))
+
+
 _SLIDES = [("ppt/slides/slide3.xml", 3), ("ppt/slides/slide10.xml", 10), ("ppt/slides/slide1.xml", 1), ("ppt/slides/slideX.xml", 0), ("ppt/slides/slide2.xml", 2)]
 
 
@@ -405,6 +411,29 @@ def page_blocks(spark, sf_dir):
     return api.document_blocks(api.spread(pages), path=None, format="html").groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
+def _plain(sql: str) -> str:
+    """Entities of a text in SQL."""
+    return f"replace(replace(replace(replace(trim({sql}, ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, 1::INT AS level, {_plain('text')} AS text FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS text FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) FROM pages)")
+def page_headings(spark, sf_dir):
+    """Heading blocks of web pages, of titles and of headings."""
+    pages = t(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    return api.document_blocks(api.spread(pages), path=None, format="html").filter("kind = 'heading'").select("page_id", "level", "text")
+
+
+@query(f"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS h, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS t FROM pages),
+r AS (SELECT page_id, unnest(range(len(h))) AS position, unnest(h) AS h, unnest(t) AS t FROM l)
+SELECT page_id, position, '- [' || {_plain('t')} || '](' || {_plain('h')} || ')' AS line FROM r""")
+def page_link_lists(spark, sf_dir):
+    """The lines of link lists in the Markdown of web pages."""
+    pages = t(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    out = api.convert(api.spread(pages), path=None, format="html")
+    lines = F.filter(F.split("output", "\n", -1), lambda x: x.startswith("- ["))
+    return out.select("page_id", F.posexplode(lines).alias("position", "line")).withColumn("position", F.col("position").cast("long"))
+
+
 @query("SELECT page_id, TRUE AS whole FROM pages")
 def blocks_render_round_trip(spark, sf_dir):
     """Blocks rendered again are the conversion."""
@@ -417,9 +446,9 @@ _LATEX = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE c
 _TEXTS = [(-1, "a\\b {x}~^ 100% & #1_2 $"), (-2, "")]
 
 
-@query(f"SELECT id, {_LATEX.format('text')} AS latex FROM (SELECT doc_id AS id, text FROM documents WHERE regexp_matches(text, '[&%$#_{{}}~^]') UNION ALL SELECT * FROM (VALUES {value_rows(_TEXTS)}) AS v(id, text))")
+@query(f"SELECT id, {_LATEX.format('text')} AS latex FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES {value_rows(_TEXTS)}) AS v(id, text))")
 def latex_escape_docs(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").filter(F.col("text").rlike("[&%$#_{}~^]")).select(F.col("doc_id").alias("id"), "text")
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     more = values(spark, [(str(k), s) for k, s in _TEXTS], "id, text").select(F.col("id").cast("long").alias("id"), "text")
     return docs.unionByName(more).select("id", X.latex_escape(F.col("text")).alias("latex"))
 
@@ -518,6 +547,22 @@ for _format in dict.fromkeys(f[0] for f in fixtures.WRITER_FIXTURES):
     _fixture(_format, [(n, s.encode(), out) for f, n, s, out in fixtures.WRITER_FIXTURES if f == _format], f"writer_{_format.removeprefix('markdown-')}")
 
 
+# What the binary targets hold, read again: headings, emphasis, links, lists, quotes and tables stay.
+_READ_AGAIN = [
+    ("docx", "word", "# Birds\n\nA **grey** *heron* here.\n- reed\n- mud\n\n> quoted\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"),
+]
+
+
+@query(f"SELECT target, output FROM (VALUES {value_rows([(a, out) for a, _, out in _READ_AGAIN])}) AS v(target, output)")
+def written_and_read_again(spark, sf_dir):
+    out = None
+    for target, reader, _ in _READ_AGAIN:
+        made = api.convert(values(spark, [(target, fixtures.WRITTEN.encode())], "target_name, content"), path=None, format="markdown-docx", to=target)
+        again = api.convert(made.select("target_name", F.col("output_data").alias("content")), path=None, format=reader).select(F.col("target_name").alias("target"), F.coalesce("output", "error").alias("output"))
+        out = again if out is None else out.unionByName(again)
+    return out
+
+
 def _documents_to(target: str, name: str) -> None:
     def run(spark, sf_dir):
         docs = t(spark, sf_dir, "documents").select("doc_id", F.encode(F.concat(F.lit("# Document\n\n"), "text"), "UTF-8").alias("content"))

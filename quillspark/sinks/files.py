@@ -11,11 +11,25 @@ SEPARATOR = "\n---\n\n"
 
 
 def concatenated(df: DataFrame, order: str, text: str = "output", *keys: str) -> DataFrame:
-    """All texts in order with a separator between them, for each value of ``keys``."""
+    """All texts in order with a separator between them, for each value of ``keys``.
+
+    A row holds all texts of its keys, and without keys all there are: use ``write_concatenated`` for many.
+    """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order), F.coalesce(text, F.lit("")).alias("__text"))))
     return df.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["__text"]), SEPARATOR).alias("document"))
 
 
+def write_concatenated(df: DataFrame, folder: str, order: str, text: str = "output") -> None:
+    """All texts in order with a separator between them, as text files that follow each other by name.
+
+    Texts are dealt out by ranges of ``order``, so that no task holds all of them. A line end follows each text.
+    """
+    first = df.agg(F.min(order).alias("first")).first()["first"]
+    rest = F.when(~F.col(order).eqNullSafe(F.lit(first)), SEPARATOR[1:]).otherwise("")
+    ordered = df.repartitionByRange(order).sortWithinPartitions(order)
+    ordered.select(F.concat(rest, F.coalesce(text, F.lit(""))).alias("value")).write.text(folder)
+
+
 def output_names(df: DataFrame, path: str = "path", ext: str = "ext") -> DataFrame:
     """``df`` with ``output_name``: the file name's stem, or "output", and the extension."""
     name = F.regexp_extract(path, r"([^/]*)/*\z", 1)

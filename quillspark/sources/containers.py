@@ -45,8 +45,8 @@ def read_zip(data: bytes) -> list[Block]:
 def tar_entries(data: bytes) -> list[tuple[str, int, str]]:
     """Path, size and kind of each entry."""
     try:
-        raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-        with tarfile.open(fileobj=io.BytesIO(raw), mode="r:") as t:
+        raw = io.BytesIO(data)
+        with tarfile.open(fileobj=gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw, mode="r|") as t:  # a stream: never unpacked as a whole
             return [(m.name + "/" * (m.isdir() and not m.name.endswith("/")), m.size, "f" if m.isreg() else "d" if m.isdir() else "l" if m.issym() else "h" if m.islnk() else "?") for m in t]
     except (tarfile.TarError, OSError, EOFError, zlib.error) as e:
         if isinstance(e, tarfile.ReadError) and "empty" in str(e):

@@ -113,7 +113,8 @@ def emphasis(s: str, mark: str, wrap: str) -> str:
 UNDERLINES = "=-~^\"'`#*+.:_"
 # Directives that are admonitions.
 RST_ADMONITIONS = ("note", "warning", "important", "tip", "caution", "attention", "danger", "error", "hint")
-ROLE = re.compile(r":(\w+):(?=`)")
+#: What is rewritten within a line: the name of a role, literal text, and what stands between backquotes with its underscores.
+RST_INLINE = re.compile(r":\w+:(?=`)|``(?P<literal>.*?)``|`(?!`)(?:(?P<label>[^`]*) <(?P<target>[^`]*)>|(?P<plain>[^`]*))`_*", re.DOTALL)
 
 
 def underline(line: str | None) -> str:
@@ -123,29 +124,11 @@ def underline(line: str | None) -> str:
 
 
 def rst_inline(s: str) -> str:
-    out, at = [], 0
-    while at < len(s):
-        c = s[at]
-        if c == ":" and (m := ROLE.match(s, at)):
-            at = m.end()
-            continue
-        if s.startswith("``", at):
-            end = s.find("``", at + 2)
-            if end >= 0:
-                out.append(f"`{s[at + 2 : end]}`")
-                at = end + 2
-                continue
-        elif c == "`" and (end := s.find("`", at + 1)) >= 0:
-            inner = s[at + 1 : end]
-            target = inner.rfind(" <")
-            out.append(f"[{inner[:target]}]({inner[target + 2 : -1]})" if target >= 0 and inner.endswith(">") else inner)
-            at = end + 1
-            while s.startswith("_", at):
-                at += 1
-            continue
-        out.append(c)
-        at += 1
-    return "".join(out)
+    def shown(m: re.Match) -> str:
+        literal, label, target, plain = m.group("literal", "label", "target", "plain")
+        return f"`{literal}`" if literal is not None else f"[{label}]({target})" if label is not None else plain or ""
+
+    return RST_INLINE.sub(shown, s)
 
 
 def indented(cursor: Cursor, base: int) -> list[str]:

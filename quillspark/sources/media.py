@@ -254,6 +254,26 @@ def _mp3(d: bytes) -> Media:
     return m
 
 
+# Sampling rates by the number that frames have for them.
+AAC_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
+
+
+def _aac(d: bytes) -> Media:
+    """Frames of raw AAC, of 1024 samples each."""
+    at, tags = _id3(d)
+    m, frames, size = Media("Aac", tags=tags), 0, 0
+    while at + 7 <= len(d) and d[at] == 0xFF and d[at + 1] & 0xF6 == 0xF0:
+        if not frames:
+            m.rate, m.channels = AAC_RATES[d[at + 2] >> 2 & 15], (d[at + 2] & 1) << 2 | d[at + 3] >> 6
+        n = (d[at + 3] & 3) << 11 | d[at + 4] << 3 | d[at + 5] >> 5
+        if n < 7:
+            break
+        frames, size, at = frames + 1 + (d[at + 6] & 3), size + n, at + n
+    m.seconds = frames * 1024 / m.rate
+    m.bitrate = round(size * 8 / m.seconds / 1000)
+    return m
+
+
 def _boxes(d: bytes, at: int, end: int):
     while at + 8 <= end:
         n, name, head = struct.unpack(">I", d[at : at + 4])[0], d[at + 4 : at + 8].decode("latin-1"), 8
@@ -295,11 +315,13 @@ def _mp4(d: bytes) -> Media:
 def probe(data: bytes, format: str) -> Media:
     kinds = ((data[:4] == b"RIFF" and data[8:12] == b"WAVE", _wav), (data[:4] == b"fLaC", _flac), (data[:4] == b"OggS", _ogg), (data[4:8] == b"ftyp", _mp4), (data[:3] == b"ID3" or data[:1] == b"\xff" and len(data) > 1 and data[1] & 0xE0 == 0xE0, _mp3))
     read = next((f for fits, f in kinds if fits), None)
-    if read is None:
-        raise ConversionError(format, "this kind of file is not supported" if data[:4] in (b"\x1aE\xdf\xa3", b"0&\xb2u", b"FLV\x01") or data[8:12] == b"AVI " else "No format could be determined from the provided file")
+    if read is _mp3 and (at := _id3(data)[0]) + 2 <= len(data) and data[at] == 0xFF and data[at + 1] & 0xF6 == 0xF0:
+        read = _aac
+    if read is None:  # Matroska, AVI, WMV and FLV among them
+        raise ConversionError(format, "No format could be determined from the provided file")
     try:
         return read(data)
-    except (struct.error, ValueError, IndexError, KeyError) as e:
+    except (struct.error, ValueError, IndexError, KeyError, TypeError, ZeroDivisionError) as e:
         raise ConversionError(format, f"invalid {read.__name__[1:]}: {e}") from e
 
 

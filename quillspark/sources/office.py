@@ -1,4 +1,4 @@
-"""Excel workbooks (xlsx, ods), Word documents and PowerPoint presentations."""
+"""Excel workbooks (xlsx, ods; binary ones by ``legacy``), Word documents and PowerPoint presentations."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from quillspark.blocks import Block, ConversionError, escape_pipe, grid, heading, number, para, trim
+from quillspark.sources.legacy import xls_sheets, xlsb_sheets
 from quillspark.sources.xml import Event, events
 
 
@@ -167,13 +168,13 @@ def _ods_sheets(z: zipfile.ZipFile) -> Iterator[tuple[str, list[list[str]]]]:
 def sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
     """Names and dense rows of a workbook's sheets, in its order."""
     if data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-        raise ConversionError("excel", "legacy .xls workbooks are not supported")
+        return [(name, _dense(cells)) for name, cells in xls_sheets(data)]
     z = archive(data, "excel")
     names = set(z.namelist())
     if "content.xml" in names:
         return list(_ods_sheets(z))
     if "xl/workbook.bin" in names:
-        raise ConversionError("excel", ".xlsb workbooks are not supported")
+        return [(name, _dense(cells)) for name, cells in xlsb_sheets(z, relationships(z, "xl/_rels/workbook.bin.rels", "excel"))]
     targets, strings = relationships(z, "xl/_rels/workbook.xml.rels", "excel"), _strings(z)
     out = []
     for e in events(member(z, "xl/workbook.xml", "excel"), "excel"):

@@ -132,7 +132,9 @@ def test_columns_and_filters_reach_the_scan(spark, sf_dir):
     plan = QUERIES["page_to_markdown"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<page_id:bigint,url:string,html:string>" in plan and "hashpartitioning" not in plan
     plan = QUERIES["md_pipe_escape_documents"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PushedFilters: \[.*StringContains\(text,\|\)", plan)
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    plan = QUERIES["semi_skip_missing"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[IsNotNull\(doc_id\)\], ReadSchema: struct<doc_id:bigint,n_chars:", plan)
 
 
 # The driver's contract
@@ -214,3 +216,20 @@ def test_command_line(spark, tmp_path, capfdbinary):
     assert main([str(tmp_path / "b.json"), "--to", "org"], spark) == 1
     assert main([str(tmp_path / "bad.json"), str(tmp_path / "m.md"), "--output-dir", str(tmp_path / "out"), "--permissive"], spark) == 1
     assert os.listdir(tmp_path / "out") == ["m.docx"]
+
+
+def test_concatenation_in_parts(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id", "concat('text ', id) AS output").repartition(7)
+    sink.write_concatenated(rows, str(tmp_path / "all"), "id")
+    parts = sorted(p for p in os.listdir(tmp_path / "all") if p.startswith("part-"))
+    whole = "".join((tmp_path / "all" / p).read_text() for p in parts)
+    assert len(parts) > 1 and whole == "\n---\n\n".join(f"text {k}" for k in range(500)) + "\n"
+
+
+def test_a_grid_has_so_many_columns_at_most(spark):
+    from quillspark.operators.rows import densify
+
+    cells = spark.createDataFrame([("a", "x", "1"), ("b", "y", "2"), ("b", None, "3")], "r string, c string, v string")
+    assert {(x["r"], x["c"], x["v"]) for x in densify(cells.filter("c IS NOT NULL"), "r", "c", "v").collect()} == {("a", "x", "1"), ("a", "y", ""), ("b", "x", ""), ("b", "y", "2")}
+    with pytest.raises(ValueError, match="more than 1 columns"):
+        densify(cells, "r", "c", "v", most=1)
