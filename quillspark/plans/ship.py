@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -16,12 +18,14 @@ def ship(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if os.path.isdir(root):  # else the package itself came as an archive, which the session already has
-        path = os.path.join(tempfile.mkdtemp(prefix="quillspark-"), "quillspark.zip")
+        folder = tempfile.mkdtemp(prefix="quillspark-")  # the driver serves it from there until it ends
+        atexit.register(shutil.rmtree, folder, True)
+        path = os.path.join(folder, "quillspark.zip")
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, names in os.walk(root):
+            for at, _, names in os.walk(root):
                 for name in names:
                     if name.endswith(".py"):
-                        full = os.path.join(folder, name)
+                        full = os.path.join(at, name)
                         z.write(full, os.path.relpath(full, os.path.dirname(root)))
         context.addPyFile(path)
     context._quill_shipped = True

@@ -527,6 +527,70 @@ def styled_runs(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", X.styled(F.col("role"), kind >= 2, (kind % 2) == 1).alias("run"))
 
 
+# Functions over whole tables
+
+_DOC_LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+
+
+def _doc_lines(spark, sf_dir):
+    df = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return df.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query(f"""WITH {_DOC_LINES}, c AS (SELECT doc_id, line_no, list_transform(string_split(line, '|'), lambda x: trim(x, ' ')) AS c FROM lines)
+SELECT doc_id, line_no, len(list_filter(c, lambda x: x <> '')) = 0 AS blank, array_to_string(list_filter(c, lambda x: x <> ''), '  ') AS filled FROM c""")
+def cell_filters(spark, sf_dir):
+    """Blank rows, and rows without their empty cells."""
+    cells = F.transform(F.split("line", r"\|", -1), lambda c: F.trim(c))
+    df = _doc_lines(spark, sf_dir).withColumn("c", cells)
+    return df.select("doc_id", "line_no", X.is_blank_row(F.col("c")).alias("blank"), X.filled_text(F.col("c")).alias("filled"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''), lambda x: doc_id % 5 + length(x) - length(ltrim(x, ' '))) AS i FROM documents)
+SELECT doc_id, coalesce(list_min(i), 0)::INT AS indent FROM l""")
+def min_indent_docs(spark, sf_dir):
+    """The least indent of documents whose lines are moved in by up to four blanks."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.repeat(F.lit(" "), (F.col("doc_id") % 5).cast("int")), x))
+    return t(spark, sf_dir, "documents").select("doc_id", X.min_indent(lines).alias("indent"))
+
+
+_WIKI = "'''''a''''' '''b''' ''c'' <code>d</code> <nowiki>''</nowiki><br/>"
+_WIKI_SQL = f"text || {lit(_WIKI)}"
+for _a, _b in (("'''''", "***"), ("'''", "**"), ("''", "*"), ("<code>", "`"), ("</code>", "`"), ("<nowiki>", ""), ("</nowiki>", ""), ("<br />", "  \n"), ("<br/>", "  \n"), ("<br>", "  \n")):
+    _WIKI_SQL = f"replace({_WIKI_SQL}, {lit(_a)}, {lit(_b)})"
+
+
+@query(f"SELECT doc_id, {_WIKI_SQL} AS marked FROM documents")
+def wiki_marks_docs(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", X.wiki_marks(F.concat("text", F.lit(_WIKI))).alias("marked"))
+
+
+@query("""SELECT conv_id, turn, upper(role[1]) || role[2:] AS title, CASE turn % 6 WHEN 1 THEN '=' WHEN 2 THEN '-' WHEN 3 THEN '~' WHEN 4 THEN '^' ELSE chr(34) END AS underline, 'Heading' || least(turn, 6) AS style FROM conversations""")
+def heading_marks(spark, sf_dir):
+    depth = F.col("turn") % 6
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", X.capitalised(F.col("role")).alias("title"), X.heading_underline(depth).alias("underline"), X.heading_style(F.col("turn")).alias("style"))
+
+
+@query(f"""WITH {_DOC_LINES}, m AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 = 3 THEN '<!-- page ' || line_no // 7 || ' -->' ELSE line END AS line FROM lines)
+SELECT doc_id, line_no, sum((starts_with(line, '<!-- page ') AND ends_with(line, ' -->'))::INT) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS page FROM m""")
+def page_split(spark, sf_dir):
+    """Lines with the number of page markers up to them."""
+    marker = F.concat(F.lit("<!-- page "), F.expr("line_no div 7").cast("string"), F.lit(" -->"))
+    df = _doc_lines(spark, sf_dir).withColumn("line", F.when(F.col("line_no") % 7 == 3, marker).otherwise(F.col("line")))
+    return R.sections(df, ["doc_id"], ["line_no"], X.is_page_marker(F.col("line")), "page").select("doc_id", "line_no", "page")
+
+
+@query("""WITH n AS (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages UNION ALL SELECT * FROM (VALUES (-1, ''), (-2, 'a.tar.gz'), (-3, '.hidden'), (-4, 'dir/')) AS v(page_id, path)),
+s AS (SELECT page_id, path, regexp_extract(path, '([^/]*)/*$', 1) AS name FROM n)
+SELECT page_id, path, CASE WHEN name = '' THEN 'output' WHEN strpos(name[2:], '.') > 0 THEN regexp_replace(name, '[.][^.]*$', '') ELSE name END || '.md' AS output_name FROM s""")
+def output_names_pages(spark, sf_dir):
+    from quillspark.sinks.files import output_names
+
+    paths = t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
+    more = values(spark, [("-1", ""), ("-2", "a.tar.gz"), ("-3", ".hidden"), ("-4", "dir/")], "page_id, path").select(F.col("page_id").cast("long").alias("page_id"), "path")
+    return output_names(paths.unionByName(more).withColumn("ext", F.lit("md"))).select("page_id", "path", "output_name")
+
+
 # Fixtures
 
 

@@ -19,14 +19,14 @@ def concatenated(df: DataFrame, order: str, text: str = "output", *keys: str) ->
     return df.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["__text"]), SEPARATOR).alias("document"))
 
 
-def write_concatenated(df: DataFrame, folder: str, order: str, text: str = "output") -> None:
+def write_concatenated(df: DataFrame, folder: str, order: str, text: str = "output", parts: int | None = None) -> None:
     """All texts in order with a separator between them, as text files that follow each other by name.
 
     Texts are dealt out by ranges of ``order``, so that no task holds all of them. A line end follows each text.
     """
     first = df.agg(F.min(order).alias("first")).first()["first"]
     rest = F.when(~F.col(order).eqNullSafe(F.lit(first)), SEPARATOR[1:]).otherwise("")
-    ordered = df.repartitionByRange(order).sortWithinPartitions(order)
+    ordered = (df.repartitionByRange(parts, order) if parts else df.repartitionByRange(order)).sortWithinPartitions(order)
     ordered.select(F.concat(rest, F.coalesce(text, F.lit(""))).alias("value")).write.text(folder)
 
 

@@ -220,7 +220,7 @@ def test_command_line(spark, tmp_path, capfdbinary):
 
 def test_concatenation_in_parts(spark, tmp_path):
     rows = spark.range(500).selectExpr("id", "concat('text ', id) AS output").repartition(7)
-    sink.write_concatenated(rows, str(tmp_path / "all"), "id")
+    sink.write_concatenated(rows, str(tmp_path / "all"), "id", parts=3)
     parts = sorted(p for p in os.listdir(tmp_path / "all") if p.startswith("part-"))
     whole = "".join((tmp_path / "all" / p).read_text() for p in parts)
     assert len(parts) > 1 and whole == "\n---\n\n".join(f"text {k}" for k in range(500)) + "\n"
