@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,19 +63,6 @@ def clear(spark: SparkSession) -> None:
         some.clear()
 
 
-@contextlib.contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """Let go of what is held within, and of its shuffle files, when what it was for has been written."""
-    frames = _kept(spark)["frames"]
-    before = len(frames)
-    yield
-    for df in frames[before:]:
-        df.unpersist(True)
-    del frames[before:]
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark deletes a shuffle's files when the driver has forgotten it
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, and no executor's loss loses it."""
     spark = df.sparkSession

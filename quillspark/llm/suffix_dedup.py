@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import apart, hold, materialize, released, tune, whole_text
+from quillspark.llm._common import apart, hold, tune, whole_text
 
 LENGTH = 400
 GRAM = 48
@@ -155,8 +155,8 @@ class Columns:
         shutil.rmtree(self.folder, ignore_errors=True)
 
 
-def repeats(columns: Columns, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each place of the contexts from the last on: the strings whose ``length`` bytes from there occur in another.
+def repeats(columns: Columns, *lengths: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each place of the contexts from the last on, and each length: the strings whose bytes from there occur in another.
 
     ``order`` holds the strings in the order of their suffixes, ``common[i]`` how many symbols the i-th has in common
     with the one before it.
@@ -185,13 +185,14 @@ def repeats(columns: Columns, length: int) -> Iterator[tuple[int, np.ndarray]]:
         order = order[by_symbol]
         common = least + 1
         common[starts] = 0
-        if done + 1 >= length:
-            equal = common >= length
-            hit = equal | np.concatenate([equal[1:], [False]])
-            found = order[hit]
-            found = found[valid[found] >= length]
-            if len(found):
-                yield width - done - 1, found
+        for length in lengths:
+            if done + 1 >= length:
+                equal = common >= length
+                hit = equal | np.concatenate([equal[1:], [False]])
+                found = order[hit]
+                found = found[valid[found] >= length]
+                if len(found):
+                    yield length, width - done - 1, found
 
 
 #: A document: its doc_id (0 if null) and a hash of its text and of whether its doc_id is null.
@@ -255,12 +256,12 @@ def _digest_contexts(length: int, gram: int):
     return run
 
 
-def _in_parts(text: bytes, place: int, padded: bytes, length: int, gram: int) -> Iterator[tuple[int, bytes]]:
-    """The key and the marked context of each part that a context has in its document."""
-    step = -(-(length - gram + 1) // PARTS)
+def _in_parts(text: bytes, place: int, padded: bytes, length: int, least: int, gram: int) -> Iterator[tuple[int, bytes]]:
+    """The key and the marked context of each part that a context has in its document, for strings of ``least`` bytes."""
+    step = -(-(least - gram + 1) // PARTS)
     for part in range(PARTS):
-        low, high = place - part * step, place + length - (part + 1) * step + 1
-        if part * step > length - gram or low < 0 or high > len(text):
+        low, high = place - part * step, place + least - (part + 1) * step + 1
+        if part * step > least - gram or low < 0 or high > len(text):
             continue
         h = hashlib.blake2b(b"%d:%d:" % (part, gram), digest_size=8)
         h.update(text[min(low, place) : max(high, place + gram)])
@@ -268,7 +269,7 @@ def _in_parts(text: bytes, place: int, padded: bytes, length: int, gram: int) ->
         yield int.from_bytes(h.digest(), "little", signed=True), marked
 
 
-def _cut_contexts(length: int, gram: int):
+def _cut_contexts(length: int, least: int, gram: int):
     types = (*[pa.int64()] * 4, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +278,7 @@ def _cut_contexts(length: int, gram: int):
             for text, wanted in zip(_unpacked(b.column(0)), b.column(1).to_pylist(), strict=True):
                 for x in wanted:
                     padded = _padded(text, x["place"], length, gram)
-                    keys = _in_parts(text, x["place"], padded, length, gram) if x["split"] else [(x["gram"], padded)]
+                    keys = _in_parts(text, x["place"], padded, length, least, gram) if x["split"] else [(x["gram"], padded)]
                     rows += [(key, x["gram"], x["w1"], x["w2"], marked) for key, marked in keys]
                 if len(rows) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "gram", "w1", "w2", "bytes"])
@@ -288,18 +289,23 @@ def _cut_contexts(length: int, gram: int):
     return run
 
 
-def _build(length: int, gram: int, collection: int):
-    names = ["gram", "w1", "w2", "start", "stop"]
+def _build(length: int, least: int, gram: int, collection: int):
+    names = ["gram", "w1", "w2", "of", "start", "stop"]
 
     def found(columns: Columns, keys: list) -> Iterator[pa.RecordBatch]:
         key = [np.concatenate(c) for c in zip(*keys, strict=True)]
-        first, last = np.full(len(columns), -1, np.int32), np.full(len(columns), -1, np.int32)
-        for place, strings in repeats(columns, length):  # from the last place on
-            first[strings] = place
-            last[strings] = np.where(last[strings] < 0, place, last[strings])
-        # Places in a context are less than a length apart, so what they cover is one run; it is told from the anchor on.
-        some = np.flatnonzero(first >= 0)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in key), pa.array(first[some] - (length - gram)), pa.array(last[some] + gram)], names)
+        lengths = sorted({length, least})
+        first, last = ({n: np.full(len(columns), -1, np.int32) for n in lengths} for _ in range(2))
+        for n, place, strings in repeats(columns, *lengths):  # from the last place on
+            if not length - n <= place <= length - gram:
+                continue
+            first[n][strings] = place
+            last[n][strings] = np.where(last[n][strings] < 0, place, last[n][strings])
+        for n in lengths:
+            # All of these strings contain the anchor, so what they cover is one run; it is told from the anchor on.
+            # Shorter ones that lie beside it contain other anchors, and are found there.
+            some = np.flatnonzero(first[n] >= 0)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in key), pa.array(np.full(len(some), n, np.int32)), pa.array(first[n][some] - (length - gram)), pa.array(last[n][some] + n - (length - gram))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns, keys = Columns(2 * length - gram), []
@@ -345,49 +351,43 @@ def _merged(covered, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def _remove(with_bytes: bool):
-    """Cut the covered runs out of each text."""
+def _remove(with_bytes: bool, words: int | None):
+    """Cut the covered runs out of each text; count the runs of more than so many words that shorter strings cover."""
+    names = ["doc_id", "th", "cut_sha256", "n_removed", "n_spans", *["n_passages", "n_passage_words"] * (words is not None), *["kept"] * with_bytes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, digests, removed, spans = [], [], [], []
-            for text, covered in zip(_unpacked(b.column(2)), b.column(3).to_pylist(), strict=True):
+            kept, digests, removed, spans, passages = [], [], [], [], []
+            for text, covered, shorter in zip(_unpacked(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 runs = _merged(covered, len(text))
                 rest = b"".join(text[a:z] for (_, a), (z, _) in zip([(0, 0), *runs], [*runs, (len(text), 0)], strict=True))
                 kept.append(rest)
                 digests.append(hashlib.sha256(rest).hexdigest())
                 removed.append(len(text) - len(rest))
                 spans.append(len(runs))
-            made = [pa.array(digests, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), *([pa.array(kept, pa.binary())] if with_bytes else [])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "th", "cut_sha256", "n_removed", "n_spans", *["kept"] * with_bytes])
+                if words is not None:
+                    sizes = [len(text[a:z].split()) for a, z in _merged(shorter, len(text))]
+                    passages.append([n for n in sizes if n > words])
+            made = [pa.array(digests, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
+            made += [pa.array(map(f, passages), pa.int64()) for f in (len, sum)] if words is not None else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *([pa.array(kept, pa.binary())] if with_bytes else [])], names)
 
     return run
 
 
-def _count_passages(words: int):
-    """Covered runs of more than so many words, and their words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = []
-            for text, covered in zip(_unpacked(b.column(2)), b.column(3).to_pylist(), strict=True):
-                sizes = [len(text[a:z].split()) for a, z in _merged(covered, len(text))]
-                counts.append([n for n in sizes if n > words])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(n) for n in counts], pa.int64()), pa.array([sum(n) for n in counts], pa.int64())], ["doc_id", "th", "n_passages", "n_passage_words"])
-
-    return run
-
-
-def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION, split: int = SPLIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION, split: int = SPLIT, least: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: a line for each row of ``docs``, texts with repeated anchors, and covered runs of such texts.
 
-    Rows alike in doc_id and text are alike in all results; of such rows one text has ``nth`` 1.
+    Rows alike in doc_id and text are alike in all results; of such rows one text has ``nth`` 1. Runs are those of
+    repeated strings of ``length`` bytes, and of ``least`` bytes where that is given: ``of`` tells which. Anchors are then
+    those of the shorter strings, which the longer ones contain.
     """
+    least = min(least or length, length)
     spark = docs.sparkSession
     tune(spark, 256)
     text, doc = whole_text(text_col), F.col(id_col).cast("long")
     slim = docs.select(F.coalesce(doc, F.lit(0)).alias("doc_id"), F.xxhash64(text, doc.isNull()).alias("th"), text.cast("binary").alias("text"), doc.isNull().alias("no_id"))
-    lines = hold(slim.mapInArrow(_find_anchors(length, gram), KEY + ", no_id boolean, full_sha256 string, n_bytes long, places array<int>, grams array<long>"))
+    lines = hold(slim.mapInArrow(_find_anchors(least, gram), KEY + ", no_id boolean, full_sha256 string, n_bytes long, places array<int>, grams array<long>"))
     each = lines.select("doc_id", "th", F.explode(F.arrays_zip("places", "grams")).alias("a")).select("doc_id", "th", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"))
     again = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart("gram").alias("gram"))
     wanted = each.hint("merge").join(again.hint("merge"), "gram").groupBy("doc_id", "th").agg(F.collect_set(F.struct("place", "gram")).alias("a"))
@@ -401,51 +401,37 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     kinds = contexts.groupBy("gram", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("one"), F.max("size").alias("size"))
     kinds = hold(kinds)
     differ = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(apart("gram").alias("gram"), (F.col("kinds") > split).alias("split"))
-    compare = kinds.hint("merge").join(differ.hint("merge"), "gram").filter(F.col("size") >= length)
+    compare = kinds.hint("merge").join(differ.hint("merge"), "gram").filter(F.col("size") >= least)
     compare = compare.select("one.doc_id", "one.th", F.struct("gram", "w1", "w2", "one.place", "split").alias("x")).groupBy("doc_id", "th").agg(F.collect_list("x").alias("wanted"))
     cut = texts.filter("nth = 1").select("doc_id", "th", "text").hint("merge").join(compare.hint("merge"), ["doc_id", "th"]).select("text", "wanted")
-    cut = cut.mapInArrow(_cut_contexts(length, gram), "key long, gram long, w1 long, w2 long, bytes binary")
-    built = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_build(length, gram, collection), "gram long, w1 long, w2 long, start int, stop int")
+    cut = cut.mapInArrow(_cut_contexts(length, least, gram), "key long, gram long, w1 long, w2 long, bytes binary")
+    built = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_build(length, least, gram, collection), "gram long, w1 long, w2 long, of int, start int, stop int")
     # The same context as often as twice is repeated as a whole; else what the construction has found counts.
-    whole = kinds.filter((F.col("n") > 1) & (F.col("size") >= length)).select("gram", "w1", "w2", F.lit(gram - length).alias("start"), F.lit(length).alias("stop"))
+    spans = [F.when(F.col("size") >= n, F.struct(F.lit(n).alias("of"), F.lit(gram - n).alias("start"), F.lit(n).alias("stop"))) for n in sorted({length, least})]
+    whole = kinds.filter((F.col("n") > 1) & (F.col("size") >= least)).select("gram", "w1", "w2", F.inline(F.filter(F.array(*spans), lambda x: x.isNotNull())))
     runs = whole.unionByName(built)
-    covered = contexts.join(runs, ["gram", "w1", "w2"]).select("doc_id", "th", F.greatest(F.col("place") + F.col("start"), F.lit(0)).alias("start"), (F.col("place") + F.col("stop")).alias("stop"))
+    covered = contexts.join(runs, ["gram", "w1", "w2"]).select("doc_id", "th", "of", F.greatest(F.col("place") + F.col("start"), F.lit(0)).alias("start"), (F.col("place") + F.col("stop")).alias("stop"))
     return lines, texts, covered
 
 
-def _hit(texts: DataFrame, covered: DataFrame) -> DataFrame:
-    per_doc = covered.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("covered"))
-    hit = texts.filter("nth = 1").select("doc_id", "th", "text").hint("merge").join(per_doc.hint("merge"), ["doc_id", "th"])
-    return hit.select("doc_id", "th", "text", "covered")
-
-
-def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS, length: int = PASSAGE_LENGTH, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """``(doc_id, th, n_passages, n_passage_words)`` of the texts with a passage of more than ``words`` words that repeats.
-
-    A passage is a maximal run of bytes that lie in repeated strings of ``length`` bytes.
-    """
-    _, texts, covered = find_repeats(docs, length, id_col=id_col, text_col=text_col, **names)
-    counted = _hit(texts, covered).mapInArrow(_count_passages(words), KEY + ", n_passages long, n_passage_words long")
-    return materialize(counted.filter("n_passages > 0"), "passages")
-
-
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True, with_passages: bool = False, split: int = SPLIT) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for each row.
 
     ``kept`` holds the remaining bytes of texts that have lost some, and is null for all others; it is left out unless
-    asked for by ``with_bytes``. ``with_passages`` adds ``n_passages`` and ``n_passage_words``, which nothing is removed for.
+    asked for by ``with_bytes``. ``with_passages`` adds ``n_passages``, the maximal runs of more than ``PASSAGE_WORDS``
+    words that lie in repeated strings of ``PASSAGE_LENGTH`` bytes, and their words; nothing is removed for them.
     """
-    passages = None
-    if with_passages:  # first, so that what it held is gone when the removal starts
-        with released(docs.sparkSession):
-            passages = repeated_passages(docs, id_col=id_col, text_col=text_col)
-    lines, texts, covered = find_repeats(docs, length, gram, id_col, text_col, split=split)
-    cut = _hit(texts, covered).mapInArrow(_remove(with_bytes), KEY + ", cut_sha256 string, n_removed long, n_spans long" + ", kept binary" * with_bytes)
+    lines, texts, covered = find_repeats(docs, length, gram, id_col, text_col, split=split, least=PASSAGE_LENGTH if with_passages else None)
+    run = F.struct("start", "stop")
+    per_doc = covered.groupBy("doc_id", "th").agg(F.collect_set(F.when(F.col("of") == length, run)).alias("covered"), F.collect_set(F.when(F.col("of") < length, run)).alias("shorter"))
+    hit = texts.filter("nth = 1").select("doc_id", "th", "text").hint("merge").join(per_doc.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "covered", "shorter")
+    more = ["n_passages", "n_passage_words"] * with_passages
+    schema = ", ".join([KEY, "cut_sha256 string, n_removed long, n_spans long", *(f"{c} long" for c in more), *["kept binary"] * with_bytes])
+    cut = hit.mapInArrow(_remove(with_bytes, PASSAGE_WORDS if with_passages else None), schema)
+    if with_bytes:
+        cut = cut.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept")))
     zero = F.lit(0).cast("long")
     out = lines.hint("merge").join(cut.hint("merge"), ["doc_id", "th"], "left")
-    more = []
-    if passages is not None:
-        out = out.hint("merge").join(passages.hint("merge"), ["doc_id", "th"], "left")
-        more = [F.coalesce(c, zero).alias(c) for c in ("n_passages", "n_passage_words")]
     doc = F.when(~F.col("no_id"), F.col("doc_id"))
-    return out.select(doc.alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "full_sha256").alias("kept_sha256"), *["kept"] * with_bytes, *more)
+    counts = [F.coalesce(c, zero).alias(c) for c in ("n_removed", "n_spans")]
+    return out.select(doc.alias("doc_id"), "n_bytes", *counts, F.coalesce("cut_sha256", "full_sha256").alias("kept_sha256"), *["kept"] * with_bytes, *[F.coalesce(c, zero).alias(c) for c in more])

@@ -873,6 +873,26 @@ def test_repeated_passages_of_more_than_fifty_words(spark):
     assert all(53 <= found[k]["n_passage_words"] <= 55 for k in range(3))
 
 
+def test_runs_of_two_lengths_are_those_of_each(spark):
+    from quillspark.llm.suffix_dedup import find_repeats
+
+    rng = random.Random(15)
+    passages = [words(rng, 40)[:n] for n in (39, 40, 41, 59, 60, 61, 90, 130)]
+    rows = [(k, words(rng, rng.randint(0, 5)) + "".join(rng.sample(passages, 3)) + words(rng, rng.randint(0, 5))) for k in range(80)] + [(100, "ab" * 45), (101, "ab" * 21)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def runs(frame, of):
+        seen = collections.defaultdict(set)
+        for r in frame.filter(f"of = {of}").collect():
+            seen[r["doc_id"]] |= set(range(r["start"], min(r["stop"], len(dict(rows)[r["doc_id"]]))))
+        return {k: v for k, v in seen.items() if v}
+
+    for split in (4096, 0):
+        both = find_repeats(df, 60, 16, least=40, split=split)[2].cache()
+        assert runs(both, 60) == runs(find_repeats(df, 60, 16)[2], 60) != {}
+        assert runs(both, 40) == runs(find_repeats(df, 40, 16)[2], 40) != {}
+
+
 def test_suffix_order_and_common_prefixes(tmp_path):
     """The rounds' order is that of the suffixes, and their hits are those of a naive comparison."""
     from quillspark.llm.suffix_dedup import Columns, repeats
@@ -883,7 +903,7 @@ def test_suffix_order_and_common_prefixes(tmp_path):
     columns = Columns(24)
     columns.add(strings[:17])
     columns.add(strings[17:])
-    found = {(place, s) for place, some in repeats(columns, 8) for s in some.tolist()}
+    found = {(place, s) for _, place, some in repeats(columns, 8) for s in some.tolist()}
     columns.close()
     want = {(p, k) for p in range(17) for k, s in enumerate(strings) if b"\xff" not in s[p : p + 8] and any(k != j and t[p : p + 8] == s[p : p + 8] for j, t in enumerate(strings))}
     assert found == want
