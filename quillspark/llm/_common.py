@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +72,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, made: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """Write what ``made`` gives and read it back; all that was held and written on the way to it is let go of."""
+    kept = _kept(spark)
+    before = {k: len(v) for k, v in kept.items()}
+    out = materialize(made(), tag)
+    for df in kept["frames"][before["frames"] :]:
+        df.unpersist()
+    for path in kept["paths"][before["paths"] : -1]:
+        fs, at = _files(spark, path)
+        fs.delete(at, True)
+    for name in kept["tables"][before["tables"] :]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    del kept["frames"][before["frames"] :], kept["paths"][before["paths"] : -1], kept["tables"][before["tables"] :]
+    return out
+
+
 def hold(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     """Keep ``df`` on the executors' disks for the reads that follow; what a lost executor held is computed again.
 
