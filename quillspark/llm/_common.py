@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -88,6 +89,12 @@ def settled(spark: SparkSession, made: Callable[[], DataFrame], tag: str) -> Dat
     return out
 
 
+def forget(spark: SparkSession) -> None:
+    """Collect the driver's garbage now: Spark deletes the files of shuffles that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hold(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     """Keep ``df`` on the executors' disks for the reads that follow; what a lost executor held is computed again.
 

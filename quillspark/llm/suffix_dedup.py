@@ -15,10 +15,13 @@ prefixes of neighbours (one more than the least of those between them before, or
 bytes in common with a neighbour starts a repeated string. A task holds a few numbers a string in memory; the bytes stay
 in the files, which it deletes as it ends.
 
-A gram with more than ``SPLIT`` kinds of contexts is split, exactly: the strings of ``length`` bytes around an anchor
-fall into ``PARTS`` by how far left of it they start, all strings of a part cover the same middle bytes, and only
-contexts that agree in those can share one. So each part is a collection by those bytes. A symbol that UTF-8 does not
-have, in place of the anchor's first byte, keeps the parts of a context apart.
+Which contexts can share a string. A string around an anchor has at least half of its other bytes on one side of the
+gram, so two contexts that share one agree in the gram with half a string to its left, or in that with half to its
+right. Only contexts that agree with another kind in one of these halves are built, each half a collection of its own;
+passages shorter than half a string cost nothing. A half with more than ``SPLIT`` kinds of contexts is split, exactly:
+strings fall into ``PARTS`` by how far left of the anchor they start, all strings of a part cover the same middle bytes,
+and each part is a collection by those bytes. A symbol that UTF-8 does not have, in place of the anchor's first byte,
+keeps the sides and parts of a context apart.
 
 A full transform of all documents would take as many passes over all data as the longest document has bytes; the
 anchors bound the rounds by twice ``length``.
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import apart, hold, tune, whole_text
+from quillspark.llm._common import apart, forget, hold, materialize, tune, whole_text
 
 LENGTH = 400
 GRAM = 48
@@ -49,8 +52,10 @@ GRAM = 48
 COLLECTION = 30_000
 #: Bytes of text whose anchors are found at once.
 BLOCK = 1 << 20
-#: Kinds of contexts of one gram beyond which they are split, and the parts that each context then has.
+#: Kinds of contexts of one half beyond which they are split, and the parts that each context then has.
 SPLIT, PARTS = 4096, 8
+#: Bytes that UTF-8 does not have, as marks of the right side and of the parts.
+RIGHT, MARKS = 0xC0, (0xC1, 0xF8, 0xF9, 0xFA, 0xFB, 0xFC, 0xFD, 0xFE)
 #: A passage has more words than this; its bytes are at least PASSAGE_LENGTH, at about five a word.
 PASSAGE_WORDS, PASSAGE_LENGTH = 50, 256
 #: Stands for what is beyond a document's ends; no UTF-8 text has it.
@@ -232,10 +237,15 @@ def _unpacked(column: pa.Array) -> Iterator[bytes]:
     return map(zstandard.ZstdDecompressor().decompress, column.to_pylist())
 
 
-def _digest_contexts(length: int, gram: int):
+def _digest_contexts(length: int, least: int, gram: int):
+    half = (least - gram) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hashed = xxhash.xxh3_64_intdigest
         for b in batches:
-            at, places, grams, firsts, seconds, sizes = [], [], [], [], [], []
+            at, places, grams, firsts, seconds, sizes, lefts, rights = [], [], [], [], [], [], [], []
             for k, (text, ps, gs) in enumerate(zip(_unpacked(b.column(2)), *(b.column(c).to_pylist() for c in (3, 4)), strict=True)):
                 for p, g in zip(ps, gs, strict=True):
                     low, high = context(text, p, length, gram)
@@ -248,25 +258,30 @@ def _digest_contexts(length: int, gram: int):
                     firsts.append(int(d[0]))
                     seconds.append(int(d[1]))
                     sizes.append(high - low)
+                    lefts.append(hashed(text[p - half : p + gram], 1) - (1 << 63) if p >= half else None)
+                    rights.append(hashed(text[p : p + gram + half], 2) - (1 << 63) if p + gram + half <= len(text) else None)
             if at:
                 keys = [b.column(c).take(pa.array(at)) for c in (0, 1)]
-                made = [pa.array(places, pa.int32()), *(pa.array(x, pa.int64()) for x in (grams, firsts, seconds)), pa.array(sizes, pa.int32())]
-                yield pa.RecordBatch.from_arrays([*keys, *made], ["doc_id", "th", "place", "gram", "w1", "w2", "size"])
+                made = [pa.array(places, pa.int32()), *(pa.array(x, pa.int64()) for x in (grams, firsts, seconds)), pa.array(sizes, pa.int32()), *(pa.array(x, pa.int64()) for x in (lefts, rights))]
+                yield pa.RecordBatch.from_arrays([*keys, *made], ["doc_id", "th", "place", "gram", "w1", "w2", "size", "left", "right"])
 
     return run
 
 
+def _marked(padded: bytes, at: int, mark: int) -> bytes:
+    return padded[:at] + bytes([mark]) + padded[at + 1 :]
+
+
 def _in_parts(text: bytes, place: int, padded: bytes, length: int, least: int, gram: int) -> Iterator[tuple[int, bytes]]:
     """The key and the marked context of each part that a context has in its document, for strings of ``least`` bytes."""
     step = -(-(least - gram + 1) // PARTS)
-    for part in range(PARTS):
+    for part, mark in enumerate(MARKS):
         low, high = place - part * step, place + least - (part + 1) * step + 1
         if part * step > least - gram or low < 0 or high > len(text):
             continue
         h = hashlib.blake2b(b"%d:%d:" % (part, gram), digest_size=8)
         h.update(text[min(low, place) : max(high, place + gram)])
-        marked = padded if not part else padded[: length - gram] + bytes([BEYOND - part]) + padded[length - gram + 1 :]
-        yield int.from_bytes(h.digest(), "little", signed=True), marked
+        yield int.from_bytes(h.digest(), "little", signed=True), _marked(padded, length - gram, mark)
 
 
 def _cut_contexts(length: int, least: int, gram: int):
@@ -278,8 +293,9 @@ def _cut_contexts(length: int, least: int, gram: int):
             for text, wanted in zip(_unpacked(b.column(0)), b.column(1).to_pylist(), strict=True):
                 for x in wanted:
                     padded = _padded(text, x["place"], length, gram)
-                    keys = _in_parts(text, x["place"], padded, length, least, gram) if x["split"] else [(x["gram"], padded)]
-                    rows += [(key, x["gram"], x["w1"], x["w2"], marked) for key, marked in keys]
+                    plain = [(half["key"], _marked(padded, length - gram, RIGHT) if half["side"] else padded) for half in x["halves"] if not half["split"]]
+                    parts = _in_parts(text, x["place"], padded, length, least, gram) if len(plain) < len(x["halves"]) else ()
+                    rows += [(key, x["gram"], x["w1"], x["w2"], marked) for key, marked in (*plain, *parts)]
                 if len(rows) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "gram", "w1", "w2", "bytes"])
                     rows = []
@@ -395,14 +411,17 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     packed = slim.mapInArrow(_pack, KEY + ", text binary")
     texts = packed.hint("merge").join(wanted.hint("merge"), ["doc_id", "th"])
     texts = texts.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "th").orderBy("th")))
-    texts = hold(texts.select("doc_id", "th", "text", "places", "grams", "nth"))
-
-    contexts = hold(texts.mapInArrow(_digest_contexts(length, gram), KEY + ", place int, gram long, w1 long, w2 long, size int"))
-    kinds = contexts.groupBy("gram", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("one"), F.max("size").alias("size"))
-    kinds = hold(kinds)
-    differ = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(apart("gram").alias("gram"), (F.col("kinds") > split).alias("split"))
-    compare = kinds.hint("merge").join(differ.hint("merge"), "gram").filter(F.col("size") >= least)
-    compare = compare.select("one.doc_id", "one.th", F.struct("gram", "w1", "w2", "one.place", "split").alias("x")).groupBy("doc_id", "th").agg(F.collect_list("x").alias("wanted"))
+    texts = materialize(texts.select("doc_id", "th", "text", "places", "grams", "nth"), "anchored")
+    forget(spark)  # what was shuffled to find them
+
+    contexts = hold(texts.mapInArrow(_digest_contexts(length, least, gram), KEY + ", place int, gram long, w1 long, w2 long, size int, left long, right long"))
+    one = F.min(F.struct("doc_id", "th", "place")).alias("one")
+    kinds = hold(contexts.groupBy("gram", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), one, F.max("size").alias("size"), F.max("left").alias("left"), F.max("right").alias("right")))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("key")), F.struct(F.lit(1).alias("side"), F.col("right").alias("key")))
+    halves = kinds.filter(F.col("size") >= least).select("gram", "w1", "w2", "one", F.inline(sides)).filter("key IS NOT NULL")
+    shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(apart("key").alias("key"), (F.col("kinds") > split).alias("split"))
+    compare = halves.hint("merge").join(shared.hint("merge"), "key").groupBy("gram", "w1", "w2", "one").agg(F.collect_list(F.struct("key", "side", "split")).alias("halves"))
+    compare = compare.select("one.doc_id", "one.th", F.struct("gram", "w1", "w2", "one.place", "halves").alias("x")).groupBy("doc_id", "th").agg(F.collect_list("x").alias("wanted"))
     cut = texts.filter("nth = 1").select("doc_id", "th", "text").hint("merge").join(compare.hint("merge"), ["doc_id", "th"]).select("text", "wanted")
     cut = cut.mapInArrow(_cut_contexts(length, least, gram), "key long, gram long, w1 long, w2 long, bytes binary")
     built = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_build(length, least, gram, collection), "gram long, w1 long, w2 long, of int, start int, stop int")
@@ -410,7 +429,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     spans = [F.when(F.col("size") >= n, F.struct(F.lit(n).alias("of"), F.lit(gram - n).alias("start"), F.lit(n).alias("stop"))) for n in sorted({length, least})]
     whole = kinds.filter((F.col("n") > 1) & (F.col("size") >= least)).select("gram", "w1", "w2", F.inline(F.filter(F.array(*spans), lambda x: x.isNotNull())))
     runs = whole.unionByName(built)
-    covered = contexts.join(runs, ["gram", "w1", "w2"]).select("doc_id", "th", "of", F.greatest(F.col("place") + F.col("start"), F.lit(0)).alias("start"), (F.col("place") + F.col("stop")).alias("stop"))
+    covered = contexts.select("doc_id", "th", "place", "gram", "w1", "w2").join(runs, ["gram", "w1", "w2"]).select("doc_id", "th", "of", F.greatest(F.col("place") + F.col("start"), F.lit(0)).alias("start"), (F.col("place") + F.col("stop")).alias("stop"))
     return lines, texts, covered
 
 
