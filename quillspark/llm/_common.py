@@ -89,6 +89,18 @@ def settled(spark: SparkSession, made: Callable[[], DataFrame], tag: str) -> Dat
     return out
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Let go of what is held within, and of its shuffle files, when what it was for has been written."""
+    frames = _kept(spark)["frames"]
+    before = len(frames)
+    yield
+    for df in frames[before:]:
+        df.unpersist(True)
+    del frames[before:]
+    forget(spark)
+
+
 def forget(spark: SparkSession) -> None:
     """Collect the driver's garbage now: Spark deletes the files of shuffles that nothing refers to any more."""
     gc.collect()
