@@ -14,13 +14,12 @@ Only distinct fingerprints meet, so copies cost nothing; each table returns a sp
 components come from large-star and small-star rounds over those edges, each written to the shared folder.
 
 Near duplicates by similarity (``similar_documents``): texts whose sets of word shingles have a Jaccard similarity of 0.8
-or more. Such pairs differ in about 15 % of the bits of a fingerprint, and neither equal blocks of bits nor coordinates
-tell 15 % from the 50 % of unrelated texts; so fingerprints have 256 bits there, and the pivot tables are those of texts
-that agree in a band of min-wise shingle hashes. Within a table, coordinates and then distances decide as above. A text
-is in ``BANDS`` tables of ``BAND_ROWS`` hashes each: a pair of similarity 0.8 misses all of them with a chance of 2 %,
-and pairs of less than 0.3 hardly meet. In a table with more than ``table_rows`` rows, one of them is its reference: rows
-within reach of it are linked to it and leave the table, up to ``levels`` times, so that a large group of near copies
-costs each of its rows one comparison; the links that such a row has to others are found in its other tables.
+or more; no such pair is left out. Of two similar sets, ordered alike, the first n - ceil(0.8 n) + 1 shingles have one in
+common, so texts meet in a table for each of these; shingles that are frequent in a sample come last in the order, which
+keeps tables small. Fingerprints are parities there: a shingle flips one of 2048 bits, so sets differ in no fewer shingles
+than their fingerprints in bits, and coordinates and then distances in a pivot table discard no similar pair. What they
+leave makes groups, and the sets of a group are compared as they are. A row that has been reached is not compared again,
+so that a large group of near copies costs each of its rows about one comparison in a table.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; repeated rows share their
 component; a component whose doc_ids are all null has a null component_id; an empty table gives no rows; other columns
@@ -139,26 +138,18 @@ def linked(key: np.ndarray, fp: np.ndarray, refs: np.ndarray, most: int) -> np.n
     return label
 
 
-def _search(most: int, n_pivots: int, words: int = 1):
-    """Edges within whole tables; fingerprints are longs, or binary ones of several ``words``."""
-
-    def numbers(column: pa.Array) -> np.ndarray:
-        if words == 1:
-            return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
-
-    def column(fp: np.ndarray) -> pa.Array:
-        return pa.array(fp[:, 0].view(np.int64)) if words == 1 else pa.array([x.tobytes() for x in fp], pa.binary())
+def _search(most: int, n_pivots: int):
+    """Edges within whole tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = pivots(n_pivots, words)
+        refs = pivots(n_pivots)
 
         def edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            order = np.lexsort((np.bitwise_count(fp ^ refs[0]).sum(1), key))
+            order = np.lexsort((np.bitwise_count(fp ^ refs[0, 0]), key))
             key, fp = key[order], fp[order]
             label = linked(key, fp, refs, most)
             member = np.flatnonzero(label != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([column(fp[member]), column(fp[label[member]])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(fp[member].view(np.int64)), pa.array(fp[label[member]].view(np.int64))], ["a", "b"])
 
         keys, fps, size = [], [], 0
         for b in batches:  # sorted by key: all but the last table of what has come are whole
@@ -166,7 +157,7 @@ def _search(most: int, n_pivots: int, words: int = 1):
                 continue
             k = b.column(0).to_numpy(zero_copy_only=False)
             keys.append(k)
-            fps.append(numbers(b.column(1)))
+            fps.append(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
             size += len(k)
             if size >= 1 << 16 and k[-1] != keys[0][0]:
                 key, fp = np.concatenate(keys), np.concatenate(fps)
@@ -257,14 +248,19 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return e.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
 
 
-def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(fp, component)`` for each of ``nodes`` (fp, least): the least of all nodes that it reaches over ``edges``."""
-    rooted = nodes.join(components(edges), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _least(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(fp, component)`` for each of ``nodes`` (fp, least): the least of all nodes that have its root."""
+    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    least = least.select(apart("root", nodes.schema["fp"].dataType.typeName() == "binary").alias("root"), "component")  # a large component's rows can be split
+    least = least.select(apart("root").alias("root"), "component")  # a large component's rows can be split
     return rooted.hint("merge").join(least.hint("merge"), "root").select("fp", "component")
 
 
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(fp, component)`` for each of ``nodes`` (fp, least): the least of all nodes that it reaches over ``edges``."""
+    return _least(nodes, components(edges))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, max_distance: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row of ``docs``."""
     prints = hold(fingerprints(docs, id_col, text_col, words_per_shingle))
@@ -277,94 +273,244 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 SIMILARITY = 0.8
-BAND_ROWS, BANDS = 5, 10
-#: Words of 64 bits in a fingerprint, and pivots of the tables.
-SKETCH_WORDS, SKETCH_PIVOTS = 4, 4
-_MIX = np.random.default_rng(17).integers(0, 2**64, (2, BAND_ROWS * BANDS + SKETCH_WORDS), dtype=np.uint64) | np.uint64(1)
+#: Words of 64 bits in a parity fingerprint, and pivots of the tables.
+SKETCH_WORDS, SKETCH_PIVOTS = 32, 4
+#: Documents that are read to see which shingles are frequent; and the shingles that are then taken last, at 16 bytes each.
+SAMPLE_ROWS, LATE_SHINGLES = 8192, 65_536
+_SLACK = 1e-9  # of a count's product with a similarity, which is no exact binary number
 
 
-def most_bits(similarity: float = SIMILARITY, words: int = SKETCH_WORDS) -> int:
-    """Differing bits that 95 of 100 pairs of this similarity stay within.
-
-    Two sets of one size and Jaccard similarity s have the cosine 2 s / (1 + s); a bit of their fingerprints differs
-    with the chance of their angle over pi.
-    """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(64 * words * p + 1.645 * (64 * words * p * (1 - p)) ** 0.5)
-
-
-def _mixed(h: np.ndarray, at: slice) -> np.ndarray:
-    """Independent hashes of hashes, a column each."""
-    x = (h[:, None] ^ _MIX[0, at]) * _MIX[1, at]
-    x ^= x >> np.uint64(29)
-    return x * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def sketch(text: bytes, words_per_shingle: int = 5) -> tuple[bytes, list[int]]:
-    """The fingerprint of a text's set of shingles, and its bands; a text of fewer words is one shingle, one of none has no shingle."""
+def shingle_hashes(text: bytes, words_per_shingle: int = 5) -> np.ndarray:
+    """The sorted hashes of a text's set of shingles; a text of fewer words is one shingle, one of none has no shingle."""
     import xxhash
 
     words = text.lower().split()
     n = len(words)
     if not n:
-        return bytes(8 * SKETCH_WORDS), [0] * BANDS
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     one = xxhash.xxh64_intdigest
-    h = np.unique(np.array([one(joined[a:b], SEED) for a, b in zip(starts, ends[min(n, words_per_shingle) - 1 :].tolist(), strict=False)], np.uint64))
-    least = np.full(BAND_ROWS * BANDS, 2**64 - 1, np.uint64)
-    votes = np.zeros(64 * SKETCH_WORDS, np.int64)
-    for at in range(0, len(h), 255):  # sums of up to 255 bits fit in a byte
-        some = h[at : at + 255]
-        least = np.minimum(least, _mixed(some, slice(SKETCH_WORDS, None)).min(0))
-        bits = np.unpackbits(_mixed(some, slice(SKETCH_WORDS)).view(np.uint8), axis=1, bitorder="little")
-        votes += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    print_ = np.packbits(votes * 2 > len(h), bitorder="little").tobytes()
-    bands = [xxhash.xxh3_64_intdigest(least[k : k + BAND_ROWS].tobytes(), k) for k in range(0, len(least), BAND_ROWS)]
-    return print_, np.array(bands, np.uint64).view(np.int64).tolist()
-
-
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """``(doc_id, th, fp, bands)`` for each row; ``th`` tells texts of one doc_id apart."""
+    return np.unique(np.array([one(joined[a:b], SEED) for a, b in zip(starts, ends[min(n, words_per_shingle) - 1 :].tolist(), strict=False)], np.uint64))
+
+
+def set_id(h: np.ndarray) -> int:
+    """What names a set of shingles, as a signed long."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
+
+
+def sketch(h: np.ndarray, late: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> tuple[bytes, np.ndarray]:
+    """The parity fingerprint of a set of shingle hashes, and the shingles whose tables it is in.
+
+    ``late`` are hashes, sorted, and their places: these shingles come after all others, in the order of their places.
+    """
+    n = len(h)
+    parity = np.bincount((h % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    print_ = np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+    least = int(np.ceil(similarity * n - _SLACK))
+    if least == n and int(n / similarity + _SLACK) == n:  # no other set is similar to so small a one
+        return print_, np.zeros(0, np.int64)
+    which, place = late
+    if len(which):
+        at = np.minimum(np.searchsorted(which, h), len(which) - 1)
+        is_late = which[at] == h
+        h = h[np.lexsort((np.where(is_late, place[at], h), is_late))]
+    return print_, h[: n - least + 1].view(np.int64)
+
+
+def _late(slim: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are frequent in a sample, the most frequent last; results do not depend on which these are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [sketch(t, words_per_shingle) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.list_(pa.int64()))], ["doc_id", "th", "fp", "bands"])
+            hashes = [shingle_hashes(t, words_per_shingle) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64))], ["h"])
 
-    tune(docs.sparkSession)
+    some = slim.filter(F.pmod("th", F.lit(max(1, slim.count() // SAMPLE_ROWS))) == 0).select("text")
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    found = [r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(LATE_SHINGLES).collect()]
+    which = np.array(found[::-1], np.int64).view(np.uint64)
+    order = np.argsort(which)
+    return which[order], order.astype(np.uint64)
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     doc = F.col(id_col).cast("long")
-    slim = docs.select(doc.alias("doc_id"), row_hash(doc, text_col).alias("th"), whole_text(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, th long, fp binary, bands array<long>")
+    return docs.select(doc.alias("doc_id"), row_hash(doc, text_col).alias("th"), whole_text(text_col).cast("binary").alias("text"))
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, th, id, size, fp, keys)`` for each row; ``th`` tells texts of one doc_id apart, ``id`` sets of shingles."""
+    tune(docs.sparkSession)
+    slim = _slim(docs, id_col, text_col)
+    late = _late(slim, words_per_shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t, words_per_shingle) for t in b.column(2).to_pylist()]
+            made = [sketch(h, late, similarity) for h in sets]
+            columns = [pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "th", "id", "size", "fp", "keys"])
+
+    return slim.mapInArrow(run, "doc_id long, th long, id long, size long, fp binary, keys array<long>")
+
+
+def _whole(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[pa.Table]:
+    """What comes sorted by its first column, cut between values of it only."""
+    held, size, first = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        first = b.column(0)[0].as_py() if first is None else first
+        if size >= rows and b.column(0)[-1].as_py() != first:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cut = int(np.searchsorted(t.column(0).to_numpy(), t.column(0)[-1].as_py()))
+            yield t.slice(0, cut)
+            held, size = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+            first = held[0].column(0)[0].as_py()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def bits_apart(a, b, words: int = SKETCH_WORDS):
-    """The number of differing bits of two binary fingerprints, as an expression."""
-    word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
-    return sum((F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(words)), F.lit(0))
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by key, whose key another row has as well."""
+    for t in _whole(batches):
+        key = t.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        t = t.filter(pa.array(np.append(same, False) | np.append(False, same)))
+        yield from t.combine_chunks().to_batches()
 
 
-def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, table_rows: int = TABLE_ROWS, levels: int = LEVELS) -> DataFrame:
-    """Edges ``(a, b)`` between fingerprints of ``nodes`` (fp, bands) that share a table and are near enough."""
-    most = most_bits(similarity)
-    waiting = hold(nodes.select("fp", F.explode("bands").alias("key")), 4096)
-    found = []
-    for _ in range(levels):
-        crowded = waiting.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("ref")).filter(F.col("n") > table_rows)
-        crowded = hold(crowded.select(apart("key").alias("key"), "ref"))
-        if crowded.isEmpty():
-            break
-        hot = waiting.hint("merge").join(crowded.hint("merge"), "key")
-        near = bits_apart("fp", "ref") <= most
-        found.append(hot.filter(near & (F.col("fp") != F.col("ref"))).select(F.col("fp").alias("a"), F.col("ref").alias("b")))
-        rest = hot.filter(~near).select("fp", "key")  # all links of the reference are found, so it leaves as well
-        waiting = hold(part(waiting, crowded, "left_anti", ["key"]).unionByName(rest), 4096)
-    tables = waiting.select("key", "fp").repartition("key").sortWithinPartitions("key")
-    out = tables.mapInArrow(_search(most, SKETCH_PIVOTS, SKETCH_WORDS), "a binary, b binary")
-    for edges in found:
-        out = out.unionByName(edges)
-    return out
+def reached(n: int, near) -> np.ndarray:
+    """The row that stands for each of n rows; ``near(row, others)`` tells which of the others link to a row.
+
+    Rows that are reached are not compared again, so a group of near copies costs each of them about one comparison.
+    """
+    label, left = np.full(n, -1), np.arange(n)
+    for start in range(n):
+        if label[start] >= 0:
+            continue
+        label[start] = start
+        left = left[left != start]
+        waiting = [start]
+        while waiting and len(left):
+            row = waiting.pop()
+            found = near(row, left)
+            label[left[found]] = start
+            waiting += left[found].tolist()
+            left = left[~found]
+    return label
+
+
+def _candidates(similarity: float, table_rows: int):
+    """Edges that connect all rows of a table that may be similar: no pair of the similarity is left out.
+
+    Sets of x and y shingles with the similarity s differ in at most (1 - s) / (1 + s) (x + y) of them, parity
+    fingerprints in no more bits, and so do their distances to a pivot.
+    """
+    share = (1 - similarity) / (1 + similarity)
+    refs = pivots(SKETCH_PIVOTS, SKETCH_WORDS)
+    distance = lambda a, b: np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+    def pairs(i, j, size, coordinates, fp):
+        """Which of the pairs may be similar."""
+        a, b = size[i], size[j]
+        most = share * (a + b) + _SLACK
+        ok = np.minimum(a, b) >= similarity * np.maximum(a, b) - _SLACK
+        for c in coordinates:
+            ok &= np.abs(c[i] - c[j]) <= most
+        at = np.flatnonzero(ok)
+        for some in range(0, len(at), 1 << 15):
+            k = at[some : some + (1 << 15)]
+            ok[k] = distance(fp[i[k]], fp[j[k]]) <= most[k]
+        return ok
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            key, ids, size = (t.column(k).to_numpy() for k in range(3))
+            fp = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+            coordinates = [distance(fp, p) for p in refs]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            counts = np.diff(np.append(starts, len(key)))
+            left, right = [], []
+            small = counts <= min(table_rows, 64)
+            rows = np.flatnonzero(np.repeat(small, counts))
+            for shift in range(1, int(counts[small].max(initial=1))):
+                rows = rows[rows + shift < len(key)]
+                rows = rows[key[rows] == key[rows + shift]]
+                ok = pairs(rows, rows + shift, size, coordinates, fp)
+                left.append(rows[ok])
+                right.append(rows[ok] + shift)
+            for k in np.flatnonzero(~small):
+                at, n = int(starts[k]), int(counts[k])
+                near = lambda row, others, at=at: pairs(np.full(len(others), at + row), at + others, size, coordinates, fp)
+                label = reached(n, near)
+                member = np.flatnonzero(label != np.arange(n))
+                left.append(at + label[member])
+                right.append(at + member)
+            if left:
+                ends = np.concatenate([ids[np.concatenate(left)], ids[np.concatenate(right)]]).reshape(2, -1)
+                ends = np.unique(ends, axis=1)  # a pair meets in many tables
+                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, table_rows: int = TABLE_ROWS) -> DataFrame:
+    """Edges ``(a, b)`` that connect all ids of ``nodes`` (id, size, fp, keys) that may be similar, and a few more."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key")
+    shared = hold(keyed.mapInArrow(_shared, "key long, id long"), 4096)
+    tables = shared.join(nodes.select("id", "size", "fp"), "id").select("key", "id", "size", "fp").repartition("key").sortWithinPartitions("key")
+    return tables.mapInArrow(_candidates(similarity, table_rows), "a long, b long").distinct()
+
+
+def _exact(similarity: float):
+    """For each set of a group (root, id, hashes) the one that stands for those that it reaches at the similarity."""
+
+    def groups(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        size = np.array([len(h) for h in sets])
+        begin = np.append(0, np.cumsum(size))
+        of = np.repeat(np.arange(len(sets)), size)
+        tokens = np.concatenate(sets)
+
+        def near(row: int, others: np.ndarray) -> np.ndarray:
+            total = size[others] + size[row]
+            found = np.zeros(len(others), bool)
+            fits = np.flatnonzero(np.minimum(size[others], size[row]) >= similarity * np.maximum(size[others], size[row]) - _SLACK)
+            for k in fits:
+                o = others[k]
+                common = len(np.intersect1d(tokens[begin[row] : begin[row + 1]], tokens[begin[o] : begin[o + 1]], assume_unique=True))
+                found[k] = common >= similarity * (total[k] - common) - _SLACK
+            return found
+
+        def near_many(row: int, others: np.ndarray) -> np.ndarray:
+            mine = tokens[begin[row] : begin[row + 1]]
+            at = np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)
+            common = np.bincount(of[mine[at] == tokens], minlength=len(sets))[others]
+            return common >= similarity * (size[others] + size[row] - common) - _SLACK
+
+        return ids[reached(len(sets), lambda row, others: (near_many if 8 * len(others) > len(sets) else near)(row, others))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches, 1 << 12):
+            root, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(2).to_pylist()]
+            starts = np.flatnonzero(np.append(True, root[1:] != root[:-1])).tolist()
+            label = [groups(ids[a:b], sets[a:b]) for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(label))], ["fp", "root"])
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words_per_shingle: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingle_hashes(t, words_per_shingle) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["fp", "hashes"])
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", table_rows: int = TABLE_ROWS) -> DataFrame:
@@ -372,12 +518,22 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words_per
 
     A null doc_id comes after all others. Rows alike in doc_id and text are one document.
     """
-    prints = hold(sketches(docs, id_col, text_col, words_per_shingle), 4096)
+    prints = hold(sketches(docs, id_col, text_col, words_per_shingle, similarity))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    nodes = hold(prints.groupBy("fp").agg(F.min(F.struct(row.alias("least"), "bands")).alias("x")).select("fp", "x.least", "x.bands"), 4096)
-    named = _named(nodes.select("fp", "least"), similar_links(nodes.select("fp", "bands"), similarity, table_rows))
+    nodes = prints.groupBy("id").agg(F.min(row).alias("least"))
+    nodes = hold(nodes.select(F.col("id").alias("fp"), "least"), 4096)
+    sets = prints.join(nodes.select(F.col("fp").alias("id"), "least"), "id").filter(F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.th") == F.col("th")))
+    sets = hold(sets.dropDuplicates(["id"]).select("id", "size", "fp", "keys"))
+    groups = hold(components(similar_links(sets, similarity, table_rows)), 4096)
+    # Only texts of groups are read again, each for its set once.
+    wanted = groups.join(nodes, "fp").select(F.coalesce("least.doc_id", F.lit(0)).alias("doc_id"), F.col("least.th").alias("th"))
+    again = part(_slim(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), wanted, "left_semi", ["doc_id", "th"])
+    hashes = again.select("text").mapInArrow(lambda batches: _sets(batches, words_per_shingle), "fp long, hashes binary").dropDuplicates(["fp"])
+    grouped = groups.join(hashes, "fp").select("root", "fp", "hashes").repartition("root").sortWithinPartitions("root", "fp")
+    roots = hold(grouped.mapInArrow(_exact(similarity), "fp long, root long"), 4096)
+    named = _least(nodes, roots)
     stays = F.col("component.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("component.th") == F.col("th"))
-    return prints.join(named, "fp").select("doc_id", "th", F.col("component.doc_id").alias("component_id"), stays.alias("stays"))
+    return prints.select("doc_id", "th", F.col("id").alias("fp")).join(named, "fp").select("doc_id", "th", F.col("component.doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def without_similar(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -476,6 +476,64 @@ def test_a_large_group_of_near_copies_becomes_one(spark, table_rows):
     assert all(r["stays"] for r in found if (r["doc_id"] or 0) >= 1000)
 
 
+def components_by_brute_force(rows):
+    """The least doc_id that each row reaches over pairs of the similarity 0.8; a blank text has no shingles."""
+    sets = [shingles(t) if (t or "").split() else set() for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        x, y = sets[a], sets[b]
+        if x == y or 5 * len(x & y) >= 4 * len(x | y):
+            root[top(a)] = top(b)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[top(k)] = min(d, least.get(top(k), d))
+    return {d: least[top(k)] for k, (d, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("table_rows", [4096, 4])
+def test_similar_documents_leave_out_no_pair(spark, table_rows):
+    from quillspark.llm.simhash import similar_documents
+
+    rng = random.Random(29)
+    texts = [None, "", " ", "one", "One", "one two", "a b c d e", "a b c d e f"]
+    for n in (8, 9, 10, 12, 13, 14, 20, 40, 100, 400, 3000):  # at the similarity, just above it and just below it
+        for cut in range(1, 4 if n > 100 else 9):
+            text = words(rng, n)
+            texts += [text, " ".join(text.split()[: (n - 4) * (20 - cut) // 20 + 4]), changed(rng, text, max(1, n * cut // 180))]
+    line = words(rng, 30)  # a line that many texts have, and copies of which none is near all others
+    texts += [f"{line} {words(rng, 12)}" for _ in range(60)]
+    base = words(rng, 200)
+    texts += [changed(rng, base, rng.randint(1, 8)) for _ in range(60)]
+    chain = words(rng, 120).split()
+    texts += [" ".join(chain[k : k + 60]) for k in range(0, 60, 5)]
+    rows = list(enumerate(texts))
+    found = similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), table_rows=table_rows).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == components_by_brute_force(rows)
+    assert all(r["stays"] == (r["component_id"] == r["doc_id"]) for r in found)
+
+
+def test_every_pair_just_above_the_similarity_is_linked(spark):
+    from quillspark.llm.simhash import similar_documents
+
+    rng = random.Random(31)
+    rows = []
+    for k in range(300):
+        a = words(rng, 100)
+        n = 4
+        b = changed(rng, a, n)
+        while jaccard(a, b) < 0.8:
+            b = changed(rng, a, n := max(1, n - 1))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    found = similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in found if r["component_id"] != r["doc_id"] // 2 * 2] == []
+
+
 # 5
 
 
