@@ -16,10 +16,13 @@ components come from large-star and small-star rounds over those edges, each wri
 Near duplicates by similarity (``similar_documents``): texts whose sets of word shingles have a Jaccard similarity of 0.8
 or more; no such pair is left out. Of two similar sets, ordered alike, the first n - ceil(0.8 n) + 1 shingles have one in
 common, so texts meet in a table for each of these; shingles that are frequent in a sample come last in the order, which
-keeps tables small. Fingerprints are parities there: a shingle flips one of 2048 bits, so sets differ in no fewer shingles
-than their fingerprints in bits, and coordinates and then distances in a pivot table discard no similar pair. What they
-leave makes groups, and the sets of a group are compared as they are. A row that has been reached is not compared again,
-so that a large group of near copies costs each of its rows about one comparison in a table.
+keeps tables small. Of a small table only rows stay that another one's size and place in the order allow to be similar with
+this shingle as the first in common. Fingerprints are parities there: a shingle flips one bit, so sets differ in no fewer
+shingles than their fingerprints in bits, and coordinates and then distances in a pivot table discard no similar pair. A
+fingerprint has more bits for a larger set, so that long texts are told apart as well; of two widths the wider is folded to
+the other. What they leave makes groups, and the sets of a group are compared as they are, from a file where they are many.
+A row that has been reached is not compared again, so that a large group of near copies costs each of its rows about one
+comparison in a table.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; repeated rows share their
 component; a component whose doc_ids are all null has a null component_id; an empty table gives no rows; other columns
@@ -28,6 +31,7 @@ of the input are ignored.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -273,8 +277,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 SIMILARITY = 0.8
-#: Words of 64 bits in a parity fingerprint, and pivots of the tables.
-SKETCH_WORDS, SKETCH_PIVOTS = 32, 4
+#: Words of 64 bits in a parity fingerprint, at least and at most, shingles for each of them, and pivots of the tables.
+SKETCH_WORDS, SKETCH_MOST, SKETCH_SHINGLES, SKETCH_PIVOTS = 8, 1024, 96, 4
+#: Rows of a table all pairs of which are looked at; bytes of sets that a group keeps in memory, and that are compared at once.
+SMALL_ROWS, GROUP_BYTES, COMPARED_BYTES = 64, 1 << 24, 1 << 22
 #: Documents that are read to see which shingles are frequent; and the shingles that are then taken last, at 16 bytes each.
 SAMPLE_ROWS, LATE_SHINGLES = 8192, 65_536
 _SLACK = 1e-9  # of a count's product with a similarity, which is no exact binary number
@@ -302,13 +308,19 @@ def set_id(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
 
 
+def sketch_words(n: int) -> int:
+    """Words in the parity fingerprint of n shingles: a power of two, so that unrelated sets differ in far more bits than similar ones may."""
+    return min(SKETCH_MOST, max(SKETCH_WORDS, 1 << (-(-n // SKETCH_SHINGLES) - 1).bit_length()))
+
+
 def sketch(h: np.ndarray, late: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> tuple[bytes, np.ndarray]:
     """The parity fingerprint of a set of shingle hashes, and the shingles whose tables it is in.
 
     ``late`` are hashes, sorted, and their places: these shingles come after all others, in the order of their places.
     """
     n = len(h)
-    parity = np.bincount((h % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    bits = 64 * sketch_words(n)
+    parity = np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     print_ = np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
     least = int(np.ceil(similarity * n - _SLACK))
     if least == n and int(n / similarity + _SLACK) == n:  # no other set is similar to so small a one
@@ -358,32 +370,63 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return slim.mapInArrow(run, "doc_id long, th long, id long, size long, fp binary, keys array<long>")
 
 
-def _whole(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[pa.Table]:
-    """What comes sorted by its first column, cut between values of it only."""
-    held, size, first = [], 0, None
+def _whole(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14, most: int = 1 << 24) -> Iterator[pa.Table]:
+    """What comes sorted by its first column, cut between values of it only, after so many rows or bytes."""
+    held, size, weight, first = [], 0, 0, None
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
         size += b.num_rows
+        weight += b.nbytes
         first = b.column(0)[0].as_py() if first is None else first
-        if size >= rows and b.column(0)[-1].as_py() != first:
+        if (size >= rows or weight >= most) and b.column(0)[-1].as_py() != first:
             t = pa.Table.from_batches(held).combine_chunks()
             cut = int(np.searchsorted(t.column(0).to_numpy(), t.column(0)[-1].as_py()))
             yield t.slice(0, cut)
             held, size = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
-            first = held[0].column(0)[0].as_py()
+            weight, first = sum(x.nbytes for x in held), held[0].column(0)[0].as_py()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by key, whose key another row has as well."""
-    for t in _whole(batches):
-        key = t.column(0).to_numpy()
-        same = key[1:] == key[:-1]
-        t = t.filter(pa.array(np.append(same, False) | np.append(False, same)))
-        yield from t.combine_chunks().to_batches()
+def _tables(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys starts, and its rows."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return starts, np.diff(np.append(starts, len(key)))
+
+
+def _table_pairs(key: np.ndarray, counts: np.ndarray, small: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within the small tables."""
+    rows = np.flatnonzero(np.repeat(small, counts))
+    for shift in range(1, int(counts[small].max(initial=1))):
+        rows = rows[rows + shift < len(key)]
+        rows = rows[key[rows] == key[rows + shift]]
+        yield rows, rows + shift
+
+
+def _shared(similarity: float, table_rows: int):
+    """Rows, sorted by key, that may be similar to another row of their key; all rows of a table that is not small.
+
+    The first key that two sets have in common leaves them no more than it and the fewer of the shingles after it in both:
+    a similar pair passes there, whatever becomes of it at its other keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            key, size, place = (t.column(k).to_numpy().astype(np.int64) for k in (0, 2, 3))
+            _, counts = _tables(key)
+            small = counts <= min(table_rows, SMALL_ROWS)
+            keep = np.repeat(~small, counts)
+            after = size - place
+            for i, j in _table_pairs(key, counts, small):
+                a, b = size[i], size[j]
+                ok = np.minimum(a, b) >= similarity * np.maximum(a, b) - _SLACK
+                ok &= np.minimum(after[i], after[j]) >= similarity / (1 + similarity) * (a + b) - _SLACK
+                keep[i[ok]] = keep[j[ok]] = True
+            yield from t.select(["key", "id"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
 
 
 def reached(n: int, near) -> np.ndarray:
@@ -411,44 +454,70 @@ def _candidates(similarity: float, table_rows: int):
     """Edges that connect all rows of a table that may be similar: no pair of the similarity is left out.
 
     Sets of x and y shingles with the similarity s differ in at most (1 - s) / (1 + s) (x + y) of them, parity
-    fingerprints in no more bits, and so do their distances to a pivot.
+    fingerprints in no more bits, and so do their distances to a pivot. Folding, which adds up halves, keeps parities.
     """
     share = (1 - similarity) / (1 + similarity)
-    refs = pivots(SKETCH_PIVOTS, SKETCH_WORDS)
+    folds = int(np.ceil(np.log2(1 / similarity)))  # widths of sets whose sizes may be similar are no further apart
     distance = lambda a, b: np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
-    def pairs(i, j, size, coordinates, fp):
+    def by_width(words: np.ndarray, fps: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For each width: each row's place among the fingerprints of that width, these, and their coordinates."""
+        rows, prints = {}, {}
+        for w in np.unique(words).tolist():
+            own = np.flatnonzero(words == w)
+            fp = np.frombuffer(b"".join([fps[k] for k in own.tolist()]), np.uint64).reshape(-1, w)
+            for fold in range(folds + 1):
+                if fold:
+                    w //= 2
+                    if w < SKETCH_WORDS:
+                        break
+                    fp = fp[:, :w] ^ fp[:, w:]
+                rows.setdefault(w, []).append(own)
+                prints.setdefault(w, []).append(fp)
+        out = {}
+        for w in np.unique(words).tolist():
+            at = np.zeros(len(words), np.int64)
+            own, fp = np.concatenate(rows[w]), np.concatenate(prints[w])
+            at[own] = np.arange(len(own))
+            out[w] = at, fp, [distance(fp, p) for p in pivots(SKETCH_PIVOTS, w)]
+        return out
+
+    def pairs(i, j, size, words, widths):
         """Which of the pairs may be similar."""
         a, b = size[i], size[j]
         most = share * (a + b) + _SLACK
         ok = np.minimum(a, b) >= similarity * np.maximum(a, b) - _SLACK
-        for c in coordinates:
-            ok &= np.abs(c[i] - c[j]) <= most
-        at = np.flatnonzero(ok)
-        for some in range(0, len(at), 1 << 15):
-            k = at[some : some + (1 << 15)]
-            ok[k] = distance(fp[i[k]], fp[j[k]]) <= most[k]
+        narrow = np.minimum(words[i], words[j])
+        for w, (at, fp, coordinates) in widths.items():
+            here = np.flatnonzero(ok & (narrow == w))
+            step = max(1, (1 << 19) // w)
+            for some in range(0, len(here), step):
+                k = here[some : some + step]
+                x, y = at[i[k]], at[j[k]]
+                near = np.ones(len(k), bool)
+                for c in coordinates:
+                    near &= np.abs(c[x] - c[y]) <= most[k]
+                left = np.flatnonzero(near)
+                near[left] = distance(fp[x[left]], fp[y[left]]) <= most[k[left]]
+                ok[k] = near
         return ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches):
             key, ids, size = (t.column(k).to_numpy() for k in range(3))
-            fp = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
-            coordinates = [distance(fp, p) for p in refs]
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            counts = np.diff(np.append(starts, len(key)))
+            fps = t.column(3).to_pylist()
+            words = np.fromiter(map(len, fps), np.int64, len(fps)) // 8
+            widths = by_width(words, fps)
+            starts, counts = _tables(key)
             left, right = [], []
-            small = counts <= min(table_rows, 64)
-            rows = np.flatnonzero(np.repeat(small, counts))
-            for shift in range(1, int(counts[small].max(initial=1))):
-                rows = rows[rows + shift < len(key)]
-                rows = rows[key[rows] == key[rows + shift]]
-                ok = pairs(rows, rows + shift, size, coordinates, fp)
-                left.append(rows[ok])
-                right.append(rows[ok] + shift)
+            small = counts <= min(table_rows, SMALL_ROWS)
+            for i, j in _table_pairs(key, counts, small):
+                ok = pairs(i, j, size, words, widths)
+                left.append(i[ok])
+                right.append(j[ok])
             for k in np.flatnonzero(~small):
                 at, n = int(starts[k]), int(counts[k])
-                near = lambda row, others, at=at: pairs(np.full(len(others), at + row), at + others, size, coordinates, fp)
+                near = lambda row, others, at=at: pairs(np.full(len(others), at + row), at + others, size, words, widths)
                 label = reached(n, near)
                 member = np.flatnonzero(label != np.arange(n))
                 left.append(at + label[member])
@@ -463,46 +532,85 @@ def _candidates(similarity: float, table_rows: int):
 
 def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, table_rows: int = TABLE_ROWS) -> DataFrame:
     """Edges ``(a, b)`` that connect all ids of ``nodes`` (id, size, fp, keys) that may be similar, and a few more."""
-    keyed = nodes.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key")
-    shared = hold(keyed.mapInArrow(_shared, "key long, id long"), 4096)
+    keyed = nodes.select(F.posexplode("keys").alias("place", "key"), "id", F.col("size").cast("int").alias("size")).select("key", "id", "size", "place")
+    shared = hold(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(similarity, table_rows), "key long, id long"), 4096)
     tables = shared.join(nodes.select("id", "size", "fp"), "id").select("key", "id", "size", "fp").repartition("key").sortWithinPartitions("key")
     return tables.mapInArrow(_candidates(similarity, table_rows), "a long, b long").distinct()
 
 
-def _exact(similarity: float):
-    """For each set of a group (root, id, hashes) the one that stands for those that it reaches at the similarity."""
+class _Group:
+    """The sets of one group, of which no more than a few are in memory: the rest lie in a temporary file."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.ids, self.size = similarity, [], []
+        self.file = tempfile.SpooledTemporaryFile(GROUP_BYTES)
 
-    def groups(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-        size = np.array([len(h) for h in sets])
-        begin = np.append(0, np.cumsum(size))
-        of = np.repeat(np.arange(len(sets)), size)
-        tokens = np.concatenate(sets)
-
-        def near(row: int, others: np.ndarray) -> np.ndarray:
-            total = size[others] + size[row]
-            found = np.zeros(len(others), bool)
-            fits = np.flatnonzero(np.minimum(size[others], size[row]) >= similarity * np.maximum(size[others], size[row]) - _SLACK)
-            for k in fits:
-                o = others[k]
-                common = len(np.intersect1d(tokens[begin[row] : begin[row + 1]], tokens[begin[o] : begin[o + 1]], assume_unique=True))
-                found[k] = common >= similarity * (total[k] - common) - _SLACK
+    def add(self, name: int, hashes: bytes) -> None:
+        self.ids.append(name)
+        self.size.append(len(hashes) // 8)
+        self.file.write(hashes)
+
+    def read(self, start: int, stop: int) -> np.ndarray:
+        """The hashes of the sets from row ``start`` to row ``stop``."""
+        self.file.seek(8 * int(self.begin[start]))
+        return np.frombuffer(self.file.read(8 * int(self.begin[stop] - self.begin[start])), np.uint64)
+
+    def near(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Which of the other rows, in their order, are similar to a row."""
+        size, total = self.size[others], self.size[others] + self.size[row]
+        found = np.zeros(len(others), bool)
+        fits = np.flatnonzero(np.minimum(size, self.size[row]) >= self.similarity * np.maximum(size, self.size[row]) - _SLACK)
+        if not len(fits):
             return found
+        mine, common = self.read(row, row + 1), np.zeros(len(others), np.int64)
+        rows = others[fits]
+        cuts = np.searchsorted(rows, self.cuts)
+        for first, last, a, b in zip(self.cuts[:-1], self.cuts[1:], cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            runs = [(first, last)] if 8 * (b - a) > last - first else [(r, r + 1) for r in rows[a:b].tolist()]
+            counts = []
+            for start, stop in runs:
+                tokens = self.read(start, stop)
+                same = mine[np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)] == tokens
+                counts.append(np.add.reduceat(same, self.begin[start:stop] - self.begin[start], dtype=np.int64))
+            common[fits[a:b]] = counts[0][rows[a:b] - first] if runs[0] == (first, last) else np.concatenate(counts)
+        found[fits] = common[fits] >= self.similarity * (total[fits] - common[fits]) - _SLACK
+        return found
+
+    def labels(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and for each the one that stands for those that it reaches."""
+        ids, self.size = np.array(self.ids, np.int64), np.array(self.size, np.int64)
+        self.begin = np.append(0, np.cumsum(self.size))
+        most = max(1, COMPARED_BYTES // 8)
+        self.cuts = np.append(np.flatnonzero(np.append(True, np.diff(self.begin[:-1] // most))), len(ids)).tolist()
+        with self.file:
+            return ids, ids[reached(len(ids), self.near)]
 
-        def near_many(row: int, others: np.ndarray) -> np.ndarray:
-            mine = tokens[begin[row] : begin[row + 1]]
-            at = np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)
-            common = np.bincount(of[mine[at] == tokens], minlength=len(sets))[others]
-            return common >= similarity * (size[others] + size[row] - common) - _SLACK
 
-        return ids[reached(len(sets), lambda row, others: (near_many if 8 * len(others) > len(sets) else near)(row, others))]
+def _exact(similarity: float):
+    """For each set of a group (root, id, hashes) the one that stands for those that it reaches at the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole(batches, 1 << 12):
-            root, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in t.column(2).to_pylist()]
-            starts = np.flatnonzero(np.append(True, root[1:] != root[:-1])).tolist()
-            label = [groups(ids[a:b], sets[a:b]) for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(label))], ["fp", "root"])
+        done, size, group, root = [], 0, None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], ["fp", "root"])
+
+        for batch in batches:
+            for r, name, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if group is None or r != root:
+                    if group is not None:
+                        done.append(group.labels())
+                        size += len(done[-1][0])
+                    group, root = _Group(similarity), r
+                group.add(name, hashes.as_py())
+            if size >= 1 << 12:
+                yield out()
+                done, size = [], 0
+        if group is not None:
+            done.append(group.labels())
+            yield out()
 
     return run
 

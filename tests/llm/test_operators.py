@@ -534,6 +534,51 @@ def test_every_pair_just_above_the_similarity_is_linked(spark):
     assert [r["doc_id"] for r in found if r["component_id"] != r["doc_id"] // 2 * 2] == []
 
 
+def test_long_texts_that_share_a_passage_make_no_group(spark):
+    from quillspark.llm.simhash import similar_documents, similar_links, sketches
+
+    rng = random.Random(37)
+    line = words(rng, 300)
+    rows = [(k, f"{words(rng, 5000 + 40 * k)} {line}") for k in range(30)]
+    rows += [(30, changed(rng, rows[0][1], 60)), (31, changed(rng, rows[29][1], 60))]
+    long = words(rng, 6300)
+    rows += [(100, long), (101, " ".join(long.split()[:6000]))]  # of different widths of fingerprints
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = similar_documents(docs).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == components_by_brute_force(rows)
+    nodes = sketches(docs)
+    names = {r["id"]: r["doc_id"] for r in nodes.collect()}
+    links = {tuple(sorted((names[r["a"]], names[r["b"]]))) for r in similar_links(nodes).collect()}
+    assert links == {(0, 30), (29, 31), (100, 101)}
+    assert len({len(r["fp"]) for r in nodes.filter("doc_id >= 100").collect()}) == 2
+
+
+def test_a_group_of_long_sets_is_compared_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quillspark.llm.simhash import _exact
+
+    rng = np.random.default_rng(41)
+    sets = [np.sort(rng.integers(0, 2**63, 20_000).astype(np.uint64)) for _ in range(200)]  # 32 MB
+    for k in range(0, 200, 40):  # one in forty is near the one before it, and one in forty is not quite
+        sets[k + 1] = np.sort(np.concatenate([sets[k][:18_000], sets[k + 1][:2_000]]))
+        sets[k + 3] = np.sort(np.concatenate([sets[k + 2][:17_000], sets[k + 3][:3_000]]))
+    schema = pa.schema([("root", pa.int64()), ("id", pa.int64()), ("hashes", pa.binary())])
+    batches = (pa.record_batch([[5] * 20, list(range(k, k + 20)), [h.tobytes() for h in sets[k : k + 20]]], schema=schema) for k in range(0, 200, 20))
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(_exact(0.8)(batches)).to_pydict()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    near = {a: b for a, b in zip(out["fp"], out["root"], strict=True) if a != b}
+    assert near == {k + 1: k for k in range(0, 200, 40)} and sorted(out["fp"]) == list(range(200))
+    assert peak < 64e6
+
+
 # 5
 
 
