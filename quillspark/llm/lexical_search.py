@@ -181,7 +181,8 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     one = items.select(F.col(id_col).cast("long").alias("item_id"), whole_text(text_col).alias("text")).distinct()
     name = F.sha2(F.concat_ws(":", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "text"), 256)
     words = F.split(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), NO_TERM)
-    each = one.select(F.substring(F.unhex(name), 1, 16).alias("item"), "item_id", F.explode(words).alias("term"))
+    named = one.select(F.substring(F.unhex(name), 1, 16).alias("item"), "item_id", words.alias("words"))
+    each = named.select("item", "item_id", F.explode("words").alias("term"))
     return each.filter("term <> ''").groupBy("item", "item_id", "term").agg(F.count(F.lit(1)).alias("q"))
 
 

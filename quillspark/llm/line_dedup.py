@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from quillspark.llm._common import apart, boxed, hold, row_hash, whole_text
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
-_BLANKS = "\\x20\\x09-\\x0D"
+_BLANKS = " \t\n\x0b\f\r"
 
 
 def line_key(line):
-    """What tells equal lines: stripped, and A-Z lower-cased."""
-    stripped = F.regexp_replace(line, f"^[{_BLANKS}]+|[{_BLANKS}]+\\z", "")
-    return F.when(stripped.rlike("[A-Z]"), F.translate(stripped, string.ascii_uppercase, string.ascii_lowercase)).otherwise(stripped)
+    """What tells equal lines: stripped, and A-Z lower-cased; letters beyond ASCII stay as they are."""
+    stripped = F.btrim(line, F.lit(_BLANKS))
+    ascii_only = F.octet_length(stripped) == F.char_length(stripped)
+    return F.when(ascii_only, F.lower(stripped)).otherwise(F.translate(stripped, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def _hashed(key):
@@ -38,7 +39,8 @@ def _hashed(key):
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, th, pos, hash)`` for each line whose key is long enough; ``th`` tells texts of one document apart."""
     doc = F.col(id_col).cast("long")
-    lines = docs.select(doc.alias("doc"), row_hash(doc, text_col).alias("th"), F.posexplode(F.split(whole_text(text_col), "\n", -1)).alias("pos", "line"))
+    texts = docs.select(doc.alias("doc"), row_hash(doc, text_col).alias("th"), F.split(whole_text(text_col), "\n", -1).alias("lines"))  # hashed once a text, not once a line
+    lines = texts.select("doc", "th", F.posexplode("lines").alias("pos", "line"))
     keys = lines.filter(F.char_length("line") >= min_chars).withColumn("key", line_key(F.col("line")))
     return keys.filter(F.char_length("key") >= min_chars).select("doc", "th", "pos", _hashed(F.col("key")).alias("hash"))
 
