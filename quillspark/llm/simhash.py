@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import apart, boxed, hold, materialize, part, row_hash, tune, unboxed, whole_text
+from quillspark.llm._common import apart, boxed, forget, hold, materialize, part, row_hash, settled, tune, unboxed, whole_text
 
 SEED = 42
 PIVOTS = 16
@@ -220,8 +220,11 @@ def _masks(free, block, blocks: int, level: int):
     return out.bitwiseAND(free)
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """``(fp, root)`` for each end of an edge: the smallest fingerprint that it reaches, itself included."""
+def components(edges: DataFrame, most_rounds: int = 50, written: bool = False) -> DataFrame:
+    """``(fp, root)`` for each end of an edge: the smallest fingerprint that it reaches, itself included.
+
+    ``written`` edges are distinct ones (a, b), a above b, that lie in files: they are read again instead of held.
+    """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -235,8 +238,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("b", "a")), F.lit(0))).first()
 
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    e = hold(e)
+    e = edges if written else hold(_downward(edges))
     before = mark(e)
     files = lambda: max(1, before[0] // EDGE_ROWS)  # noqa: E731  few rows need few files
     for _ in range(most_rounds):
@@ -252,6 +254,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return e.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
 
 
+def _downward(edges: DataFrame) -> DataFrame:
+    """Distinct edges (a, b) with a above b."""
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+
+
 def _least(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """``(fp, component)`` for each of ``nodes`` (fp, least): the least of all nodes that have its root."""
     rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -301,11 +308,11 @@ def shingle_hashes(text: bytes, words_per_shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([one(joined[a:b], SEED) for a, b in zip(starts, ends[min(n, words_per_shingle) - 1 :].tolist(), strict=False)], np.uint64))
 
 
-def set_id(h: np.ndarray) -> int:
-    """What names a set of shingles, as a signed long."""
-    import xxhash
+def set_digest(h: np.ndarray) -> bytes:
+    """What tells a set of shingles from all others: 128 bits."""
+    import hashlib
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
 def sketch_words(n: int) -> int:
@@ -355,7 +362,7 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, th, id, size, fp, keys)`` for each row; ``th`` tells texts of one doc_id apart, ``id`` sets of shingles."""
+    """``(doc_id, th, digest, size, fp, keys)`` for each row; ``th`` tells texts of one doc_id apart, ``digest`` sets of shingles."""
     tune(docs.sparkSession)
     slim = _slim(docs, id_col, text_col)
     late = _late(slim, words_per_shingle)
@@ -364,10 +371,17 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         for b in batches:
             sets = [shingle_hashes(t, words_per_shingle) for t in b.column(2).to_pylist()]
             made = [sketch(h, late, similarity) for h in sets]
-            columns = [pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "th", "id", "size", "fp", "keys"])
+            columns = [pa.array([set_digest(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "th", "digest", "size", "fp", "keys"])
+
+    return slim.mapInArrow(run, "doc_id long, th long, digest binary, size long, fp binary, keys array<long>")
 
-    return slim.mapInArrow(run, "doc_id long, th long, id long, size long, fp binary, keys array<long>")
+
+def distinct_sets(prints: DataFrame) -> DataFrame:
+    """``(id, digest, least, size, fp, keys)`` for each set of ``sketches()``, written: ``least`` is its least row, ``id`` a number."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    one = prints.groupBy("digest").agg(F.min(row).alias("least"), F.first(F.struct("size", "fp", "keys")).alias("s"))
+    return materialize(one.select(F.monotonically_increasing_id().alias("id"), "digest", "least", "s.size", "s.fp", "s.keys"), "similar-sets")
 
 
 def _whole(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14, most: int = 1 << 24) -> Iterator[pa.Table]:
@@ -531,11 +545,11 @@ def _candidates(similarity: float, table_rows: int):
 
 
 def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, table_rows: int = TABLE_ROWS) -> DataFrame:
-    """Edges ``(a, b)`` that connect all ids of ``nodes`` (id, size, fp, keys) that may be similar, and a few more."""
+    """Edges ``(a, b)``, some more than once, that connect all ids of ``nodes`` (id, size, fp, keys) that may be similar, and a few more."""
     keyed = nodes.select(F.posexplode("keys").alias("place", "key"), "id", F.col("size").cast("int").alias("size")).select("key", "id", "size", "place")
-    shared = hold(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(similarity, table_rows), "key long, id long"), 4096)
+    shared = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(similarity, table_rows), "key long, id long"), "similar-keys")
     tables = shared.join(nodes.select("id", "size", "fp"), "id").select("key", "id", "size", "fp").repartition("key").sortWithinPartitions("key")
-    return tables.mapInArrow(_candidates(similarity, table_rows), "a long, b long").distinct()
+    return tables.mapInArrow(_candidates(similarity, table_rows), "a long, b long")
 
 
 class _Group:
@@ -618,30 +632,51 @@ def _exact(similarity: float):
 def _sets(batches: Iterator[pa.RecordBatch], words_per_shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingle_hashes(t, words_per_shingle) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["fp", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array([set_digest(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["digest", "hashes"])
+
+
+def _stars(nodes: DataFrame, similarity: float, table_rows: int) -> DataFrame:
+    """``(fp, root)``: candidates' links, and the groups that they make; each is written before the next begins."""
+    spark = nodes.sparkSession
+    links = settled(spark, lambda: _downward(similar_links(nodes, similarity, table_rows)), "similar-links")
+    forget(spark)
+    return components(links, written=True)
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", table_rows: int = TABLE_ROWS) -> DataFrame:
     """``(doc_id, th, component_id, stays)`` for each row: of each component the row with the least doc_id, then ``th``, stays.
 
-    A null doc_id comes after all others. Rows alike in doc_id and text are one document.
+    A null doc_id comes after all others. Rows alike in doc_id and text are one document. Each step reads files that the
+    one before has written, so that plans stay short and no lost executor costs more than its step; what was written on
+    the way is gone when the result is there.
     """
-    prints = hold(sketches(docs, id_col, text_col, words_per_shingle, similarity))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    nodes = prints.groupBy("id").agg(F.min(row).alias("least"))
-    nodes = hold(nodes.select(F.col("id").alias("fp"), "least"), 4096)
-    sets = prints.join(nodes.select(F.col("fp").alias("id"), "least"), "id").filter(F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.th") == F.col("th")))
-    sets = hold(sets.dropDuplicates(["id"]).select("id", "size", "fp", "keys"))
-    groups = hold(components(similar_links(sets, similarity, table_rows)), 4096)
-    # Only texts of groups are read again, each for its set once.
-    wanted = groups.join(nodes, "fp").select(F.coalesce("least.doc_id", F.lit(0)).alias("doc_id"), F.col("least.th").alias("th"))
-    again = part(_slim(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), wanted, "left_semi", ["doc_id", "th"])
-    hashes = again.select("text").mapInArrow(lambda batches: _sets(batches, words_per_shingle), "fp long, hashes binary").dropDuplicates(["fp"])
-    grouped = groups.join(hashes, "fp").select("root", "fp", "hashes").repartition("root").sortWithinPartitions("root", "fp")
-    roots = hold(grouped.mapInArrow(_exact(similarity), "fp long, root long"), 4096)
-    named = _least(nodes, roots)
-    stays = F.col("component.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("component.th") == F.col("th"))
-    return prints.select("doc_id", "th", F.col("id").alias("fp")).join(named, "fp").select("doc_id", "th", F.col("component.doc_id").alias("component_id"), stays.alias("stays"))
+    spark = docs.sparkSession
+
+    def exact(sets: DataFrame, groups: DataFrame) -> DataFrame:
+        # Only texts of groups are read again, each for its set once.
+        members = groups.join(sets.select(F.col("id").alias("fp"), "digest", "least"), "fp")
+        wanted = members.select(F.coalesce("least.doc_id", F.lit(0)).alias("doc_id"), F.col("least.th").alias("th"))
+        again = part(_slim(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), wanted, "left_semi", ["doc_id", "th"])
+        hashes = again.select("text").mapInArrow(lambda batches: _sets(batches, words_per_shingle), "digest binary, hashes binary").dropDuplicates(["digest"])
+        grouped = members.join(hashes, "digest").select("root", "fp", "hashes").repartition("root").sortWithinPartitions("root", "fp")
+        return grouped.mapInArrow(_exact(similarity), "fp long, root long")
+
+    def named() -> DataFrame:
+        prints = materialize(sketches(docs, id_col, text_col, words_per_shingle, similarity), "similar-sketches")
+        sets = distinct_sets(prints)
+        forget(spark)
+        groups = settled(spark, lambda: _stars(sets.select("id", "size", "fp", "keys"), similarity, table_rows), "similar-groups")
+        roots = settled(spark, lambda: exact(sets, groups), "similar-roots")
+        forget(spark)
+        nodes = sets.select(F.col("id").alias("fp"), "least")
+        of_set = sets.select(F.col("id").alias("fp"), "digest").join(_least(nodes, roots), "fp").select(apart("digest", True).alias("digest"), "component")
+        rows = prints.select("doc_id", "th", apart("digest", True).alias("digest"))
+        stays = F.col("component.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("component.th") == F.col("th"))
+        return rows.hint("merge").join(of_set.hint("merge"), "digest").select("doc_id", "th", F.col("component.doc_id").alias("component_id"), stays.alias("stays"))
+
+    out = settled(spark, named, "similar")
+    forget(spark)
+    return out
 
 
 def without_similar(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

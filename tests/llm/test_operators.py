@@ -535,7 +535,7 @@ def test_every_pair_just_above_the_similarity_is_linked(spark):
 
 
 def test_long_texts_that_share_a_passage_make_no_group(spark):
-    from quillspark.llm.simhash import similar_documents, similar_links, sketches
+    from quillspark.llm.simhash import distinct_sets, similar_documents, similar_links, sketches
 
     rng = random.Random(37)
     line = words(rng, 300)
@@ -546,11 +546,33 @@ def test_long_texts_that_share_a_passage_make_no_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = similar_documents(docs).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == components_by_brute_force(rows)
-    nodes = sketches(docs)
-    names = {r["id"]: r["doc_id"] for r in nodes.collect()}
+    prints = sketches(docs)
+    nodes = distinct_sets(prints)
+    names = {r["id"]: r["least"]["doc_id"] for r in nodes.collect()}
     links = {tuple(sorted((names[r["a"]], names[r["b"]]))) for r in similar_links(nodes).collect()}
     assert links == {(0, 30), (29, 31), (100, 101)}
-    assert len({len(r["fp"]) for r in nodes.filter("doc_id >= 100").collect()}) == 2
+    assert len({len(r["fp"]) for r in prints.filter("doc_id >= 100").collect()}) == 2
+
+
+def test_similar_documents_leave_short_plans_and_nothing_behind(spark, sf_dir):
+    """What one run leaves in the driver's store of plans is little, and ten runs leave ten times that."""
+    from quillspark.llm._common import _kept
+    from quillspark.llm.simhash import without_similar
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def characters(since):
+        seen = store.executionsList()
+        own = [seen.apply(k) for k in range(seen.size())]
+        return [len(x.physicalPlanDescription()) for x in own if x.executionId() >= since], max([-1, *(x.executionId() for x in own)])
+
+    _, last = characters(0)
+    paths = len(_kept(spark)["paths"])
+    without_similar(docs).write.format("noop").mode("overwrite").save()
+    made, _ = characters(last + 1)
+    assert sum(made) < 200_000 and max(made) < 40_000
+    assert len(_kept(spark)["paths"]) == paths + 1
 
 
 def test_a_group_of_long_sets_is_compared_in_little_memory():
@@ -1063,8 +1085,8 @@ def test_queries_are_registered(spark, sf_dir):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
-    assert "op7_digest_index" in __spark_entry__.oracle_sql()
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+    assert {"op7_digest_index", "op11_line_counts", "op12_incidence_audit", "op13_quantised_search"} <= set(__spark_entry__.oracle_sql())
 
 
 def test_native_operators_run_no_python(spark, sf_dir):
