@@ -290,14 +290,27 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _bounded(joined: DataFrame, most: int) -> DataFrame:
+    """``(text, y, fold)`` of at most so many labelled rows (__id, text, y, fold), held: their texts are read three times.
+
+    An id may stand in many rows. Rows alike in id, text and label count once; beyond the bound those of the least hashes of
+    the id and then of the text stay.
+    """
+    joined = hold(joined.withColumn("th", F.xxhash64("text")))
+    key = ["__id", "th", "y", "fold"]
+    kept = joined.select(*key).distinct().orderBy(F.xxhash64("__id"), *key).limit(most)
+    if joined.count() > kept.count():
+        joined = hold(joined.join(F.broadcast(kept), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text")))
+    return joined.select("text", "y", "fold")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_LABELLED) -> Model:
     spark = docs.sparkSession
     tune(spark)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     some = known.select(F.col(id_col).cast("long").alias("__id"), (F.col(label_col) != 0).alias("y")).orderBy(F.xxhash64("__id"), "__id", "y").limit(most)
     some = some.withColumn("fold", F.pmod(F.xxhash64(F.col("__id"), F.lit(3)), F.lit(FOLDS)).cast("int"))
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), whole_text(text_col).alias("text")).join(F.broadcast(some), "__id").select("text", "y", "fold")
-    rows = hold(rows)  # of a bounded sample: its texts are read three times
+    rows = _bounded(docs.select(F.col(id_col).cast("long").alias("__id"), whole_text(text_col).alias("text")).join(F.broadcast(some), "__id"), most)
     by_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(F.sum(F.col("y").cast("long")).alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     toxic, n = ([by_fold[f][k] if f in by_fold else 0 for f in range(FOLDS)] for k in ("t", "n"))
     if not 0 < sum(toxic[1:]) < sum(n[1:]):

@@ -343,6 +343,26 @@ def test_toxicity_lexicon_takes_all_tokens_beyond_chance(spark):
     assert found[0].keys() == found[-1].keys() - {"t0"} and all(x.keys() == found[-1].keys() for x in found[1:])
 
 
+def test_no_more_labelled_rows_are_fitted_than_the_bound(spark, monkeypatch):
+    """Few ids in very many rows: the rows that are fitted are bounded, and rows alike count once."""
+    from quillspark.llm import toxicity
+
+    taken = []
+    kept = toxicity._bounded
+    monkeypatch.setattr(toxicity, "_bounded", lambda joined, most: taken.append(kept(joined, most)) or taken[-1])
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2][:12]
+    rows = [(ids[k % 12], f"{'vile rot' if k % 12 < 4 else 'fine day'} number {k % 5000} of them") for k in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(k < 4)) for k, d in enumerate(ids)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, most=1500)
+    found = taken[-1].collect()
+    assert len(found) == 1500 and {r["y"] for r in found} == {True, False}
+    toxicity.fit(docs, labels, most=40_000)
+    assert len(set(rows)) == taken[-1].count() == 15_000
+    toxicity.fit(docs.limit(300).distinct(), labels)
+    assert taken[-1].count() == docs.limit(300).distinct().count()
+
+
 def test_isotonic():
     import numpy as np
 
