@@ -35,12 +35,29 @@ def html_escape(s: Column) -> Column:
     return s
 
 
+#: Stands for a backslash while the other characters are escaped; a text that holds it itself is escaped by character.
+_STAND_IN = "\ue000"
+
+
 def latex_escape(s: Column) -> Column:
-    """One pass over the characters: what is written holds characters that would be escaped again."""
+    """Each special character is replaced in all of the text, in an order in which nothing written is escaped again.
+
+    The backslash is set aside first; braces come before the commands that end in braces.
+    """
     from quillspark.sinks.writers import LATEX_ESCAPES
 
     table = F.create_map(*[F.lit(x) for pair in LATEX_ESCAPES.items() for x in pair])
-    return F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    slow = F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    out = F.replace(s, F.lit("\\"), F.lit(_STAND_IN))
+    for c in ("{", "}", *(c for c in LATEX_ESCAPES if c not in "{}\\")):
+        out = F.replace(out, F.lit(c), F.lit(LATEX_ESCAPES[c]))
+    out = F.replace(out, F.lit(_STAND_IN), F.lit(LATEX_ESCAPES["\\"]))
+    return F.when(F.contains(s, F.lit(_STAND_IN)), slow).otherwise(F.when(s.rlike(r"[\\{}&%$#_~^]"), out).otherwise(s))
+
+
+def strip_tag(s: Column, tag: str) -> Column:
+    """Without spans of a tag: to the first end tag, or the tag alone if it has none or ends itself; to the end if it is not closed."""
+    return F.regexp_replace(s, f"(?s)<{tag}(?:[^>]*/>|[^>]*>(?:.*?</{tag}>)?|[^>]*\\z)", "")
 
 
 def size_label(n: Column, units: tuple[str, ...] = ("KB", "MB", "GB")) -> Column:

@@ -60,6 +60,51 @@ def collapse_blanks(df: DataFrame, keys: Keys, order, is_blank: Column) -> DataF
     return marked.withColumn("__p", F.lag("__b", 1, False).over(_window(keys, order))).filter(~(F.col("__b") & F.col("__p"))).drop("__b", "__p")
 
 
+def without_nested(df: DataFrame, keys: Keys, text: str, opening: str = "{", closing: str = "}") -> DataFrame:
+    """``keys`` and ``text`` without spans between two of ``opening`` and two of ``closing``, however they are nested.
+
+    A text becomes its events, in order: doubled openings and closings, and what lies between them. Depth is a running sum
+    that does not fall below zero, which is the sum less its least value so far; what stands at depth zero stays, closings
+    there as well. What an opening without a closing hides ends with the text. Texts without an opening are one event. ``keys`` tell rows apart.
+    """
+    a, b = (rf"\x{ord(c):02x}" for c in (opening, closing))
+    events = F.when(F.contains(text, F.lit(opening * 2)), F.regexp_extract_all(text, F.lit(f"[^{a}{b}]+|{a}{a}|{b}{b}|[{a}{b}]"), F.lit(0))).otherwise(F.array(F.col(text)))
+    w, within = _window(keys, ["__pos"]), _up_to_here(keys, ["__pos"])
+    rows = df.select(*keys, F.posexplode_outer(events).alias("__pos", "__event"))
+    opens, closes = F.col("__event") == opening * 2, F.col("__event") == closing * 2
+    rows = rows.withColumn("__sum", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(within))
+    rows = rows.withColumn("__depth", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(within)))
+    rows = rows.withColumn("__before", F.lag("__depth", 1, 0).over(w))
+    shown = F.when(~opens & (F.col("__depth") == 0) & (F.col("__before") == 0), F.struct("__pos", "__event"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["__event"]), "")
+    return rows.groupBy(*keys).agg(F.when(F.count("__event") > 0, whole).alias(text))
+
+
+def json_paths(df: DataFrame, keys: Keys, json: str) -> DataFrame:
+    """``keys, path, kind, value`` of every value in a JSON text, at any depth: each round opens the objects and arrays of the one before.
+
+    There are as many rounds as levels. Paths are like ``$.a.b[0]``; kinds are object, array, string, number, boolean and null;
+    objects and arrays have no value. A text that is no JSON, or has a key twice in an object, is of the kind invalid.
+    """
+    found = None
+    level = df.select(*keys, F.lit("$").alias("path"), F.try_parse_json(json).alias("v"), F.col(json).isNotNull().alias("__some"))
+    broken = level.filter("v IS NULL AND __some").select(*keys, "path", F.lit("invalid").alias("kind"), F.lit(None).cast("string").alias("value"))
+    level = level.filter("v IS NOT NULL").drop("__some")
+    while True:
+        type = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+        kind = F.when(type.isin("OBJECT", "ARRAY", "STRING", "BOOLEAN"), F.lower(type)).when(type == "VOID", "null").otherwise("number")
+        level = level.withColumn("kind", kind)
+        value = F.when(~F.col("kind").isin("object", "array"), F.expr("try_variant_get(v, '$', 'string')"))
+        here = level.select(*keys, "path", "kind", value.alias("value"))
+        found = here if found is None else found.unionByName(here)
+        inner = level.filter("kind IN ('object', 'array')")
+        if inner.isEmpty():
+            return found.unionByName(broken)
+        inner = inner.select(*keys, "path", "v").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
+        level = inner.select(*keys, F.concat("path", step).alias("path"), F.col("value").alias("v"))
+
+
 def first_seen_rank(df: DataFrame, keys: Keys, order: str, value: str, most: int = 6, name: str = "level") -> DataFrame:
     """A row for each value with its rank by first appearance, at most ``most``."""
     first = df.groupBy(*keys, value).agg(F.min(order).alias("__first"))

@@ -125,8 +125,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+@F.udtf(returnType=T.StructType([*BLOCK_TYPE.fields, T.StructField("error", T.StringType())]))
+class DocumentBlocks:
+    """The blocks of one document as rows; a document that cannot be read gives one row with its error."""
+
+    def eval(self, content: bytes, format: str):
+        found = _blocks_one(None if content is None else bytes(content), format)
+        if found["error"] is not None:
+            yield (*[None] * len(BLOCK_TYPE.fields), found["error"])
+        for b in found["blocks"] or ():
+            yield (*(b[f.name] for f in BLOCK_TYPE.fields), None)
+
+
 def register_sql(spark: SparkSession) -> None:
-    """``quill_convert(data, format)`` for SQL."""
+    """For SQL: ``quill_convert(data, format)``, ``quill_blocks(data, format)``, and the table function ``blocks(data, format)``."""
     ship(spark)
     spark.udf.register("quill_convert", _convert_udf)
     spark.udf.register("quill_blocks", _blocks_udf)
+    spark.udtf.register("blocks", DocumentBlocks)

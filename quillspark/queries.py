@@ -13,7 +13,7 @@ from quillspark.functions import text as X
 from quillspark.operators import rows as R
 from quillspark.plans import api
 from quillspark.plans.registry import EXTENSIONS
-from quillspark.sinks.files import concatenated
+from quillspark.sinks.files import concatenated_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -458,9 +458,15 @@ def html_escape_docs(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", X.html_escape(F.col("text")).alias("html"))
 
 
-@query("SELECT source, string_agg(text, chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS document FROM documents GROUP BY source")
+_PART = 65_536
+
+
+@query(f"""WITH d AS (SELECT source, doc_id, coalesce(text, '') AS text, sum(strlen(coalesce(text, '')) + 6) OVER (PARTITION BY source ORDER BY doc_id) - strlen(coalesce(text, '')) - 6 AS place FROM documents),
+p AS (SELECT source, doc_id, CASE WHEN place = 0 THEN 0 ELSE place - 6 END AS place, CASE WHEN place = 0 THEN text ELSE chr(10) || '---' || chr(10) || chr(10) || text END AS text FROM d)
+SELECT source, (place // {_PART})::BIGINT AS part, min(place)::BIGINT AS start, string_agg(text, '' ORDER BY doc_id) AS document FROM p GROUP BY source, place // {_PART}""")
 def md_concat_docs(spark, sf_dir):
-    return concatenated(t(spark, sf_dir, "documents").select("source", "doc_id", "text"), "doc_id", "text", "source")
+    """All texts of a source one after the other, in parts, with the byte at which each begins."""
+    return concatenated_parts(t(spark, sf_dir, "documents").select("source", "doc_id", "text"), "doc_id", "text", "source", part_bytes=_PART)
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice = floor(l_extendedprice) THEN l_extendedprice::BIGINT::VARCHAR ELSE l_extendedprice::VARCHAR END AS price, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -591,6 +597,113 @@ def output_names_pages(spark, sf_dir):
     return output_names(paths.unionByName(more).withColumn("ext", F.lit("md"))).select("page_id", "path", "output_name")
 
 
+# Forms that documents seldom have, written into them
+
+
+_FORMS = """CASE line_no % 9 WHEN 0 THEN repeat(' ', line_no % 4) || line WHEN 1 THEN repeat('-', 1 + line_no % 7) WHEN 2 THEN '1. ' || line WHEN 3 THEN '12) ' || line WHEN 4 THEN '#. ' || line
+WHEN 5 THEN repeat('=', 1 + line_no % 3) || ' ' WHEN 6 THEN '<!-- page ' || line_no || ' -->' WHEN 7 THEN 'w:' || line ELSE line END"""
+
+
+@query(f"""WITH {_DOC_LINES}, f AS (SELECT doc_id, line_no, {_FORMS} AS line FROM lines)
+SELECT doc_id, line_no, length(line) - length(ltrim(line, ' ')) AS indent,
+  CASE WHEN length(w) > 0 AND w = repeat(w[1], length(w)) AND contains('=-~^"''`#*+.:_', w[1]) THEN w[1] END AS underline,
+  CASE WHEN starts_with(line, '#. ') THEN line[4:] WHEN regexp_matches(line, '^[0-9]+[.)] ') THEN regexp_replace(line, '^[0-9]+[.)] ', '') END AS stripped,
+  length(line) >= 4 AND replace(line, '-', '') = '' AS delimiter, starts_with(line, '<!-- page ') AND ends_with(line, ' -->') AS marker, list_extract(string_split(line, ':'), -1) AS local
+FROM (SELECT *, rtrim(line, ' ' || chr(9) || chr(10) || chr(13)) AS w FROM f)""")
+def line_functions_docs(spark, sf_dir):
+    x = F.col("line")
+    df = _doc_lines(spark, sf_dir).withColumn("line", F.expr(_FORMS.replace("line_no % 4", "cast(line_no % 4 AS INT)").replace("1 + line_no % 7", "cast(1 + line_no % 7 AS INT)").replace("1 + line_no % 3", "cast(1 + line_no % 3 AS INT)")))
+    return df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), X.indent_of(x).cast("long").alias("indent"), X.underline_char(x).alias("underline"), X.strip_enumeration(x, hash_mark=True).alias("stripped"), X.is_delimiter(x, "-").alias("delimiter"), X.is_page_marker(x).alias("marker"), X.local_name(x).alias("local"))
+
+
+_NAMED = "CASE doc_id % 7 WHEN 0 THEN 'Heading' WHEN 1 THEN 'heading ' WHEN 2 THEN 'TITRE' WHEN 3 THEN 'Quote' WHEN 4 THEN 'blockQuote' WHEN 5 THEN 'IntenseQuote' ELSE source END || CASE WHEN doc_id % 7 < 3 THEN CAST(doc_id % 9 AS STRING) ELSE '' END"
+
+
+@query(f"""SELECT doc_id, style, CASE WHEN doc_id % 7 < 3 AND doc_id % 9 BETWEEN 1 AND 6 THEN doc_id % 9 ELSE 0 END::INT AS level, doc_id % 7 BETWEEN 3 AND 5 AS quote
+FROM (SELECT doc_id, {_NAMED.replace('STRING', 'VARCHAR')} AS style FROM documents)""")
+def style_functions_docs(spark, sf_dir):
+    style = F.col("style")
+    return t(spark, sf_dir, "documents").select("doc_id", F.expr(_NAMED).alias("style")).select("doc_id", "style", X.style_level(style).alias("level"), X.is_quote_style(style).alias("quote"))
+
+
+_ROWS = "CASE line_no % 5 WHEN 0 THEN '|---|' || repeat(':--:|', {0}) WHEN 1 THEN line ELSE '| ' || replace(line, ' ', ' | ') || ' |' END"
+
+
+@query(f"""WITH {_DOC_LINES}, r AS (SELECT doc_id, line_no, {_ROWS.format('line_no % 3')} AS line FROM lines),
+c AS (SELECT doc_id, line_no, CASE WHEN length(w) >= 2 AND starts_with(w, '|') AND ends_with(w, '|') THEN list_transform(string_split(w[2:length(w) - 1], '|'), lambda x: trim(x, ' ' || chr(9) || chr(13))) END AS cells FROM (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS w FROM r))
+SELECT doc_id, line_no, array_to_string(cells, '/') AS cells, len(list_filter(cells, lambda x: NOT regexp_full_match(x, '[-:]+'))) = 0 AS separator FROM c""")
+def table_rows_docs(spark, sf_dir):
+    df = _doc_lines(spark, sf_dir).withColumn("line", F.expr(_ROWS.format("cast(line_no % 3 AS INT)")))
+    cells = X.table_cells(F.col("line"))
+    return df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.array_join(cells, "/").alias("cells"), X.is_separator_row(cells).alias("separator"))
+
+
+@query("""WITH s AS (SELECT source, CASE WHEN doc_id % 11 = 0 THEN 'ppt/slides/slide' || lang || '.xml' ELSE 'ppt/slides/slide' || doc_id || '.xml' END AS path, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE doc_id END AS n, doc_id FROM documents)
+SELECT source, path, n, doc_id, row_number() OVER (PARTITION BY source ORDER BY n, path, doc_id) AS position FROM s""")
+def slide_sort_documents(spark, sf_dir):
+    from pyspark.sql import Window
+
+    name = F.when(F.col("doc_id") % 11 == 0, F.col("lang")).otherwise(F.col("doc_id").cast("string"))
+    df = t(spark, sf_dir, "documents").select("source", F.concat(F.lit("ppt/slides/slide"), name, F.lit(".xml")).alias("path"), "doc_id").withColumn("n", X.slide_number(F.col("path")))
+    return df.withColumn("position", F.row_number().over(Window.partitionBy("source").orderBy("n", "path", "doc_id")).cast("long"))
+
+
+@query(f"SELECT doc_id, CASE doc_id % {len(_HEADS)} {' '.join(f'WHEN {k} THEN {_sql_value(f)}' for k, (n, _, f) in enumerate(_HEADS) if n not in ('short', 'sqlite_short'))} END AS format FROM documents")
+def magic_documents(spark, sf_dir):
+    """Formats of documents by their first bytes, which are written before their texts."""
+    heads = F.array(*[F.lit(bytearray(d)) for _, d, _ in _HEADS])
+    plain = [k for k, (n, _, _) in enumerate(_HEADS) if n in ("short", "sqlite_short")]  # longer here, and no format's
+    k = (F.col("doc_id") % len(_HEADS)).cast("int")
+    head = F.when(k.isin(plain), F.lit(bytearray(b"?"))).otherwise(heads[k])
+    return t(spark, sf_dir, "documents").select("doc_id", D.magic_format(F.concat(head, F.encode(F.coalesce("text", F.lit("")), "UTF-8")), sniff=False).alias("format"))
+
+
+_REPORT = ["'| Report ' || doc_id || ' |  |'", "''", "'| lang | source |'", "'| ' || lang || ' | ' || source || ' |'", "''", "'text'", "'| a | b |'", "'| --- | --- |'", "'| 1 | ' || doc_id || ' |'"]
+
+
+@query("""SELECT doc_id, '## Report ' || doc_id || chr(10) || chr(10) || '| lang | source |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | ' || source || ' |' || chr(10) || chr(10) || 'text' || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || doc_id || ' |' AS text FROM documents""")
+def table_blocks_docs(spark, sf_dir):
+    """A page for each document, with a title in a table that lacks its separator, and a table that has one."""
+    lines = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(*map(F.expr, _REPORT))).alias("line_no", "line"))
+    fixed = R.table_blocks(lines, ["doc_id"], "line_no", "line")
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "part", "line")))
+    return fixed.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+
+
+_NESTED = "replace(replace(replace(text, '. ', '. {{box|{{a|{1}}} }} '), ', ', '<ref name=x>see {{b}}</ref>, '), chr(10), ' }} <ref/>' || chr(10)) || CASE WHEN doc_id % 3 = 0 THEN ' {{open ' || text ELSE '' END"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, regexp_replace({_NESTED}, '<ref[^>]*/>', '', 'g') AS s FROM documents),
+e AS (SELECT doc_id, unnest(range(len(e))) AS pos, unnest(e) AS x FROM (SELECT doc_id, regexp_extract_all(regexp_replace(s, '<ref[^>]*>[^<]*</ref>', '', 'g'), '[^{{}}]+|\{{\{{|\}}\}}|[{{}}]') AS e FROM s)),
+d AS (SELECT *, sum(CASE x WHEN '{{{{' THEN 1 WHEN '}}}}' THEN -1 ELSE 0 END) OVER w AS total FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+m AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY doc_id ORDER BY pos)) AS depth FROM d),
+b AS (SELECT *, lag(depth, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM m)
+SELECT d.doc_id, coalesce(k.text, '') AS text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(x, '' ORDER BY pos) AS text FROM b WHERE depth = 0 AND before = 0 AND x <> '{{{{' GROUP BY doc_id) k ON d.doc_id = k.doc_id""")
+def templates_stripped_docs(spark, sf_dir):
+    """Documents with templates, stray ends, an open template and notes written into them, and taken out again."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", X.strip_tag(F.expr(_NESTED.replace("chr(10)", "'\\n'")), "ref").alias("text"))
+    return R.without_nested(docs, ["doc_id"], "text")
+
+
+_JSON = """'{"id":' || event_id || ',"p":' || props || ',"list":[' || props || ',null,{"deep":[true,' || event_id || ',[[]],{"x":{"type":"' || event_type || '"}}]}],"e":{}}'"""
+
+
+@query(f"""SELECT event_id, j.fullkey AS path, CASE WHEN j.type IN ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') THEN lower(j.type) WHEN j.type = 'VARCHAR' THEN 'string' ELSE 'number' END AS kind,
+  CASE WHEN j.type NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(j.atom, '$') END AS value FROM (SELECT event_id, ({_JSON})::JSON AS js FROM events) e, json_tree(e.js) j""")
+def json_paths_events(spark, sf_dir):
+    """Every path and kind in a nested object made of an event."""
+    events = t(spark, sf_dir, "events").select("event_id", F.expr(_JSON).alias("js"))
+    return R.json_paths(events, ["event_id"], "js")
+
+
+@query(ORACLES["page_headings"])
+def lateral_page_headings(spark, sf_dir):
+    """Headings of web pages by the table function, in SQL."""
+    api.register_sql(spark)
+    api.spread(t(spark, sf_dir, "pages").select("page_id", "html")).createOrReplaceTempView("quill_pages")
+    return spark.sql("SELECT page_id, b.level, b.text FROM quill_pages, LATERAL blocks(encode(html, 'UTF-8'), 'html') AS b WHERE b.kind = 'heading'")
+
+
 # Fixtures
 
 
