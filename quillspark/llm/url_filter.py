@@ -26,33 +26,34 @@ MOST_LABELLED = 20_000
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-# A small labelled URL table; hosts of spam, gambling, pills, malware and tracking against ordinary ones.
+# Words of hosts to be blocked (gambling, pills, adult, pirated, malware, loans, tracking, spam) and of ordinary ones, what hosts end in, and paths.
 BLOCKED = """
-casino-win.example.com casino-royal.example.net best-casino.example.com free-bets.example.com bets-online.example.net
-sport-bets.example.com cheap-pills.example.com pills-shop.example.net buy-pills.example.com cheap-meds.example.com
-ads-track.example.com track-ads.example.net click-ads.example.com ads-click.example.net tracker.ads.example.com
-adult-cams.example.com hot-cams.example.net xxx-videos.example.com free-xxx.example.net porn-tube.example.com
-win-prize.example.com lottery-win.example.net jackpot-slots.example.com slots-poker.example.net poker-win.example.com
-malware-load.example.net free-crack.example.com crack-keys.example.net warez-load.example.com phish-login.example.net
-replica-watch.example.com loan-fast.example.net payday-loan.example.com viagra-buy.example.net spam-mail.example.com
-spam-farm.example.com link-farm.example.net adult-x.example.net adult-site.example.com farm-spam.example.net
+casino bet bets gambling poker slots jackpot roulette lottery prize win winner pills meds pharmacy viagra steroid xxx porn adult cams escort nude warez crack
+keygen torrent nulled malware phish trojan payday loans replica clicks ads track popup spam promo seo linkfarm bonus hack cheats
 """.split()
 ALLOWED = """
-news.example.com weather.example.net library.example.org museum.example.com university.example.net school.example.org
-blog.writer.example.com www.garden.example.net docs.python.example.org wiki.history.example.net recipes.example.com
-www.cooking.example.net travel.example.com maps.example.net science.example.org journal.example.com research.example.net
-health.example.org hospital.example.com www.music.example.net radio.example.com theatre.example.org sports.example.net
-football.example.com www.nature.example.org forest.example.net ocean.example.com city.example.org council.example.net
-www.books.example.com novels.example.net poetry.example.org letters.example.com archive.example.net history.example.org
-m.therin.example.com www.tionth.example.net blog.erthan.example.com inghat.example.net thanre.example.com
-m.thtion.example.com www.thhand.example.net ththou.example.com blog.tionhe.example.com www.enthes.example.net
+news weather library museum university school college academy blog garden docs wiki history recipes cooking travel maps science journal research health
+hospital clinic music radio theatre sports football nature forest ocean river city council government books novels poetry letters archive art design
+photo architecture energy climate farming bakery coffee market bank post railway airport hotel church charity chess cycling astronomy physics biology
 """.split()
-PATHS = ("/", "/en/123", "/de/4567.html", "/fr/89/", "/es/2048", "/index.html", "")
+ENDS = ("com", "net", "org", "info", "io", "co.uk", "de", "eu", "tv", "biz")
+BLOCKED_PATHS = ("/", "/win-now", "/bonus/free-spins", "/buy/cheap?aff=7", "/go.php", "/click/track/99", "/download/setup.exe", "/xxx/live", "/promo", "")
+ALLOWED_PATHS = ("/", "/en/123", "/articles/2021/05/spring.html", "/wiki/Main_Page", "/about", "/de/4567.html", "/docs/guide/", "/fr/89/", "/events/calendar", "/index.html", "")
+
+
+def _urls(words: list[str], paths: tuple[str, ...], n: int) -> list[str]:
+    """n URLs by rule: one word or two, joined in several ways, each host with a path."""
+    out = []
+    for k in range(n):
+        a, b, end = words[k % len(words)], words[(7 * k + 5) % len(words)], ENDS[(k // 3) % len(ENDS)]
+        host = (f"{a}-{b}.{end}", f"www.{a}{b}.{end}", f"{a}.{b}.{end}", f"my{a}.{end}", f"{a}{k % 90 + 10}.{end}", f"the-{a}.{end}", f"m.{b}-{a}.{end}")[k % 7]
+        out.append(f"http{'s' * (k % 2)}://{host}{paths[(k + k // 7) % len(paths)]}")
+    return list(dict.fromkeys(out))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The built-in table ``(url, label)``; label 1 is to be blocked."""
-    rows = [(f"http{'s' * (k % 2)}://{h}{PATHS[(k + j) % len(PATHS)]}", label) for hosts, label in ((BLOCKED, 1), (ALLOWED, 0)) for k, h in enumerate(hosts) for j in (0, 3)]
+    """The built-in table ``(url, label)`` of some hundred hosts; label 1 is to be blocked."""
+    rows = [(u, 1) for u in _urls(BLOCKED, BLOCKED_PATHS, 420)] + [(u, 0) for u in _urls(ALLOWED, ALLOWED_PATHS, 420)]
     values = ", ".join(f"('{u}', {y})" for u, y in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, label)")
 
