@@ -90,12 +90,15 @@ def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", n_b
     for k, r in enumerate(rows):
         np.add.at(x[k], r["b"], 1)
         x[k] /= len(r["b"])
-    y = np.array([r["y"] for r in rows], float)
+    met = np.flatnonzero(x.any(0))  # other buckets keep their weight of zero
+    x = np.ascontiguousarray(x[:, met])
+    y, w = np.array([r["y"] for r in rows], np.float32), np.zeros(len(met), np.float32)
     rate = 40.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-(x @ weights + intercept)))
-        weights -= rate * (x.T @ (p - y) / len(y) + l2 * weights / 100)
-        intercept -= 0.5 * (p - y).mean()
+    for _ in range(steps):  # in single precision: in double, the table would be converted at each step
+        p = 1 / (1 + np.exp(-(x @ w + np.float32(intercept))))
+        w -= np.float32(rate) * (x.T @ (p - y) / np.float32(len(y)) + np.float32(l2 / 100) * w)
+        intercept -= 0.5 * float((p - y).mean())
+    weights[met] = w
     return weights, float(intercept)
 
 
