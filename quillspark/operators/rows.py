@@ -60,6 +60,65 @@ def collapse_blanks(df: DataFrame, keys: Keys, order, is_blank: Column) -> DataF
     return marked.withColumn("__p", F.lag("__b", 1, False).over(_window(keys, order))).filter(~(F.col("__b") & F.col("__p"))).drop("__b", "__p")
 
 
+def composed(df: DataFrame, keys: Keys, order: str, step: str, chunk: int = 4096) -> DataFrame:
+    """``df`` with ``step`` replaced by the composition of all steps up to a row, in the order of ``order``.
+
+    A step is a transition of a finite automaton: an array that holds, for each state, the state after the row. Composition is
+    associative, so a document is cut into chunks of rows that are scanned side by side, each in as many rounds as twos
+    multiply to its length, over one window; the chunks' totals are scanned in the same way, and where each begins is joined back.
+    """
+    named = df.withColumn("__k", F.struct(*keys)).withColumn("__n", F.row_number().over(W.partitionBy("__k").orderBy(order)) - 1)
+    longest = (named.agg(F.max("__n")).first()[0] or 0) + 1
+    named = named.withColumn("__c", F.floor(F.col("__n") / chunk))
+    w = W.partitionBy("__k", "__c").orderBy("__n")
+    then = lambda first, second: F.transform(first, lambda s: F.col(second)[s])
+    shift = 1
+    while shift < min(longest, chunk):
+        named = named.withColumn("__before", F.lag(step, shift).over(w))
+        named = named.withColumn(step, F.when(F.col("__before").isNull(), F.col(step)).otherwise(then(F.col("__before"), step)))
+        shift *= 2
+    if longest > chunk:
+        totals = named.groupBy(F.col("__k").alias("__doc"), F.col("__c").alias("__part")).agg(F.max_by(step, "__n").alias("__total"))
+        totals = composed(totals, ["__doc"], "__part", "__total", chunk)
+        starts = totals.select(F.col("__doc").alias("__sk"), (F.col("__part") + 1).alias("__sc"), F.col("__total").alias("__start"))
+        named = named.join(starts, (F.col("__c") == F.col("__sc")) & F.col("__k").eqNullSafe(F.col("__sk")), "left")
+        named = named.withColumn(step, F.when(F.col("__start").isNull(), F.col(step)).otherwise(then(F.col("__start"), step)))
+    return named.select(*df.columns)
+
+
+def fenced(df: DataFrame, keys: Keys, order: str, line: str, name: str = "fenced", chunk: int = 4096) -> DataFrame:
+    """Lines with whether they are of a fenced code block, its fences included.
+
+    A fence is three or more backticks or tildes after up to three blanks. One that opens may have an info string (without
+    backticks, if it is of backticks); one that closes has none, is of the same character and no shorter. States are: outside, or
+    inside a fence of a character and a length, by the rank of the length among those of its document. Only lines with
+    fences are scanned; other lines have the state of the last fence before them.
+    """
+    mark = F.regexp_extract(line, "^ {0,3}(`{3,}|~{3,})([^\\n]*)$", 1)
+    info = F.regexp_extract(line, "^ {0,3}(`{3,}|~{3,})([^\\n]*)$", 2)
+    tilde = F.startswith(mark, F.lit("~"))
+    bare = info.rlike(r"^[ \t\r]*$")
+    marked = df.withColumns({"__mark": mark, "__fence": (mark != "") & (tilde | ~F.contains(info, F.lit("`"))), "__tilde": tilde.cast("int"), "__bare": bare})
+    fences = marked.filter("__fence").select(*keys, F.col(order).alias("__at"), F.length("__mark").alias("__long"), "__tilde", "__bare")
+    ranked = fences.withColumn("__rank", F.dense_rank().over(W.partitionBy(*keys).orderBy("__long")))
+    ranked = ranked.withColumn("__ranks", F.max("__rank").over(W.partitionBy(*keys)))
+    own = 1 + F.col("__tilde") * F.col("__ranks") + F.col("__rank") - 1
+    closes = lambda s: F.col("__bare") & (s > F.col("__tilde") * F.col("__ranks")) & (s <= own)  # noqa: E731  of its character, and no longer than it
+    ranked = ranked.withColumn("__step", F.transform(F.sequence(F.lit(0), 2 * F.col("__ranks")), lambda s: F.when(s == 0, own).when(closes(s), 0).otherwise(s).cast("int")))
+    states = composed(ranked, keys, "__at", "__step", chunk).select(F.struct(*keys).alias("__sk"), "__at", F.col("__step")[0].alias("__state"))
+    joined = marked.withColumn("__k", F.struct(*keys)).join(states, (F.col(order) == F.col("__at")) & F.col("__k").eqNullSafe(F.col("__sk")), "left")
+    w = W.partitionBy("__k").orderBy(order)
+    joined = joined.withColumn("__after", F.coalesce(F.last("__state", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
+    joined = joined.withColumn("__before", F.lag("__after", 1, 0).over(w))
+    return joined.select(*df.columns, ((F.col("__after") > 0) | (F.col("__before") > 0)).alias(name))
+
+
+def chapters(df: DataFrame, keys: Keys, order: str, line: str, name: str = "chapter") -> DataFrame:
+    """Lines with the number of first-level headings up to them; what looks like one inside a fence is none."""
+    told = fenced(df, keys, order, line, "__fenced")
+    return sections(told, keys, [order], F.col(line).rlike(r"^ {0,3}#(?:[ \t]|$)") & ~F.col("__fenced"), name).drop("__fenced")
+
+
 def without_nested(df: DataFrame, keys: Keys, text: str, opening: str = "{", closing: str = "}") -> DataFrame:
     """``keys`` and ``text`` without spans between two of ``opening`` and two of ``closing``, however they are nested.
 

@@ -658,6 +658,24 @@ def magic_documents(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", D.magic_format(F.concat(head, F.encode(F.coalesce("text", F.lit("")), "UTF-8")), sniff=False).alias("format"))
 
 
+_FENCED = """CASE WHEN line_no % 11 = 2 THEN '```' WHEN line_no % 11 = 5 THEN '  ````py' WHEN line_no % 13 = 4 THEN '~~~' WHEN line_no % 17 = 6 THEN '`````' WHEN line_no % 13 = 9 THEN '``` a`b' WHEN line_no % 19 = 8 THEN '~~~~ ~' WHEN line_no % 3 = 1 THEN '# ' || line ELSE line END"""
+
+
+@query(f"""WITH RECURSIVE {_DOC_LINES}, f AS (SELECT doc_id, line_no, {_FENCED} AS line FROM lines),
+p AS (SELECT *, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})([^\n]*)$', 1) AS mark, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})([^\n]*)$', 2) AS info FROM f),
+m AS (SELECT doc_id, line_no, line, CASE WHEN starts_with(mark, '~') OR NOT contains(info, '`') THEN mark ELSE '' END AS mark, trim(info) = '' AS bare FROM p),
+s AS (SELECT doc_id, -1::BIGINT AS line_no, '' AS state, false AS inside FROM documents
+  UNION ALL SELECT m.doc_id, m.line_no, CASE WHEN s.state = '' THEN m.mark WHEN m.bare AND m.mark <> '' AND starts_with(m.mark, s.state) THEN '' ELSE s.state END, s.state <> '' OR m.mark <> ''
+  FROM s JOIN m ON m.doc_id = s.doc_id AND m.line_no = s.line_no + 1)
+SELECT m.doc_id, m.line_no, s.inside AS fenced, sum((NOT s.inside AND regexp_matches(m.line, '^ {{0,3}}#([ \t]|$)'))::INT) OVER (PARTITION BY m.doc_id ORDER BY m.line_no)::BIGINT AS chapter FROM m JOIN s ON m.doc_id = s.doc_id AND m.line_no = s.line_no""")
+def fenced_chapters_docs(spark, sf_dir):
+    """Lines with fences and headings written in: what is inside a fence, and the chapter that each is in."""
+    df = _doc_lines(spark, sf_dir).withColumn("line_no", F.col("line_no").cast("long")).withColumn("line", F.expr(_FENCED))
+    told = R.fenced(df, ["doc_id"], "line_no", "line")
+    start = F.col("line").rlike(r"^ {0,3}#(?:[ \t]|$)") & ~F.col("fenced")
+    return R.sections(told, ["doc_id"], ["line_no"], start, "chapter").select("doc_id", "line_no", "fenced", "chapter")
+
+
 _REPORT = ["'| Report ' || doc_id || ' |  |'", "''", "'| lang | source |'", "'| ' || lang || ' | ' || source || ' |'", "''", "'text'", "'| a | b |'", "'| --- | --- |'", "'| 1 | ' || doc_id || ' |'"]
 
 

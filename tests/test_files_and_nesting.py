@@ -170,3 +170,39 @@ def test_latex_escapes_of_texts_with_the_stand_in(spark):
     texts = ["".join(rng.choice("\\{}~^&%$#_ab\ue000é") for _ in range(30)) for _ in range(300)] + ["", "plain", "\ue000", "\\", "\\{}"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.latex_escape(F.col("t")).alias("x"))
     assert all(r["x"] == "".join(table.get(c, c) for c in r["t"]) for r in df.collect())
+
+
+def fenced_by_scan(lines):
+    import re
+
+    out, state = [], ""
+    for line in lines:
+        m = re.fullmatch("( {0,3})(`{3,}|~{3,})(.*)", line)
+        mark = m[2] if m and (m[2][0] == "~" or "`" not in m[3]) else ""
+        out.append(bool(state or mark))
+        if not state:
+            state = mark
+        elif mark and not m[3].strip(" \t\r") and mark[0] == state[0] and len(mark) >= len(state):
+            state = ""
+    return out
+
+
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_fences_against_a_scan(spark, chunk):
+    """Also where a document is cut into many chunks, and these into chunks again."""
+    rng = random.Random(10)
+    kinds = ["```", "````", "`````", "~~~", "~~~~", "``` py", "~~~ ~ x", "``` a`b", "    ```", "  ~~~", "# head", "text", "", "``", "```  \t"]
+    texts = {k: [rng.choice(kinds) for _ in range(n)] for k, n in enumerate([0, 1, 2, 5, 30, 60, 500, 80])}
+    rows = [(k, n, line) for k, lines in texts.items() for n, line in enumerate(lines)] + [(None, n, line) for n, line in enumerate(texts[4])]
+    df = spark.createDataFrame(rows, "doc int, n int, line string").repartition(3)
+    found = {}
+    for r in R.fenced(df, ["doc"], "n", "line", chunk=chunk).collect():
+        found.setdefault(r["doc"], {})[r["n"]] = r["fenced"]
+    assert {k: [v[n] for n in range(len(v))] for k, v in found.items()} == {k: fenced_by_scan(x) for k, x in [*texts.items(), (None, texts[4])] if x}
+    assert R.fenced(df.limit(0), ["doc"], "n", "line").collect() == []
+
+
+def test_a_heading_in_a_fence_starts_no_chapter(spark):
+    lines = ["# one", "```", "# not", "```", "#two", "# three", "~~~~", "# no", "~~~", "# no", "~~~~", " # four", "    # code"]
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, line string").withColumn("doc", F.lit(1))
+    assert [r["chapter"] for r in R.chapters(df, ["doc"], "n", "line").orderBy("n").collect()] == [1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2, 3, 3]
