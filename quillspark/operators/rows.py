@@ -139,6 +139,30 @@ def without_nested(df: DataFrame, keys: Keys, text: str, opening: str = "{", clo
     return rows.groupBy(*keys).agg(F.when(F.count("__event") > 0, whole).alias(text))
 
 
+def markup_texts(df: DataFrame, keys: Keys, markup: str, names: Sequence[str], attribute: str = "href") -> DataFrame:
+    """``keys, pos, path, attribute, text`` of every text in markup that is not blank: ``path`` are the tags around it, from outside in.
+
+    A markup becomes its tags and texts, in order. Only tags of ``names`` count, which have end tags: depth is the running sum of
+    starts and ends, never below zero, and the tag open at a level is the last one that started there. ``attribute`` is that of the
+    innermost tag of the path, as written between quotes, and empty where it has none. Comments, scripts and styles are left out.
+    """
+    bare = F.regexp_replace(markup, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    rows = df.select(*keys, F.posexplode(F.regexp_extract_all(bare, F.lit("<[^>]*>|[^<]+"), F.lit(0))).alias("pos", "__e"))
+    name = X.ascii_lower(F.regexp_extract("__e", "^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    rows = rows.withColumn("__name", name).withColumn("__own", F.col("__name").isin(*names))
+    rows = rows.withColumn("__move", F.when(F.col("__own") & F.startswith("__e", F.lit("</")), -1).when(F.col("__own") & ~F.endswith("__e", F.lit("/>")), 1).otherwise(0))
+    within = _up_to_here(keys, ["pos"])
+    rows = rows.filter((F.col("__move") != 0) | ~F.startswith("__e", F.lit("<"))).withColumn("__sum", F.sum("__move").over(within))
+    rows = rows.withColumn("__depth", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(within)))
+    deepest = rows.agg(F.max("__depth")).first()[0] or 0
+    found = F.regexp_extract("__e", rf"(?is)\b{attribute}\s*=\s*[\"']([^\"']*)", 1)
+    opened = F.struct(F.col("__name").alias("name"), found.alias("value"))
+    levels = [F.last(F.when((F.col("__move") == 1) & (F.col("__depth") == k), opened), ignorenulls=True).over(within) for k in range(1, deepest + 1)]
+    rows = rows.withColumn("__open", F.slice(F.array(*levels), F.lit(1), F.col("__depth").cast("int")) if levels else F.array().cast("array<struct<name:string,value:string>>"))
+    texts = rows.filter((F.col("__move") == 0) & (X.trim_white(F.col("__e")) != ""))
+    return texts.select(*keys, "pos", F.array_join(F.transform("__open", lambda x: x["name"]), "/").alias("path"), F.when(F.size("__open") > 0, F.element_at("__open", -1)["value"]).alias("attribute"), F.col("__e").alias("text"))
+
+
 def json_paths(df: DataFrame, keys: Keys, json: str) -> DataFrame:
     """``keys, path, kind, value`` of every value in a JSON text, at any depth: each round opens the objects and arrays of the one before.
 

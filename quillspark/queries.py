@@ -703,6 +703,19 @@ def templates_stripped_docs(spark, sf_dir):
     return R.without_nested(docs, ["doc_id"], "text")
 
 
+_TAGS = ("html", "head", "title", "body", "nav", "ul", "li", "a", "article", "footer", "div", "h1")
+
+
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS href, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS text FROM pages)
+SELECT page_id, 'a' AS tag, href, text FROM l WHERE trim(text) <> ''
+UNION ALL SELECT page_id, 'title', '', regexp_extract(html, '<title>([^<]*)</title>', 1) FROM pages UNION ALL SELECT page_id, 'h1', '', unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) FROM pages""")
+def page_texts_by_path(spark, sf_dir):
+    """Links of lists, titles and first headings of web pages, chosen by the tags around them."""
+    found = R.markup_texts(t(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"], "html", _TAGS)
+    chosen = found.filter(F.col("path").rlike("/ul/li/a$|^html/head/title$|/h1$"))
+    return chosen.select("page_id", F.substring_index("path", "/", -1).alias("tag"), F.col("attribute").alias("href"), "text")
+
+
 _JSON = """'{"id":' || event_id || ',"p":' || props || ',"list":[' || props || ',null,{"deep":[true,' || event_id || ',[[]],{"x":{"type":"' || event_type || '"}}]}],"e":{}}'"""
 
 

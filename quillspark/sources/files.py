@@ -7,7 +7,8 @@ their sizes ask for, from its directory alone; a tar file has no directory and i
 Writing takes ``output_name`` and ``output`` (text) or ``output_data`` (bytes) and is done in two phases: each attempt of a task
 writes to a folder of its own inside a staging folder, and when all tasks have ended well the driver moves the files of
 the attempts that count into place. A job that fails leaves no file; a name that two rows have fails the job before anything
-is moved. A file is there whole or not at all. Folders are those that driver and executors share, as paths or URIs.
+is moved. A file is there whole or not at all. An attempt that still runs when its job fails may leave its staging folder, which
+reading passes over. Folders are those that driver and executors share, as paths or URIs.
 """
 
 from __future__ import annotations

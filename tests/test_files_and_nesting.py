@@ -206,3 +206,15 @@ def test_a_heading_in_a_fence_starts_no_chapter(spark):
     lines = ["# one", "```", "# not", "```", "#two", "# three", "~~~~", "# no", "~~~", "# no", "~~~~", " # four", "    # code"]
     df = spark.createDataFrame(list(enumerate(lines)), "n int, line string").withColumn("doc", F.lit(1))
     assert [r["chapter"] for r in R.chapters(df, ["doc"], "n", "line").orderBy("n").collect()] == [1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2, 3, 3]
+
+
+def test_texts_of_markup_by_the_tags_around_them(spark):
+    html = """<HTML><body class=x><!-- <td>no</td> --><script>if (a < b) {"<td>"}</script><table id="t1"><tr><td data-id='1'>a<br>b</td><td> </td></tr><tr><td data-id="2"><b>c</b> &amp;</td></tr></table></body></HTML></td>end<td data-id=3>open"""
+    df = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "bare")], "id int, m string").repartition(2)
+    out = R.markup_texts(df, ["id"], "m", ["html", "body", "table", "tr", "td"], "data-id")
+    found = {tuple(r) for r in out.drop("pos").collect()}
+    cell = "html/body/table/tr/td"
+    assert found == {(1, cell, "1", "a"), (1, cell, "1", "b"), (1, cell, "2", "c"), (1, cell, "2", " &amp;"), (1, "", None, "end"), (1, "td", "", "open"), (4, "", None, "bare")}
+    assert R.markup_texts(df.filter("id = 2"), ["id"], "m", ["td"]).collect() == []
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
