@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from quillspark.functions import text as X
 from quillspark.operators import rows as R
 from quillspark.plans import api
 from quillspark.plans.registry import EXTENSIONS
-from quillspark.sinks.files import concatenated_parts
+from quillspark.sinks.files import concatenated_parts, shared_folder, write_csv
+from quillspark.sources.records import csv_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -735,6 +737,15 @@ def lateral_page_headings(spark, sf_dir):
     return spark.sql("SELECT page_id, b.level, b.text FROM quill_pages, LATERAL blocks(encode(html, 'UTF-8'), 'html') AS b WHERE b.kind = 'heading'")
 
 
+@query("SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, length(coalesce(text, ''))::INT AS n_chars, md5(coalesce(text, '')) AS digest FROM documents")
+def csv_records_documents(spark, sf_dir):
+    """Documents written as quoted CSV, with the line ends and quotes in their texts, and read again by byte ranges."""
+    folder = f"{shared_folder(spark)}/quill-csv-{uuid.uuid4().hex}"
+    write_csv(t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), folder)
+    cell = lambda name: F.element_at("cells", F.array_position("header", name).cast("int"))
+    return csv_rows(spark, folder).select(cell("doc_id").cast("long").alias("doc_id"), cell("lang").alias("lang"), cell("source").alias("source"), F.length(cell("text")).alias("n_chars"), F.md5(cell("text")).alias("digest"))
+
+
 # Fixtures
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,6 +55,27 @@ def write_concatenated(df: DataFrame, folder: str, order: str, text: str = "outp
     ordered.select(F.concat(rest, F.coalesce(text, F.lit(""))).alias("value")).write.text(folder)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where executors and driver may leave files for each other: ``spark.checkpoint.dir``, which has to be set on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = tempfile.mkdtemp(prefix="quill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def write_csv(df: DataFrame, folder: str, delimiter: str = ",", header: bool = True) -> None:
+    """Rows as files of quoted fields, each with its header, as ``csv_records`` reads them; nulls are empty."""
+    fields = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]
+    names = delimiter.join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    line = F.concat_ws(delimiter, *fields)
+    # The first row of a task brings its file's header.
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    df.select((F.when(first, F.concat(F.lit(names + "\n"), line)).otherwise(line) if header else line).alias("value")).write.text(folder)
+
+
 def output_names(df: DataFrame, path: str = "path", ext: str = "ext") -> DataFrame:
     """``df`` with ``output_name``: the file name's stem, or "output", and the extension."""
     name = F.regexp_extract(path, r"([^/]*)/*\z", 1)
