@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark import fixtures
 from quillspark.functions import detect as D
 from quillspark.functions import text as X
+from quillspark.operators import nodes as N
 from quillspark.operators import rows as R
 from quillspark.plans import api
 from quillspark.plans.registry import EXTENSIONS
@@ -737,6 +738,27 @@ def lateral_page_headings(spark, sf_dir):
     return spark.sql("SELECT page_id, b.level, b.text FROM quill_pages, LATERAL blocks(encode(html, 'UTF-8'), 'html') AS b WHERE b.kind = 'heading'")
 
 
+_MARKED = """CASE line_no % 4 WHEN 0 THEN '## **' || words || '** *x ~~y ' || line_no || '~~* `c*d` [l **m** ' || lang || '](u/' || doc_id || ') ![no](i.png)' WHEN 1 THEN '  - *a **' || words || '* b** ~~' || words || '~~ 2 * 3'
+WHEN 2 THEN '12. ***' || words || '*** [open **' || words || '**' ELSE words END"""
+_WORDS = "translate(line, '*`[]~!#\\\\<>-+_{{}}&%$^|' || chr(13), '')"
+
+
+@query(f"""WITH {_DOC_LINES}, w AS (SELECT l.doc_id, line_no, lang, trim({_WORDS.format()}, ' ' || chr(9)) AS words FROM lines l JOIN documents d ON l.doc_id = d.doc_id), f AS (SELECT * FROM w WHERE words <> '')
+SELECT doc_id, line_no, CASE line_no % 4 WHEN 0 THEN 'heading' ELSE 'item' END AS kind, CASE line_no % 4 WHEN 2 THEN 1 ELSE 2 END::INT AS level,
+  CASE line_no % 4 WHEN 0 THEN words || ' x y ' || line_no || ' c*d l m ' || lang || ' ' WHEN 1 THEN '*a **' || words || '* b** ' || words || ' 2 * 3' ELSE words || ' [open ' || words END AS text,
+  CASE line_no % 4 WHEN 0 THEN '\\textbf{{' || words || '}} \\textit{{x \\sout{{y ' || line_no || '}}}} \\texttt{{c*d}} \\href{{u/' || doc_id || '}}{{l \\textbf{{m}} ' || lang || '}} ' WHEN 1 THEN '*a **' || words || '* b** \\sout{{' || words || '}} 2 * 3'
+    ELSE '\\textbf{{\\textit{{' || words || '}}}} [open \\textbf{{' || words || '}}' END AS latex
+FROM f WHERE line_no % 4 < 3""")
+def heading_and_item_texts(spark, sf_dir):
+    """Headings and list items of documents, with emphasis, links, code and crossing marks written in: their text and their LaTeX."""
+    lines = _doc_lines(spark, sf_dir).join(t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    words = lines.withColumn("line_no", F.col("line_no").cast("long")).withColumn("words", F.expr("trim(BOTH ' \t' FROM translate(line, '*`[]~!#\\\\<>-+_{}&%$^|\\r', ''))"))
+    words = words.filter("words <> ''")
+    told = N.headings_and_items(words.select("doc_id", "line_no", F.expr(_MARKED).alias("line")), "line").select("doc_id", "line_no", "kind", "level", "content")
+    keys = ["doc_id", "line_no", "kind", "level"]
+    return N.inline_rendered(told, keys, "content", {"text": N.PLAIN, "latex": N.LATEX}, {"latex": X.latex_escape})
+
+
 @query("SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, length(coalesce(text, ''))::INT AS n_chars, md5(coalesce(text, '')) AS digest FROM documents")
 def csv_records_documents(spark, sf_dir):
     """Documents written as quoted CSV, with the line ends and quotes in their texts, and read again by byte ranges."""
