@@ -1,8 +1,9 @@
 """A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix, by DataFrame operations only.
 
-The input is cut into source chunks (a scan partition, and at most ``2**chunk_bits`` rows of it). How many rows of each
+The input is cut into ranges of a scan partition (at most ``2**chunk_bits`` rows each), and ranges are dealt out to source chunks
+by a hash, so that there are at most ``MOST_CHUNKS``, however many partitions a scan has. How many rows of each
 chunk go to each shard is drawn from the multivariate hypergeometric law, given the exact shard sizes: that matrix has
-one row a chunk and is all that the driver sees; it is dealt out as a small file in the shared folder. Each chunk is permuted on its own and dealt out by its row of the
+one row a chunk and is all that the driver sees, whatever the input's size; it is dealt out as a small file in the shared folder. Each chunk is permuted on its own and dealt out by its row of the
 matrix; rows are exchanged; each shard is permuted again, in ranges of a random key, so that no task holds a shard.
 
 Law: ``rows`` (shard counts are at most one apart). Sizes are UTF-8 bytes of the text plus 1.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from quillspark.llm._common import materialize, new_path, whole_text, write_bytes
 
 CHUNK_BITS = 18
-#: Chunks are made larger beyond this many, so that the matrix stays within the driver's memory.
-MOST_CHUNKS = 65_536
+#: Rows of the matrix; 10 billion documents make chunks of some 600,000 narrow rows, which a window sorts and spills.
+MOST_CHUNKS = 16_384
 RANGE_ROWS = 1 << 18
 
 
@@ -70,15 +71,13 @@ def matrix(counts: list[int], shards: list[int], seed: int) -> list[list[int]]:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", chunk_bits: int = CHUNK_BITS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", chunk_bits: int = CHUNK_BITS, most_chunks: int = MOST_CHUNKS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` for each row."""
     spark, text = docs.sparkSession, whole_text(text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("at"))
     rows = materialize(slim, "sharding")  # from here on a row's chunk and place are fixed
     total = rows.count()
-    while total >> chunk_bits > MOST_CHUNKS:
-        chunk_bits += 1
-    rows = rows.withColumn("chunk", F.shiftright("at", chunk_bits))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.shiftright("at", chunk_bits)), F.lit(most_chunks)))
     chunks = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).orderBy("chunk").collect()
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     lines = (json.dumps({"chunk": c["chunk"], "ends": list(accumulate(row))}) for c, row in zip(chunks, matrix([c["n"] for c in chunks], sizes, seed), strict=True))

@@ -639,6 +639,21 @@ def test_sharding(docs, rows, empty):
     assert collections.Counter(r["shard"] for r in shard(docs.limit(3), 8).collect()).total() == 3
 
 
+def test_sharding_matrix_is_bounded_however_many_partitions_there_are(spark, monkeypatch):
+    from quillspark.llm import sharding
+
+    seen, drawn = [], sharding.matrix
+    monkeypatch.setattr(sharding, "matrix", lambda counts, shards, seed: seen.append(counts) or drawn(counts, shards, seed))
+    wide = spark.range(3000, numPartitions=64).selectExpr("id AS doc_id", "repeat('x', int(id % 7)) AS text")
+    found = sharding.shard(wide, 8, chunk_bits=3, most_chunks=5, range_rows=50).collect()
+    assert len(seen[0]) == 5 and sum(seen[0]) == 3000 and min(seen[0]) > 300
+    assert sorted(r["doc_id"] for r in found) == list(range(3000))
+    for s in range(8):
+        assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(375))
+    # Rows of one partition, which lie side by side, are spread over all shards.
+    assert {r["shard"] for r in found if r["doc_id"] < 46} == set(range(8))
+
+
 def test_sharding_matrix_follows_its_law():
     import numpy as np
 
