@@ -10,7 +10,7 @@ import io
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -75,6 +75,12 @@ def magic_format(data: Column, sniff: bool = True) -> Column:
     return F.when(F.length(data) >= 4, out)
 
 
+def magic_rules(spark: SparkSession) -> DataFrame:
+    """The formats by first bytes as a table of rules for ``first_prefix``, without archives, which take more than their first bytes."""
+    rows = [(bytearray(a[0]), 9, bytearray(a[1]), k, f) if isinstance(a, tuple) else (bytearray(a), None, None, k, f) for k, (a, f) in enumerate(MAGIC)]
+    return spark.createDataFrame(rows, "prefix binary, more_at int, more binary, priority int, value string")
+
+
 def detect(path: Column, data: Column) -> Column:
     """By name first, else by content."""
     known = extension_format(path)

@@ -297,6 +297,31 @@ def first_match(left: DataFrame, right: DataFrame, on: str, order: str, how: str
     return left.join(first, on, how).select(*left.columns, *[F.col(f"__r.{c}").alias(c) for c in columns])
 
 
+#: Lengths of prefixes in a table of rules, each of which makes a row's lookups one more.
+MOST_LENGTHS = 64
+
+
+def first_prefix(df: DataFrame, keys: Keys, data: str, rules: DataFrame, name: str = "format", least: int = 0) -> DataFrame:
+    """``keys`` and ``name``: of the rules that bytes begin with, the value of the one with the least ``priority``; null where there is none.
+
+    ``rules`` has ``prefix, more_at, more, priority, value``; with ``more``, these bytes have to be at ``more_at`` as well. A row is looked up
+    once for each length of a prefix that occurs (``MOST_LENGTHS`` at most), by equality, so rules may be as many as they like; only the
+    first bytes of a row are sent. Data with fewer than ``least`` bytes has no value. ``keys`` tell rows apart.
+    """
+    lengths = [r[0] for r in rules.select(F.length("prefix")).distinct().limit(MOST_LENGTHS + 1).collect() if r[0]]
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"prefixes of more than {MOST_LENGTHS} lengths")
+    reach = rules.agg(F.max(F.greatest(F.length("prefix"), F.coalesce(F.col("more_at") + F.length("more") - 1, F.lit(0))))).first()[0] or 0
+    heads = df.select(F.struct(*keys).alias("__k"), F.substring(F.when(F.length(data) >= least, F.col(data)), 1, int(reach)).alias("__head"))
+    fitting = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= F.length("__head"))
+    each = heads.select("__k", "__head", F.explode_outer(fitting).alias("__n")).withColumn("__prefix", F.when(F.col("__n").isNotNull(), F.substr("__head", F.lit(1), F.coalesce("__n", F.lit(0)))))
+    told = rules.select(F.col("prefix").alias("__rule"), F.col("more_at").alias("__at"), F.col("more").alias("__more"), F.col("priority").alias("__first"), F.col("value").alias("__value"))
+    joined = each.join(told, F.col("__prefix") == F.col("__rule"), "left")
+    fits = F.col("__more").isNull() | (F.substr("__head", F.coalesce("__at", F.lit(1)), F.coalesce(F.length("__more"), F.lit(0))) == F.col("__more"))
+    best = joined.groupBy("__k").agg(F.min_by(F.when(fits, F.col("__value")), F.when(fits, F.col("__first"))).alias(name))
+    return best.select(*[F.col("__k")[k].alias(k) for k in keys], name)
+
+
 def key_values(df: DataFrame, keys: Keys, names: Sequence[str]) -> DataFrame:
     """Columns as rows ``key, value, position``, as scalars of an object are shown."""
     pairs = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(n).alias("key"), X.primitive_label(F.col(n)).alias("value")) for k, n in enumerate(names, 1)])

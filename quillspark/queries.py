@@ -661,6 +661,21 @@ def magic_documents(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", D.magic_format(F.concat(head, F.encode(F.coalesce("text", F.lit("")), "UTF-8")), sniff=False).alias("format"))
 
 
+def _headed(id: str) -> str:
+    return f"CASE {id} % {len(_HEADS)} {' '.join(f'WHEN {k} THEN {_sql_value(f)}' for k, (n, _, f) in enumerate(_HEADS) if n not in ('short', 'sqlite_short'))} END"
+
+
+@query(f"SELECT 'documents' AS source, doc_id AS id, {_headed('doc_id')} AS format FROM documents UNION ALL SELECT 'pages', page_id, {_headed('page_id')} FROM pages")
+def magic_rules_texts(spark, sf_dir):
+    """Formats of documents and pages, with first bytes written before them, by the table of rules."""
+    plain = [k for k, (n, _, _) in enumerate(_HEADS) if n in ("short", "sqlite_short")]
+    heads = F.array(*[F.lit(bytearray(b"?" if k in plain else d)) for k, (_, d, _) in enumerate(_HEADS)])
+    texts = t(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
+    texts = texts.unionByName(t(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text")))
+    data = F.concat(heads[(F.col("id") % len(_HEADS)).cast("int")], F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return R.first_prefix(texts.select("source", "id", data.alias("data")), ["source", "id"], "data", D.magic_rules(spark), least=4)
+
+
 _FENCED = """CASE WHEN line_no % 11 = 2 THEN '```' WHEN line_no % 11 = 5 THEN '  ````py' WHEN line_no % 13 = 4 THEN '~~~' WHEN line_no % 17 = 6 THEN '`````' WHEN line_no % 13 = 9 THEN '``` a`b' WHEN line_no % 19 = 8 THEN '~~~~ ~' WHEN line_no % 3 = 1 THEN '# ' || line ELSE line END"""
 
 

@@ -218,3 +218,23 @@ def test_texts_of_markup_by_the_tags_around_them(spark):
     assert R.markup_texts(df.filter("id = 2"), ["id"], "m", ["td"]).collect() == []
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_first_prefix_against_a_scan(spark):
+    rng = random.Random(12)
+    rules = [(bytes(rng.choices(b"ab", k=rng.randrange(2, 6))), *((at, bytes(rng.choices(b"ab", k=2))) if (at := rng.choice([None, 3, 7])) else (None, None)), k, f"r{k}") for k in range(40)]
+    data = [bytes(rng.choices(b"ab", k=rng.randrange(0, 12))) for _ in range(300)] + [None, b"", b"\x00\xff"]
+    table = spark.createDataFrame([(bytearray(p), at, None if m is None else bytearray(m), k, v) for p, at, m, k, v in rules], "prefix binary, more_at int, more binary, priority int, value string")
+    df = spark.createDataFrame([(k, None if d is None else bytearray(d)) for k, d in enumerate(data)], "value int, d binary").repartition(3)
+
+    def scan(d):
+        fits = (v for p, at, m, _, v in rules if d.startswith(p) and (at is None or d[at - 1 : at - 1 + len(m)] == m))
+        return next(fits, None) if d is not None and len(d) >= 2 else None
+
+    found = {r["value"]: r["format"] for r in R.first_prefix(df, ["value"], "d", table, least=2).collect()}
+    assert found == {k: scan(d) for k, d in enumerate(data)} and len(set(found.values())) > 15
+    assert all(r["format"] is None for r in R.first_prefix(df, ["value"], "d", table.limit(0)).collect())
+    assert R.first_prefix(df.limit(0), ["value"], "d", table).collect() == []
+    many = spark.range(1, 80).selectExpr("encode(repeat('a', int(id)), 'UTF-8') AS prefix", "int(null) AS more_at", "binary(null) AS more", "id AS priority", "'x' AS value")
+    with pytest.raises(ValueError):
+        R.first_prefix(df, ["value"], "d", many)
