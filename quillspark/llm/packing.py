@@ -4,10 +4,10 @@ Each document is its token ids and one end id. Only longer ones are cut, into pi
 the first may be shorter. The lengths of the pieces form a histogram of at most ``capacity`` entries, which is all that
 the driver sees. Over it, a configuration is a multiset of lengths that fits into one sequence; the program that covers
 the histogram with the fewest configurations is solved by multiplicative weights, whose oracle prices a configuration
-by dynamic programming for the knapsack. The rounds form a fractional mix of configurations, which is rounded down. What
-the mix leaves is filled by configurations that are each used up at once, and the few pieces that are left then (their
-number depends on the number of configurations, not on the input) are placed best-fit, longest first. Where using
-configurations up from the start takes fewer sequences than the mix, that plan is taken.
+by dynamic programming for the knapsack. The rounds form a fractional mix of configurations; a bound from dual prices
+tells how far it can be from the optimum, and prices are learned anew where that is too far. The mix is rounded down,
+what that leaves is mixed and rounded again, and the few pieces that are left at last (their number depends on the
+number of configurations, not on the input) are placed best-fit, longest first. There is no other plan.
 
 The plan has ranges: "pieces of length l with ranks from a to b go to sequences from s on, at offset o". Pieces get
 their ranks within a length by counts per chunk of the written piece table, so that a very common length is dealt to
@@ -33,14 +33,16 @@ from quillspark.llm._common import hold, materialize, tune, whole_text
 
 CAPACITY = 1024
 END_ID = 2
-#: At least the number of lengths: each round but the last uses one up.
-ROUNDS = 1500
 #: Rounds of the fractional mix: most, and the share of a length that one of few lengths gives in a round.
 MIX_ROUNDS, LEAST_SHARE = 2500, 0.005
+#: Rounds in which prices are learned, and how far above the dual bound a mix may be without that.
+LEARNING_ROUNDS, GAP = 400, 5e-4
+#: Steps of the finest closed prices of the dual bound.
+DUAL_STEPS = 100
 #: Configurations that are taken of one table of prices, and the share of the best value that they have at least.
 SEVERAL, NEARLY = 16, 0.999
-#: Configurations that are used fewer times than this are rounded down to none.
-ROUNDED_OFF = 2
+#: The share of a mix that has to be whole for it to be rounded once more.
+LEAST_WHOLE = 0.02
 
 
 # Tokens
@@ -151,20 +153,69 @@ def price(values: np.ndarray, most: np.ndarray, capacity: int, several: int = 1)
     return out
 
 
-def mix(counts: np.ndarray, capacity: int, rounds: int = MIX_ROUNDS, step: float = 0.03, convex: float = 0.05) -> dict[tuple[tuple[int, int], ...], float]:
-    """A fractional solution: configurations and how often each is used; no length is covered beyond its count.
+def dual_bound(counts: np.ndarray, capacity: int) -> float:
+    """Sequences that no plan undercuts, by prices known in closed form: no configuration is worth more than 1 at any of them.
 
-    Multiplicative weights: a length's price is its weight times slightly more than proportion to its length. Each round
-    uses the configurations of the largest prices, each for a small share of its scarcest length, so that a configuration comes
+    These are proportion to the length; 1, the proportion or a half, and 0 for long, middle and short pieces; and the
+    proportion stepped down to multiples of 1/k.
+    """
+    at = np.arange(len(counts))
+    even = at / capacity
+    best = float(counts @ even)
+    for short in range(1, capacity // 2 + 1):
+        middle = [even] if 3 * short <= capacity else [even, np.full(len(counts), 0.5)]  # beyond a third two fit, not three
+        best = max(best, *(float(counts @ np.where(at > capacity - short, 1.0, np.where(at < short, 0.0, m))) for m in middle))
+    for k in range(1, DUAL_STEPS + 1):
+        best = max(best, float(counts @ np.where((k + 1) * at % capacity == 0, even, (k + 1) * at // capacity / k)))
+    return best
+
+
+def learned(counts: np.ndarray, capacity: int, rounds: int = LEARNING_ROUNDS, first: float = 0.1, last: float = 0.001) -> tuple[list[np.ndarray], float]:
+    """Prices by multiplicative weights, the best of all rounds and the mean of the second half, and the better one's bound.
+
+    Each round prices by the weights, and a length's weight falls by how much more than the mean of all it is covered by
+    the configurations of the largest prices; the steps shrink. Prices divided by the value of the best configuration
+    are a solution of the dual program, so their worth of all pieces is a bound.
+    """
+    some = counts > 0
+    all_of = np.where(some, capacity, 0)
+    y = np.where(some, np.arange(len(counts)) / capacity, 0.0)
+    best, bound, mean = y, 0.0, np.zeros(len(counts))
+    for k in range(rounds):
+        configs = price(y, all_of, capacity, SEVERAL)
+        y = y / sum(y[length] * n for length, n in configs[0].items())
+        worth = float(counts @ y)
+        if worth > bound:
+            best, bound = y, worth
+        if 2 * k >= rounds:
+            mean += y
+        covered = np.zeros(len(counts))
+        for config in configs:
+            times = min(counts[length] / n for length, n in config.items())
+            for length, n in config.items():
+                covered[length] += n * times / counts[length]
+        y = y * np.exp(-first * (last / first) ** (k / rounds) * (covered - (covered * counts) @ y / worth))
+        y = np.where(some, np.maximum(y, 1e-6 * y.max()), 0.0)
+    top = price(mean, all_of, capacity)[0]
+    mean /= sum(mean[length] * n for length, n in top.items())
+    return [best, mean], max(bound, float(counts @ mean))
+
+
+def mix(counts: np.ndarray, capacity: int, prices: np.ndarray, step: float = 0.003, rounds: int = MIX_ROUNDS, convex: float = 0.05) -> dict[tuple[tuple[int, int], ...], float]:
+    """A fractional solution: configurations and how often each is used; each length is covered exactly.
+
+    A configuration's multiplicities are not held to the counts, so that rare lengths are no tighter than in the
+    program. Each round prices by ``prices``, slightly more for long pieces, times the weights; it uses the
+    configurations of the largest prices, each for a small share of its scarcest length, so that a configuration comes
     again among others. A length's weight falls by ``exp(-step)`` for each such share of its count that is covered, so
     that what lags comes first and all lengths run out together.
     """
     used: Counter[tuple[tuple[int, int], ...]] = Counter()
     left, weights = counts.astype(float), np.ones(len(counts))
-    base = (np.arange(len(counts)) / capacity) ** (1 + convex)
+    base = prices * (np.arange(len(counts)) / capacity) ** convex
     share = min(1.0, max(LEAST_SHARE, 1.3 * np.count_nonzero(counts) / rounds))
     for _ in range(rounds):
-        configs = price(np.where(left > 0, base * weights, 0), np.where(left > 0, counts, 0), capacity, SEVERAL)
+        configs = price(np.where(left > 0, base * weights, 0), np.where(left > 0, capacity, 0), capacity, SEVERAL)
         if not configs:
             break
         for config in configs:
@@ -174,35 +225,55 @@ def mix(counts: np.ndarray, capacity: int, rounds: int = MIX_ROUNDS, step: float
                 left[k] = left[k] - n * times if left[k] - n * times > 1e-9 * counts[k] else 0
                 weights[k] *= np.exp(-step / share * n * times / counts[k])
         weights /= weights[left > 0].max() if (left > 0).any() else 1
+    for k in np.flatnonzero(left > 0).tolist():  # where the rounds did not suffice
+        used[((k, capacity // k),)] += left[k] / (capacity // k)
     return dict(used)
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, eta: float = 0.7, pull: float = 0.02, convex: float = 0.05) -> dict[tuple[tuple[int, int], ...], int]:
-    """Whole numbers of configurations, each used up when it is found; no length of ``counts`` is covered beyond its count.
+def cover(counts: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float, np.ndarray, float]:
+    """The covering program: the mix of the least value that was found, a dual bound, and the mix's prices and step.
 
-    Each round prices a piece slightly above proportion to its length (so that
-    long pieces find their partners while there are short ones), raised by up to a share ``pull`` by its length's
-    weight, and uses the configurations of the largest prices, each for as long as its scarcest length lasts. A length's weight
-    falls by ``exp(-eta)`` for all of its count that is covered, so that what lags comes first.
+    The first mix prices in proportion to length. While the least value is over ``GAP`` above the bound, the mix is made
+    again with prices that were learned.
     """
-    used: Counter[tuple[tuple[int, int], ...]] = Counter()
-    left, weights = counts.astype(np.int64).copy(), np.ones(len(counts))
-    base = (np.arange(len(counts)) / capacity) ** (1 + convex)
-    for _ in range(rounds):
-        configs = price(np.where(left > 0, base * (1 + pull * weights), 0), left, capacity, SEVERAL)
-        if not configs:
+    bound = dual_bound(counts, capacity)
+    even = np.arange(len(counts)) / capacity
+    found, prices, step = mix(counts, capacity, even), even, 0.003
+    if sum(found.values()) > (1 + GAP) * bound and counts.any():
+        (best, mean), other = learned(counts, capacity)
+        bound = max(bound, other)
+        for y, eta in ((mean, 0.003), (best, 0.01), (best, 0.003)):
+            if sum(found.values()) <= (1 + GAP) * bound:
+                break
+            again = mix(counts, capacity, y, eta)
+            if sum(again.values()) < sum(found.values()):
+                found, prices, step = again, y, eta
+    return found, bound, prices, step
+
+
+def rounded(counts: np.ndarray, capacity: int) -> Counter[tuple[tuple[int, int], ...]]:
+    """Whole numbers of configurations that cover every length exactly: the mix rounded down, again and again, then best-fit.
+
+    What a rounding leaves is a program of its own, for which the mix is made anew at the same prices; once a mix has
+    hardly a whole configuration in it, the pieces that are left are placed best-fit.
+    """
+    out: Counter[tuple[tuple[int, int], ...]] = Counter()
+    left = counts.astype(np.int64).copy()
+    found, _, prices, step = cover(left, capacity)
+    while left.any():
+        whole = {config: int(times + 1e-9) for config, times in found.items() if times >= 1 - 1e-9}
+        if sum(whole.values()) < LEAST_WHOLE * sum(found.values()):
             break
-        for config in configs:
-            times = min(int(left[k]) // n for k, n in config.items())
-            used[tuple(sorted(config.items()))] += times
-            for k, n in config.items():
-                left[k] -= n * times
-                weights[k] *= np.exp(-eta * n * times / counts[k])
-        weights /= weights[left > 0].max() if (left > 0).any() else 1
-    return dict(used)
+        out.update(whole)
+        for config, times in whole.items():
+            for length, n in config:
+                left[length] -= n * times
+        found = mix(left, capacity, prices, step)
+    out.update(_best_fit(left, capacity))
+    return out
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[np.ndarray, int]:
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
     """Ranges ``(length, first rank, end rank, first sequence, offset)`` by length and rank, and the number of sequences."""
     left = counts.astype(np.int64).copy()
     ranges: list[tuple[int, int, int, int, int]] = []
@@ -222,29 +293,12 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
 
     if capacity < len(left) and left[capacity]:
         use(((capacity, 1),), int(left[capacity]))
-    mixed = Counter({config: int(times + 1e-9) for config, times in mix(left, capacity).items()})
-    mixed.update(solve(_without(left, mixed), capacity, rounds))
-    plans = [_whole(left, configs, capacity) for configs in (mixed, solve(left, capacity, rounds))]
-    for config, times in min(plans, key=lambda configs: sum(n for _, n in configs)):
+    for config, times in sorted(rounded(left, capacity).items(), key=lambda c: -c[1]):
         use(config, times)
     table = np.array(sorted(ranges), np.int64).reshape(-1, 5)
     return table, sequences
 
 
-def _without(counts: np.ndarray, configs: dict[tuple[tuple[int, int], ...], int]) -> np.ndarray:
-    left = counts.copy()
-    for config, times in configs.items():
-        for length, n in config:
-            left[length] -= n * times
-    return left
-
-
-def _whole(counts: np.ndarray, configs: dict[tuple[tuple[int, int], ...], int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """``configs`` without those that are rounded off, most used first, and the rest of ``counts`` best-fit."""
-    kept = {config: times for config, times in sorted(configs.items(), key=lambda c: -c[1]) if times >= ROUNDED_OFF}
-    return [*kept.items(), *_best_fit(_without(counts, kept), capacity).items()]
-
-
 def _best_fit(left: np.ndarray, capacity: int) -> Counter:
     """Best-fit decreasing: the longest piece opens a sequence, the longest that still fits follows, by the histogram."""
     left, out = left.copy(), Counter()
@@ -269,7 +323,7 @@ def _best_fit(left: np.ndarray, capacity: int) -> Counter:
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, **options) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     """A row for each piece: its document, its place there, its sequence and its place in that."""
     spark = docs.sparkSession
     rows = materialize(pieces(docs, capacity=capacity, **options), "pieces")
@@ -277,7 +331,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, **opti
     counts = np.zeros(capacity + 1, np.int64)
     for x in per_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[x["length"]] = x["n"]
-    table, _ = plan(counts, capacity, rounds)
+    table, _ = plan(counts, capacity)
     base = per_chunk.withColumn("base", F.sum("n").over(W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))).select("length", "chunk", F.coalesce("base", F.lit(0)).alias("base"))
     order = W.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")
     ranked = rows.withColumn("rank", F.row_number().over(order) - 1).join(base.hint("merge"), ["length", "chunk"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "chunk")

@@ -950,6 +950,61 @@ def test_packing_of_few_lengths_nearly_reaches_the_program(counts, prices):
     assert lower_bound <= n <= lower_bound * 1.005 + 3
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "uniform", "few", "empty"])
+def test_covering_mix_is_near_its_dual_bound_and_not_above_the_plan(kind):
+    import numpy as np
+
+    from quillspark.llm.packing import cover, plan
+
+    rng = np.random.default_rng(7)
+    lengths = {
+        "lognormal": lambda: np.clip(rng.lognormal(5.2, 0.9, 10_000).astype(int) + 1, 1, 1023),
+        "uniform": lambda: rng.integers(1, 1024, 10_000),
+        "few": lambda: np.repeat([400, 312, 224], [12_000, 24_000, 6_000]),
+        "empty": lambda: np.zeros(0, int),
+    }[kind]()
+    counts = np.bincount(lengths, minlength=1025)
+    found, bound, _, _ = cover(counts, 1024)
+    value = sum(found.values())
+    covered = np.zeros(1025)
+    for config, times in found.items():
+        assert sum(length * n for length, n in config) <= 1024
+        for length, n in config:
+            covered[length] += n * times
+    assert np.allclose(covered, counts)
+    assert bound - 1e-6 <= value <= 1.001 * bound + 1e-6
+    assert value - 1e-6 <= plan(counts)[1] <= 1.001 * bound + 2
+
+
+def test_dual_bounds_are_not_above_the_fewest_sequences():
+    """Against the fewest sequences by trying every partition of a few pieces."""
+    import numpy as np
+
+    from quillspark.llm.packing import dual_bound, learned, plan
+
+    def fewest(pieces, rooms, most):
+        if not pieces:
+            return len(rooms)
+        found = most
+        for room in {r for r in rooms if r >= pieces[0]}:
+            rest = list(rooms)
+            rest.remove(room)
+            found = min(found, fewest(pieces[1:], [*rest, room - pieces[0]], found))
+        if len(rooms) + 1 < found:
+            found = min(found, fewest(pieces[1:], [*rooms, capacity - pieces[0]], found))
+        return found
+
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        capacity = int(rng.integers(6, 20))
+        pieces = sorted(rng.integers(1, capacity + 1, int(rng.integers(1, 8))).tolist(), reverse=True)
+        counts = np.bincount(pieces, minlength=capacity + 1)
+        best = fewest(pieces, [], len(pieces) + 1)
+        assert dual_bound(counts, capacity) <= best + 1e-9
+        assert learned(counts, capacity, 60)[1] <= best + 1e-9
+        assert best <= plan(counts, capacity)[1] <= best + 1
+
+
 def test_prices_are_those_of_all_configurations():
     import numpy as np
 
