@@ -267,6 +267,11 @@ def test_html(source, expected):
     assert convert(source.encode(), "html") == expected
 
 
+def test_html_references_end_with_a_semicolon():
+    source = "<title>a &amp;&amp;&amp; b &copy; &copy</title><p>x &ampx; &#65; &#65 &lt;&lt &nosuch; & &&amp;<a href='?a=1&amp;b=2&copy=3&lt'>l</a><script>a&&b&amp;c &amp</script><pre>a &lt b &lt;</pre>"
+    assert convert(source.encode(), "html") == "# a &&& b © &copy\n\nx &ampx; A &#65 <&lt &nosuch; & &&[l](?a=1&b=2&copy=3&lt)\n\n```javascript\na&&b&amp;c &amp\n```\n\n```\na &lt b <\n```\n"
+
+
 # Markup details
 
 

@@ -179,6 +179,20 @@ def test_queries_give_what_sql_gives(spark, sf_dir, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["lateral_page_headings"])
+def test_headings_with_cut_references_are_what_sql_gives(spark, tmp_path, name):
+    import duckdb
+
+    from quillspark.queries import ORACLES, QUERIES
+
+    html = "<html><head><title>{0}</title></head><body><ul><li><a href='x'>y</a></li></ul><h1>{0}</h1></body></html>"
+    rows = [(k, "http://a.org/", html.format(s)) for k, s in enumerate(("of.&amp;&amp;&amp", "a &ltb &lt;", " &quot", "&amp;lt; & &&"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLES[name]).fetchall())
+
+
 def test_queries_without_sql_run(spark, sf_dir):
     from quillspark.queries import ORACLES, QUERIES
 
