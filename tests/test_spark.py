@@ -179,7 +179,7 @@ def test_queries_give_what_sql_gives(spark, sf_dir, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["lateral_page_headings"])
+@pytest.mark.parametrize("name", ["lateral_page_headings", "page_headings"])
 def test_headings_with_cut_references_are_what_sql_gives(spark, tmp_path, name):
     import duckdb
 
