@@ -1,13 +1,12 @@
 """Conversion of DataFrames of documents.
 
 A document is a row with its bytes and, where there is one, its file name. Formats are found by expressions; parsing
-runs in Arrow functions that see bytes and format alone; everything after that is expressions again. A document that
+runs in Python functions that see bytes and format alone; everything after that is expressions again. A document that
 cannot be converted has an ``error`` and no output (PERMISSIVE), or ends the query (FAILFAST).
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,22 +44,18 @@ def _blocks_one(data: bytes | None, format: str | None) -> dict:
     return {"blocks": [{"block_id": k, "kind": b.kind, "level": b.level, "ordered": b.ordered, "lang": b.lang, "text": b.text, "cells": b.cells, "md": b.md} for k, b in enumerate(found)], "error": None}
 
 
-def _arrow(type: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+# Rows go to these functions a hundred at a time, and not by Arrow batches of up to 10,000: a worker holds the inputs and outputs of
+# so many documents, however many there are.
 
-    return to_arrow_type(type)
 
+@F.udf(RESULT, useArrow=False)
+def _convert_udf(data: bytes | None, format: str | None) -> dict:
+    return _convert_one(None if data is None else bytes(data), format)
 
-@F.arrow_udf(RESULT)
-def _convert_udf(data: pa.Array, format: pa.Array) -> pa.Array:
-    found = [_convert_one(d, f) for d, f in zip(data.to_pylist(), format.to_pylist(), strict=True)]
-    type = _arrow(RESULT)
-    return pa.StructArray.from_arrays([pa.array([r[f.name] for r in found], f.type) for f in type], fields=list(type))
 
-
-@F.arrow_udf(BLOCKS)
-def _blocks_udf(data: pa.Array, format: pa.Array) -> pa.Array:
-    return pa.array([_blocks_one(d, f) for d, f in zip(data.to_pylist(), format.to_pylist(), strict=True)], _arrow(BLOCKS))
+@F.udf(BLOCKS, useArrow=False)
+def _blocks_udf(data: bytes | None, format: str | None) -> dict:
+    return _blocks_one(None if data is None else bytes(data), format)
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
