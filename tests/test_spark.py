@@ -126,7 +126,7 @@ def test_windows_stay_within_documents(spark, sf_dir):
         assert "SinglePartition" not in plan, name
 
 
-@pytest.mark.parametrize("name", ["documents_to_json_ast", "page_blocks"])
+@pytest.mark.parametrize("name", ["documents_to_json_ast", "documents_to_html", "page_blocks"])
 def test_documents_go_to_python_a_few_at_a_time(spark, sf_dir, name):
     """An Arrow batch is 10,000 documents, and all that is made of them, at once."""
     from quillspark.queries import QUERIES
