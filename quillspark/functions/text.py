@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 #: For regular expressions: white space in the Unicode sense.
 WHITE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same as characters.
+_WHITES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def trim_white(s: Column) -> Column:
-    return F.regexp_replace(s, rf"\A{WHITE}+|{WHITE}+\z", "")
+    return F.btrim(s, F.lit(_WHITES))
 
 
 def ascii_lower(s: Column) -> Column:
@@ -119,7 +121,7 @@ def table_cells(line: Column) -> Column:
 
 
 def is_separator_row(cells: Column) -> Column:
-    return (F.size(cells) > 0) & F.forall(cells, lambda c: c.rlike(r"\A[-:]+\z"))
+    return (F.size(cells) > 0) & F.forall(cells, lambda c: (c != "") & (F.translate(c, "-:", "") == ""))
 
 
 def pipe_row(cells: Column) -> Column:

@@ -110,6 +110,19 @@ def test_text_functions(spark):
     assert value(X.size_label(F.lit(5 << 30), ("KB", "MB"))) == "5120.0 MB"
 
 
+def test_cells_of_long_runs_of_blanks(spark):
+    """The time of a trim follows the text's length, not the square of a run's."""
+    import time
+
+    rows = [(0, f"| a{' ' * 400_000}b |\u2003"), (1, "\x85|\u3000x\xa0y\u2028|:-|\x0b |"), (2, "|--|:-:|"), (3, "a |"), (4, "||"), (5, "|")]
+    df = spark.createDataFrame(rows, "id int, line string")
+    cells = X.table_cells(F.col("line"))
+    began = time.time()
+    found = {r["id"]: (r["cells"], r["rule"]) for r in df.select("id", cells.alias("cells"), X.is_separator_row(cells).alias("rule")).collect()}
+    assert time.time() - began < 20
+    assert found == {0: ([f"a{' ' * 400_000}b"], False), 1: (["x\xa0y", ":-", ""], False), 2: (["--", ":-:"], True), 3: (None, None), 4: ([""], False), 5: (None, None)}
+
+
 def test_first_match_takes_the_first(spark):
     left = spark.createDataFrame([(1,), (2,)], "id int")
     right = spark.createDataFrame([(1, 2, "late"), (1, 1, "early")], "id int, place int, href string")
