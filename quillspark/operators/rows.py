@@ -166,26 +166,43 @@ def markup_texts(df: DataFrame, keys: Keys, markup: str, names: Sequence[str], a
 def json_paths(df: DataFrame, keys: Keys, json: str) -> DataFrame:
     """``keys, path, kind, value`` of every value in a JSON text, at any depth: each round opens the objects and arrays of the one before.
 
-    There are as many rounds as levels. Paths are like ``$.a.b[0]``; kinds are object, array, string, number, boolean and null;
-    objects and arrays have no value. A text that is no JSON, or has a key twice in an object, is of the kind invalid.
+    There are as many rounds as levels, which a first pass counts; a text is parsed once in either. What is found in a text, and what is
+    still to be opened, are arrays in its row, so that the rounds are one pass over the texts. Paths are like ``$.a.b[0]``; kinds are
+    object, array, string, number, boolean and null; objects and arrays have no value. A text that is no JSON, or has a key twice in an
+    object, is of the kind invalid.
     """
-    found = None
-    level = df.select(*keys, F.lit("$").alias("path"), F.try_parse_json(json).alias("v"), F.col(json).isNotNull().alias("__some"))
-    broken = level.filter("v IS NULL AND __some").select(*keys, "path", F.lit("invalid").alias("kind"), F.lit(None).cast("string").alias("value"))
-    level = level.filter("v IS NOT NULL").drop("__some")
-    while True:
-        type = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
-        kind = F.when(type.isin("OBJECT", "ARRAY", "STRING", "BOOLEAN"), F.lower(type)).when(type == "VOID", "null").otherwise("number")
-        level = level.withColumn("kind", kind)
-        value = F.when(~F.col("kind").isin("object", "array"), F.expr("try_variant_get(v, '$', 'string')"))
-        here = level.select(*keys, "path", "kind", value.alias("value"))
-        found = here if found is None else found.unionByName(here)
-        inner = level.filter("kind IN ('object', 'array')")
-        if inner.isEmpty():
-            return found.unionByName(broken)
-        inner = inner.select(*keys, "path", "v").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
-        level = inner.select(*keys, F.concat("path", step).alias("path"), F.col("value").alias("v"))
+    parsed = df.filter(F.col(json).isNotNull()).withColumn("__v", F.try_parse_json(json))
+    brackets = F.regexp_replace(json, r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++', "")
+    step = lambda a, c: F.struct((a["d"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("d"), F.greatest(a["m"], a["d"] + 1).alias("m"))
+    levels = F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), F.struct(F.lit(0).alias("d"), F.lit(1).alias("m")), step)["m"]
+    rounds = parsed.filter("__v IS NOT NULL").agg(F.max(levels).alias("n")).first()["n"] or 0
+    none = F.lit(None).cast("string")
+
+    def told(x: Column) -> Column:
+        v = x["v"]
+        type = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+        kind = F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "object").when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), "array")
+        kind = kind.when(type.isin("STRING", "BOOLEAN"), F.lower(type)).when(type == "VOID", "null").otherwise("number")
+        return F.struct(x["path"].alias("path"), kind.alias("kind"), v.alias("v"))
+
+    def valued(x: Column) -> Column:
+        value = F.when(~x["kind"].isin("object", "array"), F.try_variant_get(x["v"], "$", "string"))
+        return F.struct(x["path"].alias("path"), x["kind"].alias("kind"), value.alias("value"))
+
+    def opened(x: Column) -> Column:
+        at = lambda step, v: F.struct(F.concat(x["path"], step).alias("path"), v.alias("v"))
+        members = F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), lambda e: at(F.concat(F.lit("."), e["key"]), e["value"]))
+        elements = F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda e, k: at(F.concat(F.lit("["), k.cast("string"), F.lit("]")), e))
+        return F.coalesce(members, elements)
+
+    root = F.array(F.struct(F.lit("$").alias("path"), F.col("__v").alias("v")))
+    broken = F.array(F.struct(F.lit("$").alias("path"), F.lit("invalid").alias("kind"), none.alias("value")))
+    rows = parsed.select(*keys, F.when(F.col("__v").isNull(), broken).otherwise(F.slice(broken, 1, 0)).alias("__found"), F.when(F.col("__v").isNotNull(), root).alias("__open"))
+    for _ in range(rounds):
+        inner = F.flatten(F.filter(F.transform("__open", opened), lambda x: x.isNotNull()))
+        rows = rows.select(*keys, F.concat("__found", F.coalesce(F.transform(F.transform("__open", told), valued), F.slice(broken, 1, 0))).alias("__found"), inner.alias("__open"))
+    whole = F.when(F.coalesce(F.size("__open"), F.lit(0)) > 0, F.raise_error(F.lit("a JSON text has more levels than were counted"))).otherwise(F.col("__found"))
+    return rows.select(*keys, F.inline(whole))
 
 
 def first_seen_rank(df: DataFrame, keys: Keys, order: str, value: str, most: int = 6, name: str = "level") -> DataFrame:

@@ -145,6 +145,17 @@ def test_json_paths_at_any_depth(spark):
     assert R.json_paths(df.limit(0), ["id"], "js").collect() == []
 
 
+def test_json_paths_are_one_pass_over_the_texts(spark, sf_dir):
+    """A text is not parsed again for each of its levels; strings that hold brackets are no levels."""
+    from quillspark.queries import QUERIES
+
+    plan = QUERIES["json_paths_events"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Union" not in plan
+    df = spark.createDataFrame([(1, '["[[{\\"[", "\\\\", [[[1.0]]]]'), (2, "[" * 300)], "id int, js string")
+    assert R.json_paths(df, ["id"], "js").filter("kind = 'number'").collect() == [(1, "$[2][0][0][0]", "number", "1")]
+    assert R.json_paths(df, ["id"], "js").filter("id = 2").collect() == [(2, "$", "invalid", None)]
+
+
 def test_parts_follow_each_other(spark):
     """One key with nearly all texts: no task has more than its share of them, and the parts make the whole."""
     rows = spark.range(3000).selectExpr("CASE WHEN id % 50 = 0 THEN NULL WHEN id % 51 = 0 THEN 'few' ELSE 'most' END AS key", "id", "CASE WHEN id % 9 <> 0 THEN repeat(concat('é', id), 5) END AS output").repartition(5)
