@@ -4,6 +4,7 @@ import csv
 import io
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,21 @@ def test_written_rows_are_read_again(spark, tmp_path, cut_at):
     found = csv_rows(spark, str(tmp_path / "out")).collect()
     assert {tuple(r["header"]) for r in found} == {("id", 'te"x.t', "n")}
     assert sorted(tuple(r["cells"]) for r in found) == sorted((str(a), b or "", "" if c is None else str(c)) for a, b, c in rows)
+
+
+@pytest.mark.parametrize("bits", [0, 2])
+def test_lines_are_dealt_by_runs_within_a_range(spark, tmp_path, monkeypatch, bits):
+    """A range is not one group of a shuffle; its records are numbered through all the same."""
+    from quillspark.sources import records
+
+    lines = 'a\nb,"x\n\ny""\n",c\n\n"z\n1\n2\n3\n4\n5\n6\n7",q\n' * 20
+    write(tmp_path, {"r.csv": lines, "open.csv": lines + '"never\nclosed\n'})
+    whole = by_file(csv_records(spark, str(tmp_path)))
+    assert whole["r.csv"] == read_plainly(lines)
+    monkeypatch.setattr(records, "_RUN", bits)
+    found = csv_records(spark, str(tmp_path))
+    assert by_file(found) == whole
+    numbers = [r["record"] for r in found.filter("path LIKE '%/r.csv'").orderBy("record").collect()]
+    assert len(set(numbers)) == len(whole["r.csv"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(path#\d+, block#\d+L, run#\d+L, ", plan)
