@@ -38,11 +38,12 @@ LATEX: Mapping[str, Wrap] = {
 }
 
 
-def _events(df: DataFrame, keys: Keys, text: str) -> DataFrame:
+def _events(df: DataFrame, keys: Keys, text: str, parts: int | None = None) -> DataFrame:
     """``__k, pos, end, move, depth, kind, value``: tokens by their struct of keys, with 1 for a node's opening, -1 for its closing, 0 for a leaf."""
     plain = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[\\`*~\[]| {2}\n")
     tokens = F.when(plain, F.array(F.coalesce(F.col(text), F.lit("")))).otherwise(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)))
-    rows = df.select(F.struct(*keys).alias("__k"), F.posexplode(tokens).alias("pos", "t"))
+    texts = df.select(F.struct(*keys).alias("__k"), F.col(text).alias(text))
+    rows = (texts.repartition(parts, "__k") if parts else texts).select("__k", F.posexplode(tokens).alias("pos", "t"))
     w = W.partitionBy("__k").orderBy("pos")
     space = lambda c: F.coalesce(c, F.lit(" ")).rlike(r"\A\s\z")
     mark = F.col("t").isin(*_KINDS)
@@ -96,10 +97,11 @@ def inline_nodes(df: DataFrame, keys: Keys, text: str) -> DataFrame:
     return events.select(*_unpacked(keys), F.col("pos").alias("lo"), F.col("end").alias("hi"), depth.alias("depth"), "kind", "value")
 
 
-def inline_rendered(df: DataFrame, keys: Keys, text: str, targets: Mapping[str, Mapping[str, Wrap]], leaves: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def inline_rendered(df: DataFrame, keys: Keys, text: str, targets: Mapping[str, Mapping[str, Wrap]], leaves: Mapping[str, Callable[[Column], Column]] | None = None, parts: int | None = None) -> DataFrame:
     """``keys`` and a column for each of ``targets``: texts with nodes written by the target's wraps, leaves by its function in ``leaves``.
 
-    Kinds without a wrap are their text alone. The tree is made once for all targets.
+    Kinds without a wrap are their text alone. The tree is made once for all targets. With ``parts`` texts are dealt out to so many
+    tasks before they become tokens; without, tokens are, and tasks of few bytes of them are put together, which take up many times these bytes.
     """
     value, out = F.col("value"), {}
     for name, wraps in targets.items():
@@ -111,7 +113,7 @@ def inline_rendered(df: DataFrame, keys: Keys, text: str, targets: Mapping[str,
             if kind == "code_inline":
                 shown = shown.when(of, F.concat(start(value), leaf(value), end(value)))
         out[name] = shown.when(F.col("move") != 0, F.lit("")).otherwise(leaf(value))
-    events = _events(df, keys, text).select("__k", F.struct("pos", *[c.alias(n) for n, c in out.items()]).alias("__x"))
+    events = _events(df, keys, text, parts).select("__k", F.struct("pos", *[c.alias(n) for n, c in out.items()]).alias("__x"))
     ordered = events.groupBy("__k").agg(F.array_sort(F.collect_list("__x")).alias("__all"))
     return ordered.select(*_unpacked(keys), *[F.array_join(F.col("__all")[n], "").alias(n) for n in out])
 

@@ -92,3 +92,14 @@ def test_headings_and_items_and_plan(spark):
     assert found == [(0, "heading", 1, "a"), (2, "item", 2, "x"), (3, "item", 1, "y"), (4, "item", 1, "z"), (7, "item", 3, "deep"), (8, "heading", 2, "")]
     plan = N.inline_rendered(df.repartition(3), ["n"], "line", TARGETS, ESCAPES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_texts_are_dealt_out_before_they_are_tokens(spark, sf_dir):
+    """Tasks are not put together by their bytes before these grow: one exchange of so many parts, no other and no join."""
+    from quillspark.queries import QUERIES
+
+    plan = QUERIES["heading_and_item_texts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(("a **b *c* d**", "", "[l](u)"))], "id int, t string")
+    dealt = N.inline_rendered(df, ["id"], "t", TARGETS, ESCAPES, parts=5)
+    assert sorted(dealt.collect()) == sorted(N.inline_rendered(df, ["id"], "t", TARGETS, ESCAPES).collect())
