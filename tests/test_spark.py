@@ -215,6 +215,21 @@ def test_headings_with_cut_references_are_what_sql_gives(spark, tmp_path, name):
     assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLES[name]).fetchall())
 
 
+def test_headings_cut_at_any_place_are_what_sql_gives(spark, tmp_path):
+    import duckdb
+
+    from quillspark.queries import ORACLES, QUERIES
+
+    whole = "a&amp;&quot;&lt;b&gt;&amp;lt;c &amp;quot;&amp;&amp;amp;d"
+    html = "<html><head><title>{0}</title></head><body><p>x</p><h1>{1}</h1></body></html>"
+    rows = [(k, "http://a.org/", html.format(whole[:k], whole[-k:])) for k in range(1, len(whole) + 1)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["page_headings"](spark, str(tmp_path)).collect()))
+    assert len(got) == 2 * len(rows) and got == sorted(con.execute(ORACLES["page_headings"]).fetchall())
+
+
 def test_queries_without_sql_run(spark, sf_dir):
     from quillspark.queries import ORACLES, QUERIES
 
