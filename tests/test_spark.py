@@ -148,6 +148,21 @@ def test_documents_go_to_python_a_few_at_a_time(spark, sf_dir, name):
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
 
 
+@pytest.mark.parametrize("name", ["documents_to_latex", "documents_to_text", "documents_to_docx", "documents_to_epub", "page_to_markdown", "page_headings", "page_link_lists"])
+def test_documents_go_to_python_a_few_at_a_time_whatever_is_set(spark, sf_dir, name):
+    """The queries that share the step of documents_to_html, in a session that prefers Arrow."""
+    from quillspark.queries import QUERIES
+
+    flag = "spark.sql.execution.pythonUDF.arrow.enabled"
+    before = spark.conf.get(flag)
+    try:
+        spark.conf.set(flag, "true")
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(flag, before)
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
 def test_columns_and_filters_reach_the_scan(spark, sf_dir):
     from quillspark.queries import QUERIES
 
